@@ -79,3 +79,16 @@ def truncated_poisson_log2_var(mean: Column) -> Column:
 def no_nan(c: Column) -> Column:
     """NaN from a tail function means not testable, which is NULL here."""
     return F.nanvl(c, F.lit(None).cast("double"))
+
+
+def wilcoxon_p(w_plus: Column, n: Column, tie_sum: Column) -> Column:
+    @F.pandas_udf("double")
+    def tail(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        return pd.Series([special.wilcoxon_p(w, int(m), t) for w, m, t in zip(a, b, c)], dtype=float)
+
+    return no_nan(tail(*[x.cast("double") for x in (w_plus, n, tie_sum)]))
+
+
+def chi2_one_tail(x: Column) -> Column:
+    """Upper tail of chi square on one degree of freedom."""
+    return t_two_sided(F.sqrt(x), F.lit(float("inf")))

@@ -261,3 +261,18 @@ def ks_uniform(df: DataFrame, p: str, by: Sequence[str] = ()) -> DataFrame:
     r = distinct_ranks(df, by, p)
     gap = F.greatest(F.col("rank_max") / F.col("n") - F.col(p), F.col(p) - (F.col("rank_min") - 1) / F.col("n"))
     return r.groupBy(*by).agg(F.max(gap).alias("ks_distance"), F.max("n").alias("n"))
+
+
+def top_per_group(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, spread: str, name: str = "place"
+) -> DataFrame:
+    """The first ``n`` rows of each group in ``order``, with their place.
+
+    A group is first cut to its ``n`` first rows in each of 256 hash slices of ``spread``,
+    so the last ordering sees a bounded number of rows however large the group is.
+    """
+    sliced = df.withColumn("_slice", F.pmod(F.xxhash64(spread), F.lit(256)))
+    inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    cut = sliced.withColumn(name, F.row_number().over(inside)).where(F.col(name) <= n).drop("_slice")
+    last = Window.partitionBy(*keys).orderBy(*order)
+    return cut.withColumn(name, F.row_number().over(last)).where(F.col(name) <= n)
