@@ -46,3 +46,11 @@ def correlate(
     elif method != "pearson":
         raise ValueError(f"unknown method {method!r}")
     return both.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), pearson("_x", "_y").alias("r"))
+
+
+def average_rank_moments(x: str, y: str, weight: str) -> Column:
+    """Aggregate: Pearson r of two rank columns, rows counted by weight."""
+    w = F.col(weight)
+    n, sx, sy = F.sum(w), F.sum(w * F.col(x)), F.sum(w * F.col(y))
+    sxx, syy, sxy = (F.sum(w * F.col(a) * F.col(b)) for a, b in ((x, x), (y, y), (x, y)))
+    return F.try_divide(sxy - sx * sy / n, F.sqrt(sxx - sx * sx / n) * F.sqrt(syy - sy * sy / n))

@@ -95,25 +95,28 @@ def design(
 
     One small least-squares problem per study is solved by ``applyInPandas`` over that
     study's sample sheet. ``proj`` holds a sample's weight in each coefficient, ``x`` its
-    model-matrix row.
+    model-matrix row. A sheet that already has a ``design_id`` column holds several
+    designs, each solved on its own.
     """
     ref, cats, covs = dict(reference or {}), frozenset(categorical), tuple(covariates)
-    sheet = samples.select(STUDY, SAMPLE, *dict.fromkeys((contrast, *covs)))
+    if "design_id" not in samples.columns:
+        samples = samples.withColumn("design_id", F.lit(design_id))
+    sheet = samples.select(STUDY, "design_id", SAMPLE, *dict.fromkeys((contrast, *covs)))
 
     def rows(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(SAMPLE)
         x, proj, *_ = _solve(pdf, contrast, covs, ref, cats)
-        return pd.DataFrame({STUDY: pdf[STUDY], "design_id": design_id, SAMPLE: pdf[SAMPLE], "proj": list(proj), "x": list(x)})
+        return pd.DataFrame({STUDY: pdf[STUDY], "design_id": pdf["design_id"], SAMPLE: pdf[SAMPLE], "proj": list(proj), "x": list(x)})
 
     def terms(pdf: pd.DataFrame) -> pd.DataFrame:
         _, _, inv, df, named = _solve(pdf.sort_values(SAMPLE), contrast, covs, ref, cats)
         return pd.DataFrame({
-            STUDY: pdf[STUDY].iloc[0], "design_id": design_id, "term_index": range(len(named)),
+            STUDY: pdf[STUDY].iloc[0], "design_id": pdf["design_id"].iloc[0], "term_index": range(len(named)),
             "term": [n[0] for n in named], "column": [n[1] for n in named], "is_contrast": [n[2] for n in named],
             "inv_diag": inv, "df": df, "low_cardinality": [n[4] for n in named],
         })
 
-    grouped = sheet.groupBy(STUDY)
+    grouped = sheet.groupBy(STUDY, "design_id")
     return materialise(grouped.applyInPandas(rows, _DESIGN)), materialise(grouped.applyInPandas(terms, _TERMS))
 
 

@@ -226,7 +226,7 @@ def validate_design(samples: DataFrame, control: str, treated: str) -> DataFrame
 
 def pair_layout(samples: DataFrame, control: str, treated: str) -> DataFrame:
     """``study_id, pair_id, batch, control_sample, treated_sample``; every pair must be 1 + 1."""
-    bad = validate_design(samples, control, treated)
+    bad = validate_design(samples, control, treated).where("not (n_control = 1 and n_treated = 1 and n = 2)")
     assert_empty(bad, "unbalanced pairs")
     pick = lambda level: F.max(F.when(F.col("condition") == level, F.col(SAMPLE)))
     return samples.groupBy(STUDY, F.col("candidate_pair").alias("pair_id")).agg(
@@ -236,7 +236,7 @@ def pair_layout(samples: DataFrame, control: str, treated: str) -> DataFrame:
 
 def pair_roles(samples: DataFrame, control: str, treated: str) -> DataFrame:
     """The layout in long form: ``study_id, sample_id, pair_id, batch, treated``."""
-    bad = validate_design(samples, control, treated)
+    bad = validate_design(samples, control, treated).where("not (n_control = 1 and n_treated = 1 and n = 2)")
     assert_empty(bad, "unbalanced pairs")
     return samples.select(
         STUDY, SAMPLE, F.col("candidate_pair").alias("pair_id"), "batch", (F.col("condition") == treated).alias("treated")

@@ -13,6 +13,7 @@ from quantgrid.session import materialise
 
 SAMPLE_KEY = [STUDY, SAMPLE]
 MAD_CONSISTENCY = 1.4826
+LIKELIHOOD_GAIN = 1e-6
 
 
 def require_complete(cells: DataFrame) -> DataFrame:
@@ -47,7 +48,7 @@ def normalize(cells: DataFrame, method: str = "median", **options) -> DataFrame:
     raise ValueError(f"unknown method {method!r}")
 
 
-def fit_vsn(cells: DataFrame, max_rounds: int = 60, tol: float = 1e-7) -> DataFrame:
+def fit_vsn(cells: DataFrame, max_rounds: int = 25, tol: float = 1e-6) -> DataFrame:
     """Maximum-likelihood offset and log factor per sample: ``a, log_b``.
 
     The transform is arsinh(a + b x) with a common residual variance per study. One round
@@ -56,7 +57,7 @@ def fit_vsn(cells: DataFrame, max_rounds: int = 60, tol: float = 1e-7) -> DataFr
     written out each round, so lineage stays flat. A step that lowers a study's likelihood
     is taken back and halved.
     """
-    cells = cells.where(F.col(VALUE).isNotNull()).select(*CELL_KEY, VALUE)
+    cells = materialise(cells.where(F.col(VALUE).isNotNull()).select(*CELL_KEY, VALUE))
     # Each sample starts with its mean at 1 on the arsinh axis.
     params = materialise(
         cells.groupBy(*SAMPLE_KEY).agg(
@@ -73,54 +74,60 @@ def fit_vsn(cells: DataFrame, max_rounds: int = 60, tol: float = 1e-7) -> DataFr
 
 
 def _vsn_round(cells: DataFrame, params: DataFrame) -> DataFrame:
-    z = F.col("a") + F.exp("log_b") * F.col(VALUE)
-    root = F.sqrt(1 + F.col("z") * F.col("z"))
+    bx = F.exp("log_b") * F.col(VALUE)
+    z, inv2 = F.col("z"), 1 / (1 + F.col("z") * F.col("z"))
     per_feature = Window.partitionBy(STUDY, FEATURE)
     rows = (
         cells.join(params, SAMPLE_KEY)
-        .withColumn("z", z)
-        .withColumn("bx", F.exp("log_b") * F.col(VALUE))
+        .withColumn("bx", bx)
+        .withColumn("z", F.col("a") + F.col("bx"))
         .withColumn("u", F.asinh("z"))
+        .withColumn("ga", F.sqrt(inv2))
+        .withColumn("gb", F.col("bx") * F.col("ga"))
+        .withColumn("k", (1 - z * z) * inv2 * inv2)
         .withColumn("r", F.col("u") - F.avg("u").over(per_feature))
-        .withColumn("ga", 1 / root)
-        .withColumn("gb", F.col("bx") / root)
+        .withColumn("ca", F.col("ga") - F.avg("ga").over(per_feature))
+        .withColumn("cb", F.col("gb") - F.avg("gb").over(per_feature))
     )
+    total = lambda e, n: F.sum(F.expr(e)).alias(n)
     sums = rows.groupBy(*SAMPLE_KEY).agg(
-        F.count(F.lit(1)).alias("m"),
-        F.sum(F.col("r") * F.col("r")).alias("rss"),
-        F.sum(F.col("log_b") - F.log(root)).alias("jac"),
-        F.sum(F.col("r") * F.col("ga")).alias("ra"),
-        F.sum(F.col("r") * F.col("gb")).alias("rb"),
-        F.sum(F.col("z") * F.col("ga") * F.col("ga")).alias("ja"),
-        F.sum(1 - F.col("z") * F.col("bx") * F.col("ga") * F.col("ga")).alias("jb"),
-        F.sum(F.col("ga") * F.col("ga")).alias("haa"),
-        F.sum(F.col("ga") * F.col("gb")).alias("hab"),
-        F.sum(F.col("gb") * F.col("gb")).alias("hbb"),
+        F.count(F.lit(1)).alias("m"), total("r * r", "rss"), total("log_b + ln(ga)", "jac"),
+        total("r * ga", "ra"), total("r * gb", "rb"), total("z * ga * ga", "ja"), total("1 - z * bx * ga * ga", "jb"),
+        total("ga * ga", "saa"), total("ga * gb", "sab"), total("gb * gb", "sbb"),
+        total("k", "j11"), total("bx * k", "j12"), total("bx * bx * k + z * bx * ga * ga", "j22"),
+        total("ca * ca", "c11"), total("ca * cb", "c12"), total("cb * cb", "c22"),
     )
     study = Window.partitionBy(STUDY)
-    total = F.sum("m").over(study)
-    var = F.sum("rss").over(study) / total
-    like = F.sum("jac").over(study) - total / 2 * F.log(var)
-    step = (
-        params.join(sums, SAMPLE_KEY)
-        .withColumn("var", var)
-        .withColumn("like", like)
-        .withColumn("better", F.col("best").isNull() | (F.col("like") >= F.col("best")))
-        .withColumn("ga", -F.col("ra") / F.col("var") - F.col("ja"))
-        .withColumn("gb", -F.col("rb") / F.col("var") + F.col("jb"))
-        # The Jacobian terms' curvature is added as its own positive bound.
-        .withColumn("haa", F.col("haa") / F.col("var") + F.col("haa"))
-        .withColumn("hbb", F.col("hbb") / F.col("var") + F.col("m"))
-        .withColumn("hab", F.col("hab") / F.col("var"))
-        .withColumn("det", F.col("haa") * F.col("hbb") - F.col("hab") * F.col("hab"))
-        .withColumn("da", F.try_divide(F.col("hbb") * F.col("ga") - F.col("hab") * F.col("gb"), F.col("det")))
-        .withColumn("db", F.try_divide(F.col("haa") * F.col("gb") - F.col("hab") * F.col("ga"), F.col("det")))
-    )
+    over = lambda e: F.sum(F.expr(e)).over(study)
+    solve = lambda x, y, p, q, r: F.try_divide(F.expr(f"{r} * {x} - {q} * {y}"), F.expr(f"{p} * {r} - {q} * {q}"))
+    step = params.join(sums, SAMPLE_KEY).withColumn("var", over("rss") / over("m"))
+    step = step.withColumn("like", over("jac") - over("m") / 2 * F.log("var"))
+    step = step.withColumn("better", F.col("best").isNull() | (F.col("like") >= F.col("best")))
+    step = step.withColumns({
+        "ga": -F.col("ra") / F.col("var") - F.col("ja"), "gb": -F.col("rb") / F.col("var") + F.col("jb"),
+        "haa": F.expr("saa / var + greatest(j11, 0)"), "hab": F.expr("sab / var"), "hbb": F.expr("sbb / var + greatest(j22, 0)"),
+        "gain": F.try_divide(F.col("like") - F.col("best"), over("m")),
+    })
+    # A shift shared by all samples of a study hardly moves the residuals; it gets its own
+    # Newton step, and the per-sample steps keep only what differs between samples.
+    step = step.withColumns({"GA": over("ga"), "GB": over("gb"), "h11": over("c11 / var + j11"), "h12": over("c12 / var + j12"), "h22": over("c22 / var + j22"),
+                             "w11": over("c11 / var + abs(j11)"), "w22": over("c22 / var + abs(j22)"),
+                             "xa": solve("ga", "gb", "haa", "hab", "hbb"), "xb": solve("gb", "ga", "hbb", "hab", "haa")})
+    sound = F.expr("h11 > 0 and h11 * h22 - h12 * h12 > 1e-6 * h11 * h22")
+    zero = F.lit(0.0)
+    joint_a = F.coalesce(F.when(sound, solve("GA", "GB", "h11", "h12", "h22")).otherwise(F.try_divide(F.col("GA"), F.col("w11"))), zero)
+    joint_b = F.coalesce(F.when(sound, solve("GB", "GA", "h22", "h12", "h11")).otherwise(F.try_divide(F.col("GB"), F.col("w22"))), zero)
+    clip = lambda c: F.least(F.greatest(c, F.lit(-1.0)), F.lit(1.0))
+    step = step.withColumns({
+        "da": F.coalesce(F.col("xa"), zero) - F.avg(F.coalesce(F.col("xa"), zero)).over(study) + clip(joint_a),
+        "db": F.coalesce(F.col("xb"), zero) - F.avg(F.coalesce(F.col("xb"), zero)).over(study) + clip(joint_b),
+    })
     damp = F.when(F.col("better"), F.least(F.col("damp") * 1.5, F.lit(1.0))).otherwise(F.col("damp") / 2)
     # From an accepted point take the new step; otherwise retry half-way back to it.
     next_a = F.when(F.col("better"), F.col("a") + damp * F.col("da")).otherwise((F.col("a") + F.col("a0")) / 2)
     next_b = F.when(F.col("better"), F.col("log_b") + damp * F.col("db")).otherwise((F.col("log_b") + F.col("log_b0")) / 2)
     keep = lambda new, old: F.when(F.col("better"), F.col(new)).otherwise(F.col(old))
+    moved = F.greatest(F.abs(next_a - keep("a", "a0")), F.abs(next_b - keep("log_b", "log_b0")))
     return step.select(
         *SAMPLE_KEY,
         next_a.alias("a"),
@@ -129,7 +136,8 @@ def _vsn_round(cells: DataFrame, params: DataFrame) -> DataFrame:
         keep("like", "best").alias("best"),
         keep("a", "a0").alias("a0"),
         keep("log_b", "log_b0").alias("log_b0"),
-        F.greatest(F.abs(next_a - keep("a", "a0")), F.abs(next_b - keep("log_b", "log_b0"))).alias("moved"),
+        # A gain far below one unit of likelihood per million cells is the end as well.
+        F.when(F.col("gain").between(0, LIKELIHOOD_GAIN), zero).otherwise(moved).alias("moved"),
     )
 
 

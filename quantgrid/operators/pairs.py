@@ -216,7 +216,7 @@ def class_tables(cells: DataFrame, features: DataFrame, states: DataFrame, roles
     matched = long.groupBy(*FEATURE_KEY, "pair_id").agg(side(False).alias("control_value"), side(True).alias("treated_value"))
     control = matched.where("control_value is not null").withColumn("log2_control_over_treated", F.log2(F.try_divide(F.col("control_value"), F.col("treated_value"))))
     members = features.select(*FEATURE_KEY, F.explode(F.split("parents", ";")).alias("member")).groupBy(STUDY, "member").agg(
-        F.count(F.lit(1)).alias("n_features"), F.array_join(F.array_sort(F.collect_set(FEATURE)), ";").alias("features")
+        F.count(F.lit(1)).alias("n_features")
     )
     ref = references.where("reference_feature is not null").join(features.select(*FEATURE_KEY), FEATURE_KEY, "left_semi")
     treated = cells.join(roles.where("treated"), SAMPLE_KEY)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +28,24 @@ def local_session(app: str = "quantgrid", cores: str = "*", **conf: str) -> Spar
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    return ship(spark)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once per session."""
+    context = spark.sparkContext
+    if not getattr(context, "_quantgrid_shipped", False):
+        here = os.path.dirname(os.path.abspath(__file__))
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        archive = os.path.join(folder, "quantgrid_package.zip")
+        with zipfile.ZipFile(archive, "w") as z:
+            for root, _, files in os.walk(here):
+                for name in files:
+                    if name.endswith(".py"):
+                        full = os.path.join(root, name)
+                        z.write(full, os.path.relpath(full, os.path.dirname(here)))
+        context.addPyFile(archive)
+        context._quantgrid_shipped = True
     return spark
 
 
