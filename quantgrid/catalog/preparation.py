@@ -13,17 +13,18 @@ from quantgrid.operators import missing as ms
 from quantgrid.operators import normalize as nz
 from quantgrid.plans import testbed as tb
 from quantgrid.plans.states import build_count_states, build_states, manifest
+from quantgrid.session import materialise
 from quantgrid.sources.text import add_run_half, with_run_position
 
 GRID = "grid AS (SELECT f.study_id, f.feature_id, s.sample_id, b.value FROM feat f JOIN smp s USING (study_id) LEFT JOIN base b USING (study_id, feature_id, sample_id))"
 
 
 def complete(spark: SparkSession, d: str, study: str = "one") -> DataFrame:
-    return tag_scale(ms.complete_cells(tb.cells(spark, d, study), tb.samples(spark, d, study)), "linear")
+    return materialise(tag_scale(ms.complete_cells(tb.cells(spark, d, study), tb.samples(spark, d, study)), "linear"))
 
 
 def normalized_log(spark: SparkSession, d: str, study: str = "one") -> DataFrame:
-    return nz.log2_transform(nz.normalize(complete(spark, d, study)))
+    return materialise(nz.log2_transform(nz.normalize(complete(spark, d, study))))
 
 
 def cell_out(df: DataFrame, digits: int = 6) -> DataFrame:

@@ -421,12 +421,12 @@ def detection_classes(cells: DataFrame, a: str, count: str, samples: DataFrame,
     """
     ever = F.max(F.col(a).isNotNull()).over(Window.partitionBy(*FEATURE_KEY))
     rows = cells.withColumn("_a", F.col(a).isNotNull()).withColumn("_c", F.coalesce(F.col(count) > 0, F.lit(False))).withColumn("_ever", ever)
-    both, c_only, a_only = "_a and _c", "not _a and _c", "_a and not _c"
+    both, c_only, a_only = F.expr("_a and _c"), F.expr("not _a and _c"), F.expr("_a and not _c")
     out = rows.groupBy(*SAMPLE_KEY).agg(
-        F.count_if(both).alias("n_both"), F.count_if(c_only).alias("n_count_only"), F.count_if(f"{c_only} and not _ever").alias("n_count_only_never"),
-        F.count_if(f"{c_only} and _ever").alias("n_count_only_other_runs"), F.count_if(a_only).alias("n_value_only"),
-        F.avg(F.when(F.expr(c_only), (F.col(count) == 1).cast("double"))).alias("share_count_only_1"),
-        F.avg(F.when(F.expr(both), (F.col(count) == 1).cast("double"))).alias("share_both_1"),
+        F.count_if(both).alias("n_both"), F.count_if(c_only).alias("n_count_only"), F.count_if(c_only & ~F.col("_ever")).alias("n_count_only_never"),
+        F.count_if(c_only & F.col("_ever")).alias("n_count_only_other_runs"), F.count_if(a_only).alias("n_value_only"),
+        F.avg(F.when(c_only, (F.col(count) == 1).cast("double"))).alias("share_count_only_1"),
+        F.avg(F.when(both, (F.col(count) == 1).cast("double"))).alias("share_both_1"),
     )
     counted = rows.where("_c").withColumn("_both", F.col("_a"))
     med = group_median(counted, [*SAMPLE_KEY, "_both"], count, "m")
@@ -763,7 +763,7 @@ def tracking_report(
             null = perm_null_shared(df, x, y, method)
             ind = percentile_ci(perm_null_independent(df, x, y, method, draws, seed), [STUDY], "mean_r").withColumnsRenamed({"ci_low": "indep_q025", "ci_high": "indep_q975"})
             p = benjamini_hochberg(materialise(perm_p_rowwise(df, x, y, method)), "p", [STUDY])
-            hits = p.groupBy(STUDY).agg(F.count_if("p < 0.05").alias("n_p05"), F.count_if("q < 0.05").alias("n_q05"))
+            hits = p.groupBy(STUDY).agg(F.count_if(F.col("p") < 0.05).alias("n_p05"), F.count_if(F.col("q") < 0.05).alias("n_q05"))
             rows.append(null.join(obs, STUDY).join(ind, STUDY, "left").join(hits, STUDY, "left").withColumn("variant", F.lit(name)).withColumn("method", F.lit(method)))
             tagged = r.where("r is not null").join(per_count, FEATURE_KEY).where("mean_count_bin is not null")
             b = tagged.groupBy(STUDY, "mean_count_bin").agg(F.count(F.lit(1)).alias("n_features"), F.avg("r").alias("mean_r"))

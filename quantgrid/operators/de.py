@@ -316,8 +316,9 @@ def term_table(fits: DataFrame, terms: DataFrame, alpha: float = 0.05, adjust: b
     cols = [STUDY, "design_id", FEATURE, "term", "is_contrast", "effect", "se", "t", "p", "ci_low", "ci_high", "mean_abundance",
             F.sqrt(F.greatest(F.col("sigma2"), F.lit(0.0))).alias("sigma"), "df_total", "n"]
     extra = [F.sqrt("s0_sq").alias("prior_sd")] if "s0_sq" in long.columns else []
-    table = table.select(*cols, *extra)
-    return benjamini_hochberg(table, "p", [STUDY, "design_id", "term"]) if adjust else table
+    # The tails run in Python; written once, they are not evaluated again by every reader.
+    table = materialise(table.select(*cols, *extra))
+    return materialise(benjamini_hochberg(table, "p", [STUDY, "design_id", "term"])) if adjust else table
 
 
 def welch(cells: DataFrame, samples: DataFrame, contrast: str, reference: str, alpha: float = 0.05) -> DataFrame:
@@ -363,7 +364,7 @@ def _finish_two_group(table: DataFrame) -> DataFrame:
     stat = [c for c in ("t", "u") if c in table.columns]
     cols = [STUDY, F.lit("two-group").alias("design_id"), FEATURE, "term", F.lit(True).alias("is_contrast"), "effect", "se", *stat,
             "p", "ci_low", "ci_high", "mean_abundance", "n"]
-    return benjamini_hochberg(table.select(*cols), "p", [STUDY, "term"])
+    return materialise(benjamini_hochberg(materialise(table.select(*cols)), "p", [STUDY, "term"]))
 
 
 def mannwhitney(cells: DataFrame, samples: DataFrame, contrast: str, reference: str, alpha: float = 0.05) -> DataFrame:
@@ -449,7 +450,7 @@ def differential_abundance(
     projection, terms = design(samples, contrast, covariates, reference, categorical, design_id)
     if terms.where("low_cardinality").take(1):
         warnings.warn("a numeric column with few distinct values is fitted as a slope", stacklevel=2)
-    fits = add_variance(ols(cells, projection), terms)
+    fits = materialise(add_variance(ols(cells, projection), terms))
     table, info = _finish(fits, terms, method == "moderated", trend, alpha)
     sizes = projection.groupBy(STUDY, "design_id").agg(F.count(F.lit(1)).alias("n_samples"))
     dfs = terms.groupBy(STUDY, "design_id").agg(F.first("df").alias("residual_df"))
@@ -544,7 +545,7 @@ def concordance(a: DataFrame, b: DataFrame, by: Sequence[str] = (STUDY,), thresh
     """Agreement of two result tables over the same features."""
     cols = ["effect", "t", "p", "q"]
     side = lambda df, s: df.select(*by, FEATURE, *[F.col(c).alias(f"{c}_{s}") for c in cols])
-    both = side(a, "a").join(side(b, "b"), [*by, FEATURE])
+    both = materialise(side(a, "a").join(side(b, "b"), [*by, FEATURE]))
     ha, hb = F.coalesce(F.col("q_a") < threshold, F.lit(False)), F.coalesce(F.col("q_b") < threshold, F.lit(False))
     out = both.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_features"),
@@ -571,7 +572,7 @@ def trend_table(trend: DataFrame, plain: DataFrame, thresholds: Sequence[float]
     """Trend and constant-prior results side by side with the hit flags of both."""
     keys = [STUDY, "design_id", FEATURE, "term"]
     other = plain.select(*keys, *[F.col(c).alias(f"plain_{c}") for c in ("se", "t", "p", "q")])
-    joined = trend.join(other, keys)
+    joined = materialise(trend.join(other, keys))
     flags = {}
     for t in thresholds:
         tag = f"q{int(t * 100):02d}"

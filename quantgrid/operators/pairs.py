@@ -378,11 +378,11 @@ def moderated_one_sample(diffs: DataFrame, roles: DataFrame, alpha: float = 0.05
     """
     pairs = materialise(roles.groupBy(STUDY).agg(F.count_distinct("pair_id").alias("_pairs")))
     sums = diffs.groupBy(*FEATURE_KEY).agg(F.count(value).alias("n"), F.avg(value).alias("effect"), F.var_samp(value).alias("sigma2"))
-    fits = sums.join(pairs, STUDY).where("n = _pairs").drop("_pairs").withColumn("df", F.col("n") - 1)
+    fits = materialise(sums.join(pairs, STUDY).where("n = _pairs").drop("_pairs").withColumn("df", F.col("n") - 1))
     prior = eb_prior(fits, [STUDY], MIN_PAIRED_FEATURES)
     post = moderate(fits, prior, [STUDY])
     table = t_statistics(post, "effect", F.sqrt(F.col("var_post") / F.col("n")), F.col("df_total"), alpha)
-    return benjamini_hochberg(table.drop("var_post", "d0", "s0_sq"), "p", [STUDY]), prior
+    return benjamini_hochberg(materialise(table.drop("var_post", "d0", "s0_sq")), "p", [STUDY]), prior
 
 
 def effects_by_class(table: DataFrame, others: dict[str, DataFrame], classes: DataFrame, n: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -423,6 +423,6 @@ def same_detection(a: DataFrame, b: DataFrame, flagged: DataFrame | None = None)
     else:
         both = both.withColumn("_f", F.lit(False))
     depth = both.groupBy(*SAMPLE_KEY).agg(
-        F.count_if("_a").alias("n_detected"), F.count_if("_a and not _f").alias("n_detected_unflagged")
+        F.count_if("_a").alias("n_detected"), F.count_if(F.expr("_a and not _f")).alias("n_detected_unflagged")
     )
     return conflicts, depth

@@ -180,15 +180,18 @@ def distinct_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str = "rank") -> DataFrame:
     """Add the average rank of ``value`` in its group (NULL stays NULL)."""
     keys = list(keys)
+    if fits_plainly(df):
+        return bounded_average_ranks(df, keys, value, name)
     ranks = distinct_ranks(df, keys, value).select(*keys, value, F.col("rank_avg").alias(name))
     return df.join(ranks, [*keys, value], "left")
 
 
 def bounded_average_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str = "rank") -> DataFrame:
     """Average ranks for groups bounded by the number of samples of a study."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
-    return df.withColumn(name, F.when(F.col(value).isNotNull(), F.rank().over(w) + (ties - 1) / 2.0))
+    w = Window.partitionBy(*keys).orderBy(F.col(value).asc_nulls_last())
+    # The default frame runs to the last tie, so its count is the highest rank of the ties.
+    last = F.count(value).over(w)
+    return df.withColumn(name, F.when(F.col(value).isNotNull(), (F.rank().over(w) + last) / 2.0))
 
 
 def row_positions(
@@ -204,7 +207,12 @@ def row_positions(
     Also adds ``<name>_n``, the group's row count. Rows with a NULL value are left out.
     """
     keys = list(keys)
-    placed = _with_range(df.where(F.col(value).isNotNull()), keys, value)
+    df = df.where(F.col(value).isNotNull())
+    if fits_plainly(df):
+        order = F.col(value).desc() if descending else F.col(value).asc()
+        here = F.row_number().over(Window.partitionBy(*keys).orderBy(order, *tie)).cast("long")
+        return df.withColumn(name, here).withColumn(f"{name}_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    placed = _with_range(df, keys, value)
     order = F.col(value).desc() if descending else F.col(value).asc()
     w = Window.partitionBy(*keys, "_range").orderBy(order, *tie)
     offsets = _offsets(placed, keys, F.lit(1), descending)
@@ -236,6 +244,12 @@ def benjamini_hochberg(
 ) -> DataFrame:
     """Add BH-adjusted ``p`` within each family; missing ``p`` is outside the family."""
     by = list(by)
+    if fits_plainly(df):
+        up = Window.partitionBy(*by).orderBy(F.col(p).asc_nulls_last())
+        down = Window.partitionBy(*by).orderBy(F.col(p).desc_nulls_last())
+        step = F.col(p) * F.count(p).over(Window.partitionBy(*by)) / F.count(p).over(up)
+        best = F.least(F.min("_s").over(down), F.lit(1.0))
+        return df.withColumn("_s", step).withColumn(name, F.when(F.col(p).isNotNull(), best)).drop("_s")
     ranks = distinct_ranks(df, by, p).withColumn("_s", F.col(p) * F.col("n") / F.col("rank_max"))
     inside = Window.partitionBy(*by, "_range").orderBy(F.col(p).desc()).rowsBetween(
         Window.unboundedPreceding, 0

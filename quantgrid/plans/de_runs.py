@@ -32,7 +32,7 @@ def run_designs(
     solved = [design(samples, c, covs, reference, (), name) for name, (c, covs) in designs.items()]
     projection = reduce(DataFrame.unionByName, [p for p, _ in solved])
     terms = reduce(DataFrame.unionByName, [t for _, t in solved])
-    fits = add_variance(ols(cells, projection), terms)
+    fits = materialise(add_variance(ols(cells, projection), terms))
     return _finish(fits, terms, method == "moderated", trend, alpha)
 
 
@@ -73,11 +73,11 @@ def relabel(
     """
     sheets = labellings(samples, control, treated)
     projection, terms = design(sheets, "condition", covariates, {"condition": control})
-    fits = add_variance(ols(cells, projection), terms)
+    fits = materialise(add_variance(ols(cells, projection), terms))
     table, prior = _finish(fits, terms, True, False, 0.05)
     rows = materialise(table.where("is_contrast").select(STUDY, "design_id", "p", "q"))
     by = [STUDY, "design_id"]
-    hits = rows.groupBy(*by).agg(F.count_if("q < 0.1").alias("hits_q10"), F.min("q").alias("min_q"))
+    hits = rows.groupBy(*by).agg(F.count_if(F.col("q") < 0.1).alias("hits_q10"), F.min("q").alias("min_q"))
     cal = calibration(rows, by).select(*by, "density_first_bin", "density_low_quarter")
     out = hits.join(pi0(rows, by).select(*by, "pi0"), by).join(cal, by).join(prior.select(*by, "d0"), by)
     out = materialise(out.withColumn("observed", F.col("design_id") == "000000"))
