@@ -83,7 +83,7 @@ def agreement_corr(
 ) -> DataFrame:
     """Correlation battery; with ``draws`` a cluster-bootstrap interval over features."""
     by = ["comparison", "subset", "scope", "scope_sample", STUDY]
-    rows = comparison_rows(df, comparisons, samples)
+    rows = materialise(comparison_rows(df, comparisons, samples))
     counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_cells"), F.count_distinct(FEATURE).alias("n_features"))
     out = []
     for m in methods:
