@@ -13,7 +13,7 @@ from quantgrid.session import materialise
 
 SAMPLE_KEY = [STUDY, SAMPLE]
 MAD_CONSISTENCY = 1.4826
-LIKELIHOOD_GAIN = 1e-6
+LIKELIHOOD_GAIN = 1e-5
 
 
 def require_complete(cells: DataFrame) -> DataFrame:
@@ -136,7 +136,7 @@ def _vsn_round(cells: DataFrame, params: DataFrame) -> DataFrame:
         keep("like", "best").alias("best"),
         keep("a", "a0").alias("a0"),
         keep("log_b", "log_b0").alias("log_b0"),
-        # A gain far below one unit of likelihood per million cells is the end as well.
+        # A gain below 1e-5 of likelihood per cell is the end as well.
         F.when(F.col("gain").between(0, LIKELIHOOD_GAIN), zero).otherwise(moved).alias("moved"),
     )
 

@@ -168,8 +168,8 @@ def read_samples(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
 
 
 def read_mapping(spark: SparkSession, path: str) -> DataFrame:
-    """``run_id, file`` from one line ``1 (fileA), 2 (fileB)``; ``bad`` marks other text."""
-    entries = spark.read.text(path, wholetext=True).select(
+    """``run_id, file`` from lines like ``1 (fileA), 2 (fileB)``; ``bad`` marks other text."""
+    entries = spark.read.text(path).select(
         F.explode(F.split(F.trim("value"), r"\s*,\s*")).alias("entry")
     )
     pattern = r"^(\d+) \((.+)\)$"
