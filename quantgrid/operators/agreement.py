@@ -611,24 +611,44 @@ def perm_p_rowwise(df: DataFrame, x: str, y: str, method: str = "pearson") -> Da
     assert_empty(runs.where(F.col("k") > PERMUTATION_RUNS), f"exact permutation needs at most {PERMUTATION_RUNS} runs")
 
     def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        orders: dict[int, np.ndarray] = {}
+        halves: dict[int, tuple] = {}
         for batch in batches:
             size = batch["zx"].map(len)
             for n, part in batch.groupby(size):
-                if n not in orders:
-                    orders[n] = np.array(list(itertools.permutations(range(n))), dtype=np.int64)
+                if n not in halves:
+                    halves[n] = _order_halves(int(n))
                 zx, zy = np.stack(part["zx"].to_numpy()), np.stack(part["zy"].to_numpy())
                 r, p = np.empty(len(part)), np.empty(len(part))
                 for start in range(0, len(part), 16):
                     a, b = zx[start : start + 16], zy[start : start + 16]
-                    null = np.matmul(b[:, orders[n]], a[:, :, None])[:, :, 0] / n
-                    r[start : start + 16] = null[:, 0]
-                    p[start : start + 16] = (np.abs(null) >= np.abs(null[:, :1]) - TOLERANCE).mean(axis=1)
+                    null = _all_orders(a, b, *halves[n])
+                    seen = (a * b).mean(axis=1)
+                    r[start : start + 16] = seen
+                    p[start : start + 16] = (np.abs(null) >= np.abs(seen)[:, None, None] - TOLERANCE).mean(axis=(1, 2))
                 yield pd.DataFrame({STUDY: part[STUDY], FEATURE: part[FEATURE], "r": r, "p": p})
 
     return vectors.mapInPandas(test, f"{STUDY} string, {FEATURE} string, r double, p double")
 
 
+def _order_halves(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All orders of n runs as a first half and, per set left over, its orders."""
+    h = n // 2
+    first = list(itertools.permutations(range(n), h))
+    rest = sorted({tuple(sorted(set(range(n)) - set(p))) for p in first})
+    at = {r: i for i, r in enumerate(rest)}
+    left = np.array([at[tuple(sorted(set(range(n)) - set(p)))] for p in first], dtype=np.int64)
+    second = np.array([list(itertools.permutations(r)) for r in rest], dtype=np.int64)
+    return np.array(first, dtype=np.int64).reshape(len(first), h), left, second
+
+
+def _all_orders(zx: np.ndarray, zy: np.ndarray, first: np.ndarray, left: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Correlation under every order: half sums are shared between orders."""
+    h = first.shape[1]
+    a = (zy[:, first] * zx[:, None, :h]).sum(axis=2)
+    b = (zy[:, second] * zx[:, None, None, h:]).sum(axis=3)
+    return (a[:, :, None] + b[:, left, :]) / zx.shape[1]
+
+
 def perm_null_shared(df: DataFrame, x: str, y: str, method: str = "pearson") -> DataFrame:
     """Null of the mean row correlation when all features share one run order.
 
