@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from quantgrid.llm import bpe, idfiles, packing
+from quantgrid.llm import bpe, idfiles, lines, packing
 
 QUERIES = {
     f.__name__: f
     for f in (
+        lines.op3_levelled_line_dedup,
         bpe.op5_prefix_bpe,
         idfiles.op6_context_mixing_files,
         packing.op9_best_fit_packing,
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op3_levelled_line_dedup": lines.OP3_SQL}
