@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quantgrid.llm import bpe, idfiles, lines, packing
+from quantgrid.llm import bpe, idfiles, jaccard, lines, packing
 
 QUERIES = {
     f.__name__: f
@@ -10,6 +10,7 @@ QUERIES = {
         lines.op3_levelled_line_dedup,
         bpe.op5_prefix_bpe,
         idfiles.op6_context_mixing_files,
+        jaccard.op8_chosen_path_join,
         packing.op9_best_fit_packing,
     )
 }
