@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quantgrid.llm import bpe, idfiles, jaccard, lines, packing
+from quantgrid.llm import bpe, idfiles, jaccard, lines, packing, quality
 
 QUERIES = {
     f.__name__: f
     for f in (
         lines.op3_levelled_line_dedup,
+        quality.op4_bradley_terry_quality,
         bpe.op5_prefix_bpe,
         idfiles.op6_context_mixing_files,
         jaccard.op8_chosen_path_join,
