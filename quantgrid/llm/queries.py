@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from quantgrid.llm import bpe, credentials, idfiles, jaccard, lines, packing, quality, syncmers
+from quantgrid.llm import bpe, credentials, idfiles, jaccard, lines, outliers, packing, privacy, quality, syncmers
 
 QUERIES = {
     f.__name__: f
     for f in (
         syncmers.op1_closed_syncmers,
+        privacy.op2_weak_supervision_pii,
         lines.op3_levelled_line_dedup,
         quality.op4_bradley_terry_quality,
         bpe.op5_prefix_bpe,
         idfiles.op6_context_mixing_files,
+        outliers.op7_mcd_quality_rules,
         jaccard.op8_chosen_path_join,
         packing.op9_best_fit_packing,
         credentials.op10_window_entropy_secrets,
