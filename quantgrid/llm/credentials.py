@@ -106,6 +106,26 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.select("doc_id", "_found.base", "_found.spans", *[F.col(f"_carry_{c}").alias(c) for c in carry])
 
 
+def redact_secrets(docs: DataFrame, mark: str = "[secret]", id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and text, with ``mark`` for each stretch covered by spans of ``find_secrets``, and the columns in ``carry``."""
+    base = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), *[F.col(c).alias(f"_carry_{c}") for c in carry])
+    found = find_secrets(base, id_col, "_text", carry=("_text", *(f"_carry_{c}" for c in carry)))
+
+    def cut(text: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+        def step(acc: Column, x: Column) -> Column:
+            before = F.array(F.substring(text, acc.at + 1, x.start - acc.at), F.lit(mark))
+            out = F.when(x.start >= acc.at, F.concat(acc.out, before)).otherwise(acc.out)
+            return F.struct(F.greatest(acc.at, x.end).alias("at"), out.alias("out"))
+
+        rest = lambda acc: F.concat(F.array_join(acc.out, ""), F.substring(text, acc.at + 1, F.length(text)))
+        return F.aggregate("spans", zero, step, rest)
+
+    clean = F.when(F.size("spans") == 0, F.col("_text")).otherwise(cut(F.col("_text")))
+    return found.select("doc_id", clean.alias("text"), *[F.col(f"_carry_{c}").alias(c) for c in carry])
+
+
 def op10_window_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(documents(spark, sf_dir))
     n = [F.expr(f"cast(size(filter(base, x -> x.kind = {k})) as long)").alias(f"n_{KINDS[k]}") for k in range(3)]

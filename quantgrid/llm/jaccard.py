@@ -232,5 +232,16 @@ def _real(col: str, name: str) -> Column:
     return F.when(F.col(col) > NULL_ID, F.col(col)).alias(name)
 
 
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay when each class of near duplicates keeps its least doc_id, in one row.
+
+    Without an id there is no least one: of those rows one of each text stays, and so does no other row of their class.
+    """
+    found = near_duplicates(docs, threshold, id_col=id_col, text_col=text_col)
+    least = materialise(found.where("doc_id = class_id").select(F.col("doc_id").alias("_keeper")).distinct())
+    kept = docs.join(least, F.col(id_col) == F.col("_keeper"), "left_semi").dropDuplicates([id_col])
+    return kept.unionByName(docs.where(F.col(id_col).isNull()).dropDuplicates([text_col]))
+
+
 def op8_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
