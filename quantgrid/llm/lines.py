@@ -84,7 +84,8 @@ def dedup_lines(docs: DataFrame, batches: int = 4, fanout: int = 3, id_col: str
     spark = docs.sparkSession
     folder = f"{shared_dir(spark).rstrip('/')}/quantgrid/lines-{uuid.uuid4().hex}"
     base = docs.select(key_of(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.col(id_col).cast("long").alias("doc_id"), *carry)
-    cuts = base.approxQuantile("_id", [i / batches for i in range(1, batches)], 0.01)
+    shares = [i / batches for i in range(1, batches)]
+    cuts = (base.agg(F.percentile_approx("_id", shares, 1000)).first()[0] or []) if shares else []
 
     def keys(rows):
         for batch in rows:
@@ -95,7 +96,7 @@ def dedup_lines(docs: DataFrame, batches: int = 4, fanout: int = 3, id_col: str
                 hashes += own
             if ids:
                 halves = np.frombuffer(b"".join(hashes), ">i8").astype(np.int64).reshape(-1, 2)
-                at = np.searchsorted(np.array(cuts), np.array(ids, np.int64), "left").astype(np.int32)
+                at = np.searchsorted(np.array(cuts, np.int64), np.array(ids, np.int64), "left").astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(ids, pa.int64())], names=["batch", "_hi", "_lo", "_id"])
 
     base.select("_id", "_text").mapInArrow(keys, "batch int, _hi long, _lo long, _id long").write.partitionBy("batch").parquet(f"{folder}/keys")
