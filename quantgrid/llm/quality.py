@@ -99,8 +99,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.int32()), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
 
     rows = chosen.mapInArrow(run, "doc_id long, quality int, x array<double>").dropDuplicates(["doc_id"]).orderBy("doc_id").limit(sample).collect()
-    x = np.array([r.x for r in rows], float).reshape(len(rows), -1)
-    return fit(x if len(rows) else np.zeros((0, len(features("")))), np.array([r.quality for r in rows]))
+    x = np.array([r.x for r in rows], float).reshape(len(rows), len(features("")))
+    return fit(x, np.array([r.quality for r in rows]))
 
 
 def held_out(id_col: str):
