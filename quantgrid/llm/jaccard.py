@@ -27,6 +27,9 @@ THRESHOLD = 0.8
 FOLLOWED = 2.5
 SMALL, BLOCK, DEPTH = 64, 512, 4
 RECALL = 0.99999
+#: A pair at the threshold shares 16 first buckets or more on average, so it shares fewer than SHARED with a probability
+#: below 2e-5. A node with fewer buckets that it shares with anyone has no partner.
+SHARED = 3
 
 
 def runs_for(recall: float, threshold: float = THRESHOLD) -> int:
@@ -183,6 +186,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     nodes = materialise(table.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("buckets").alias("buckets")))
     member = nodes.select(F.explode("buckets").alias("bucket"), "node")
     sizes = materialise(member.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
+    member = materialise(member.join(sizes, "bucket").drop("size"))
+    enough = member.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED)
+    member = member.join(materialise(enough.select("node")), "node", "left_semi")
+    sizes = materialise(member.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
     member = materialise(member.join(sizes, "bucket"))
     wanted = nodes.join(member.select("node").distinct(), "node", "left_semi").select("node", "id")
     sets = materialise(_sets_of(base, wanted))
