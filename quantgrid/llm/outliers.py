@@ -26,6 +26,8 @@ WINDOW, LEAST_WORDS, REPEAT_PERCENT = 5, 10, 20
 PARTS = {"x_length": 0.06, "x_symbols": 0.35, "x_lines": 0.10, "x_repeats": 0.05}
 #: Share of a group that concentration steps keep, their number at most, the documents that a group needs.
 SUPPORT, STEPS, LEAST_ROWS = 0.75, 8, 60
+#: A group may hold a third of all rows; joins with the small tables of groups deal it over so many salts.
+SALTS = 64
 #: Chi-square probability of the cut.
 CONFIDENCE = 0.99999
 
@@ -110,6 +112,11 @@ def _distance() -> Column:
     return reduce(Column.__add__, [x * x for x in z])
 
 
+def _join(rows: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join rows, with their ``salt``, to one row a key, written once a salt."""
+    return rows.join(small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, "salt"], how)
+
+
 def _floored(i: int, j: int, value: Column) -> Column:
     return value + F.lit(PARTS[_NAMES[i]] ** 2 if i == j else 0.0)
 
@@ -117,20 +124,21 @@ def _floored(i: int, j: int, value: Column) -> Column:
 def concentrate(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     """Minimum-covariance-determinant parameters of each ``grp``: centre, and Cholesky factor of the scatter.
 
-    It starts from the medians and median deviations. Only per-group values leave the aggregations.
+    ``rows`` has a ``salt`` below SALTS. It starts from the medians and median deviations. Only per-group values
+    leave the aggregations.
     """
     d = len(_NAMES)
     q = chi2_quantile(SUPPORT, d)
     scale = SUPPORT / chi2_cdf(q, d + 2)  # makes the scatter of the inner part that of the whole
     medians = rows.groupBy("grp").agg(*[F.percentile_approx(x, 0.5, 1000).alias(f"m_{i}") for i, x in enumerate(_NAMES)])
     medians = materialise(medians)
-    spread = rows.join(medians, "grp").groupBy("grp").agg(*[F.first(f"m_{i}").alias(f"m_{i}") for i in range(d)], *[F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{i}")), 0.5, 1000).alias(f"s_{i}") for i, x in enumerate(_NAMES)])
+    spread = _join(rows, medians, "grp").groupBy("grp").agg(*[F.first(f"m_{i}").alias(f"m_{i}") for i in range(d)], *[F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{i}")), 0.5, 1000).alias(f"s_{i}") for i, x in enumerate(_NAMES)])
     start = spread.select("grp", *[f"m_{i}" for i in range(d)], *[_floored(i, j, (1.4826 * F.col(f"s_{i}")) ** 2 if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i, j in _entries()])
     params = materialise(_lower(start))
     for _ in range(steps):
-        near = rows.join(params, "grp").select("grp", *_NAMES, _distance().alias("d"))
+        near = _join(rows, params, "grp").select("grp", "salt", *_NAMES, _distance().alias("d"))
         cut = materialise(near.groupBy("grp").agg(F.percentile_approx("d", SUPPORT, 2000).alias("cut")))
-        inner = near.join(cut, "grp").where("d <= cut")
+        inner = _join(near, cut, "grp").where("d <= cut")
         moments = inner.groupBy("grp").agg(*[F.avg(x).alias(f"m_{i}") for i, x in enumerate(_NAMES)], *[F.covar_pop(_NAMES[i], _NAMES[j]).alias(f"v_{i}_{j}") for i, j in _entries()])
         fresh = materialise(_lower(moments.select("grp", *[f"m_{i}" for i in range(d)], *[_floored(i, j, scale * F.col(f"v_{i}_{j}")).alias(f"c_{i}_{j}") for i, j in _entries()])))
         moved = reduce(F.greatest, [F.abs(F.col(f"a.m_{i}") - F.col(f"b.m_{i}")) / F.col(f"a.l_{i}_{i}") for i in range(d)])
@@ -154,19 +162,19 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = rows.select("doc_id", "a", "b", statistics(F.col("_text")).alias("s")).select("doc_id", "a", "b", "s.w.*", "s.l.*", "s.n_symbols")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     pair, own = F.to_json(F.array("a", "b")), F.to_json(F.array("a"))
-    rows = materialise(rows.withColumn("base_failed", failed).withColumns(vector()).withColumn("fine", pair))
+    rows = materialise(rows.withColumn("base_failed", failed).withColumns(vector()).withColumn("fine", pair).withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int")))
     # Which group judges each language and source.
     sizes = materialise(rows.groupBy("fine", "a").agg(F.sum(F.when(~F.col("base_failed"), 1).otherwise(0)).alias("n")))
     few = sizes.where(F.col("n") < LEAST_ROWS).groupBy(own.alias("lang")).agg(F.sum("n").alias("n_lang"))
     named = sizes.withColumn("lang", own).join(few, "lang", "left")
     grp = F.when(F.col("n") >= LEAST_ROWS, F.col("fine")).when(F.col("n_lang") >= LEAST_ROWS, F.col("lang")).otherwise("all")
     named = materialise(named.select("fine", grp.alias("grp")))
-    rows = rows.join(named, "fine")
-    passed = rows.where(~F.col("base_failed")).select("grp", *_NAMES)
+    rows = materialise(_join(rows, named, "fine").drop("fine"))
+    passed = rows.where(~F.col("base_failed")).select("grp", "salt", *_NAMES)
     enough = passed.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_ROWS).select("grp")
-    params = concentrate(materialise(passed.join(materialise(enough), "grp")))
+    params = concentrate(materialise(_join(passed, materialise(enough), "grp")))
     cut = chi2_quantile(CONFIDENCE, len(_NAMES))
-    out = rows.join(params, "grp", "left").withColumn("distance", _distance())
+    out = _join(rows, params, "grp", "left").withColumn("distance", _distance())
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cut, F.lit(True))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
 
