@@ -53,15 +53,14 @@ _LONG = """, lng AS (SELECT study_id, 'all_common' AS subset, feature_id, sample
 sc AS (SELECT study_id, subset, 'pooled_cells' AS scope, 'all' AS scope_sample, feature_id, x, y FROM lng UNION ALL SELECT study_id, subset, 'per_sample', sample_id, feature_id, x, y FROM lng
  UNION ALL SELECT study_id, subset, 'feature_mean', 'mean_over_runs', feature_id, avg(x), avg(y) FROM lng GROUP BY study_id, subset, feature_id),
 rk AS (SELECT *, rank() OVER (PARTITION BY study_id, subset, scope, scope_sample ORDER BY x) + (count(*) OVER (PARTITION BY study_id, subset, scope, scope_sample, x) - 1) / 2.0 AS rx,
- rank() OVER (PARTITION BY study_id, subset, scope, scope_sample ORDER BY y) + (count(*) OVER (PARTITION BY study_id, subset, scope, scope_sample, y) - 1) / 2.0 AS ry FROM (SELECT * REPLACE (round(y, 9) AS y) FROM sc)),
+ rank() OVER (PARTITION BY study_id, subset, scope, scope_sample ORDER BY y) + (count(*) OVER (PARTITION BY study_id, subset, scope, scope_sample, y) - 1) / 2.0 AS ry FROM (SELECT * REPLACE (round(x, 9) AS x, round(y, 9) AS y) FROM sc)),
 res AS (SELECT study_id, subset, scope, scope_sample, count(*) AS n_cells, count(DISTINCT feature_id) AS n_features, corr(x, y) AS pearson, corr(rx, ry) AS spearman FROM rk GROUP BY ALL)"""
 
 
-@query("agreement_correlations", xy_sql("one", _LONG + f" SELECT study_id, 'value_vs_count' AS comparison, subset, scope, scope_sample, n_cells, n_features, 'pearson' AS method, {R('pearson')} AS r FROM res UNION ALL SELECT study_id, 'value_vs_count', subset, scope, scope_sample, n_cells, n_features, 'spearman', {R('spearman')} FROM res WHERE scope <> 'feature_mean'"))
+@query("agreement_correlations", xy_sql("one", _LONG + f" SELECT study_id, 'value_vs_count' AS comparison, subset, scope, scope_sample, n_cells, n_features, 'pearson' AS method, {R('pearson')} AS r FROM res UNION ALL SELECT study_id, 'value_vs_count', subset, scope, scope_sample, n_cells, n_features, 'spearman', {R('spearman')} FROM res"))
 def agreement_correlations(spark, d):
-    """Rank rows of feature means are left out: equal means of logs differ in their last bit."""
     t = ag.agreement_corr(cells(spark, d), {"value_vs_count": ("x", "y")}, tb.samples(spark, d))
-    return t.where("method = 'pearson' or scope <> 'feature_mean'").select(STUDY, "comparison", "subset", "scope", "scope_sample", "n_cells", "n_features", "method", rd("r"))
+    return t.select(STUDY, "comparison", "subset", "scope", "scope_sample", "n_cells", "n_features", "method", rd("r"))
 
 
 @query("bootstrap_weights", xy_sql("one", "SELECT study_id, draw, cast(count(DISTINCT feature_id) AS double) AS total FROM xy CROSS JOIN (SELECT unnest(range(1, 21)) AS draw) GROUP BY ALL"))

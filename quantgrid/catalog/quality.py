@@ -189,7 +189,7 @@ def median_cv(spark, d):
 
 
 @query("cv_histogram", with_sql("one", "")[:-1] + f""", {_ST}, c AS (SELECT state, study_id, feature_id, stddev_samp(value) / avg(value) AS cv FROM st GROUP BY ALL), u AS (SELECT study_id, quantile_cont(cv, 0.995) AS up FROM c GROUP BY ALL)
-SELECT state, study_id, {R('up')} AS upper, least(cast(floor(cv * 60 / up) AS int), 59) AS bin, count(*) AS n FROM c JOIN u USING (study_id) WHERE cv <= up GROUP BY ALL""")
+SELECT state, study_id, {R('up')} AS upper, CASE WHEN cv > up THEN 60 ELSE least(cast(floor(cv * 60 / up) AS int), 59) END AS bin, count(*) AS n FROM c JOIN u USING (study_id) GROUP BY ALL""")
 def cv_histogram(spark, d):
     h = qc.cv_histogram(qc.cv(_states(spark, d)))
     return h.select("state", STUDY, rd("upper"), "bin", "n")

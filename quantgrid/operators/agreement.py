@@ -81,9 +81,12 @@ def comparison_rows(df: DataFrame, comparisons: Mapping[str, tuple[str, str]], s
 def agreement_corr(
     df: DataFrame, comparisons: Mapping[str, tuple[str, str]], samples: DataFrame, methods: Sequence[str] = ("pearson", "spearman"), draws: int = 0, seed: int = 0
 ) -> DataFrame:
-    """Correlation battery; with ``draws`` a cluster-bootstrap interval over features."""
+    """Correlation battery; with ``draws`` a cluster-bootstrap interval over features.
+
+    Values are rounded to 9 digits first: equal means of logs differ in their last bit, and would be ranked apart.
+    """
     by = ["comparison", "subset", "scope", "scope_sample", STUDY]
-    rows = materialise(comparison_rows(df, comparisons, samples))
+    rows = materialise(comparison_rows(df, comparisons, samples).withColumns({c: F.round(c, 9) for c in ("x", "y")}))
     counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_cells"), F.count_distinct(FEATURE).alias("n_features"))
     out = []
     for m in methods:
@@ -668,8 +671,12 @@ def perm_null_shared(df: DataFrame, x: str, y: str, method: str = "pearson") ->
         if k > PERMUTATION_RUNS:
             raise ValueError(f"exact permutation needs at most {PERMUTATION_RUNS} runs")
         count = float(pdf["n_features"].iloc[0])
-        orders = np.array(list(itertools.permutations(range(k))), dtype=np.int64)
-        null = m[np.arange(k)[None, :], orders].sum(axis=1) / (k * count)
+        # One run after the other takes a partner that is still free; the first sum is that of the order as it is.
+        sums, taken = np.zeros(1), np.zeros(1, dtype=np.int64)
+        for run in range(k):
+            at, partner = np.nonzero((taken[:, None] >> np.arange(k)) & 1 == 0)
+            sums, taken = sums[at] + m[run, partner], taken[at] | (1 << partner)
+        null = sums / (k * count)
         return pd.DataFrame([_null_summary(pdf[STUDY].iloc[0], count, null[0], null)])
 
     return cross.join(sizes, STUDY).groupBy(STUDY).applyInPandas(enumerate_orders, _NULL)

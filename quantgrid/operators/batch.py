@@ -95,6 +95,7 @@ def _posterior(tol: float):
         g_star, d_star = g.copy(), d.copy()
         # A batch whose scale does not vary between features has no scale prior.
         fixed = ~np.isfinite(a)
+        live = np.ones(len(g), bool)  # each row goes on until it has converged itself, whatever rows came with it
         for _ in range(10_000):
             g_new = (n * tau2 * g + d_star * bar) / (n * tau2 + d_star)
             around = (n - 1) * d + n * (g - g_new) ** 2
@@ -102,12 +103,10 @@ def _posterior(tol: float):
                 d_new = (b + 0.5 * around) / (n / 2 + a - 1)
             d_new = np.where(fixed, d, d_new)
             with np.errstate(invalid="ignore", divide="ignore"):
-                change = np.nanmax([
-                    np.nanmax(np.abs(g_new - g_star) / np.maximum(np.abs(g_star), 1e-12), initial=0.0),
-                    np.nanmax(np.abs(d_new - d_star) / np.maximum(d_star, 1e-12), initial=0.0),
-                ])
-            g_star, d_star = g_new, d_new
-            if change < tol:
+                change = np.fmax(np.abs(g_new - g_star) / np.maximum(np.abs(g_star), 1e-12), np.abs(d_new - d_star) / np.maximum(d_star, 1e-12))
+            g_star, d_star = np.where(live, g_new, g_star), np.where(live, d_new, d_star)
+            live &= change >= tol
+            if not live.any():
                 break
         return pd.DataFrame({"gamma_star": g_star, "delta_star": d_star})
 

@@ -309,11 +309,12 @@ def cv_alignment(cvs: DataFrame) -> DataFrame:
 
 
 def cv_histogram(cvs: DataFrame, bins: int = 60) -> DataFrame:
-    """Histogram per state up to the study's pooled 99.5th percentile; beyond it is cut."""
+    """Histogram per state up to the study's pooled 99.5th percentile; bin ``bins`` holds what lies beyond."""
     bound = materialise(group_quantiles(cvs, [STUDY], "cv", [0.995], ["upper"]))
-    inside = cvs.where(F.col("cv").isNotNull()).join(bound, STUDY).where(F.col("cv") <= F.col("upper"))
+    rows = cvs.where(F.col("cv").isNotNull()).join(bound, STUDY)
     index = F.least(F.floor(F.try_divide(F.col("cv") * bins, F.col("upper"))), F.lit(bins - 1)).cast("int")
-    return inside.groupBy("state", STUDY, "upper", index.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    index = F.when(F.col("cv") > F.col("upper"), bins).otherwise(index)
+    return rows.groupBy("state", STUDY, "upper", index.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def sample_corr(cells: DataFrame, method: str = "pearson") -> DataFrame:

@@ -52,10 +52,8 @@ def save_result(df: DataFrame, root: str, analysis: str, key: str) -> str:
 
 
 def load_result(spark: SparkSession, root: str, analysis: str, key: str) -> DataFrame:
-    stored = spark.read.parquet(root)
-    return stored.where((F.col("analysis") == analysis) & (F.col("fingerprint") == key)).drop(
-        "analysis", "fingerprint"
-    )
+    """The result with its own columns; other results below ``root`` are neither listed nor read."""
+    return spark.read.parquet(f"{root}/analysis={analysis}/fingerprint={key}")
 
 
 def data_version(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:

@@ -34,15 +34,30 @@ def named(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+def headers(spark: SparkSession, path: str) -> DataFrame:
+    """The first line of every file as ``file, header``.
+
+    Only each file's first block is looked at; it is read by one task, from its beginning.
+    """
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start").where("file_block_start = 0")
+    first = lines.groupBy(F.col("file_path").alias("file")).agg(F.first("value").alias("header"))
+    return first.withColumn("header", F.regexp_replace("header", r"[\r\n]+$", ""))
+
+
 def header_cells(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
-    """The first line of a text file as ``position, name``."""
-    first = spark.read.text(path).limit(1)
-    cells = F.split(F.regexp_replace("value", r"[\r\n]+$", ""), re.escape(sep))
-    return first.select(F.posexplode(cells).alias("position", "name"))
+    """The header as ``position, name``; of several files the one that sorts first."""
+    first = headers(spark, path).agg(F.min("header").alias("header")).where(F.col("header").isNotNull())
+    return first.select(F.posexplode(F.split("header", re.escape(sep))).alias("position", "name"))
 
 
 def assert_unique_header(spark: SparkSession, path: str, sep: str = "\t") -> None:
-    """Refuse blank or repeated header names before the CSV reader renames them."""
+    """Refuse blank or repeated header names before the CSV reader renames them.
+
+    And files whose headers differ, as columns are assigned by position.
+    """
+    found = headers(spark, path)
+    least = found.agg(F.min("header").alias("least"))
+    assert_empty(found.withColumn("_one", F.lit(1)).join(least.withColumn("_one", F.lit(1)), "_one").where("header <> least").select("file"), f"header unlike that of another file in {path}")
     names = header_cells(spark, path, sep).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
     assert_empty(names.where((F.col("n") > 1) | (F.trim("name") == "")), f"header of {path}")
 
