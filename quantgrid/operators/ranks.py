@@ -1,14 +1,14 @@
 """Exact quantiles, ranks and false-discovery adjustment for groups of any size.
 
 ``percentile`` and a window ordered over a whole group hold that group in one task. The
-operators here first take a bounded sketch per group and then cut the group into value
-ranges, so no task ever sees more than a small share of a group. Equal values are
-counted before any shuffle, so a value that fills a third of the table is one row.
-Groups of at most ``SMALL_GROUP`` rows stay in one range.
+operators here count equal values before any shuffle, so a value that fills a third of the
+table is one row, then count the rows of each group, and cut groups of more than
+``SMALL_GROUP`` rows into value ranges, as many as the largest group needs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,20 +18,7 @@ from quantgrid.session import materialise
 
 SMALL_GROUP = 100_000
 ACCURACY = 10_000
-RANGES = 256  # a power of two; the range of a value is found by bisection
-PLAIN_BYTES = 64 << 20
-
-
-def fits_plainly(df: DataFrame) -> bool:
-    """Whether Catalyst bounds the whole input below ``PLAIN_BYTES``.
-
-    Then every group is that small too and the built-in percentile or one window per
-    group is the better plan. Row-generating plans have no size bound and never qualify.
-    """
-    plan = df._jdf.queryExecution().optimizedPlan()
-    if "Generate" in plan.toString():
-        return False
-    return int(str(plan.stats().sizeInBytes())) <= PLAIN_BYTES
+MOST_RANGES = 4096  # what a sketch of ACCURACY can tell apart
 
 
 def quantile_names(probs: Sequence[float]) -> list[str]:
@@ -55,9 +42,6 @@ def group_quantiles(
     slack = 2.0 / ACCURACY
     edges = [e for p in probs for e in (max(0.0, p - slack), min(1.0, p + slack))]
     base = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    if fits_plainly(base):
-        both = base.groupBy(*keys).agg(F.percentile("_v", F.array(*map(F.lit, probs))).alias("_q"))
-        return both.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
     sketch = materialise(
         base.groupBy(*keys).agg(
             F.count(F.lit(1)).alias("_n"),
@@ -118,20 +102,24 @@ def _join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     return left.withColumn(one, F.lit(1)).join(right.withColumn(one, F.lit(1)), one, how).drop(one)
 
 
-def _with_range(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Add ``_range``: which of the group's value ranges the row falls in."""
-    if fits_plainly(df):
-        n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-        return df.withColumn("_n", n).withColumn("_range", F.lit(0))
-    fractions = [i / RANGES for i in range(1, RANGES)]
-    sketch = materialise(
-        df.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.percentile_approx(F.col(value).cast("double"), fractions, ACCURACY).alias("_all"),
-        ).select(*keys, "_n", F.when(F.col("_n") > SMALL_GROUP, F.col("_all")).alias("_edges"))
-    )
-    out = _join_keys(df, sketch, keys).withColumn("_range", F.lit(0))
-    step = RANGES // 2
+def _with_range(df: DataFrame, keys: list[str], value: str, amount: Column | None = None) -> DataFrame:
+    """Add ``_range``, which of the group's value ranges the row falls in, and ``_n``, the sum of ``amount`` (1 a row).
+
+    Ranges come from a sketch of those groups that have more than ``SMALL_GROUP`` rows; others have one range.
+    """
+    counts = [F.sum(F.lit(1) if amount is None else amount).alias("_n"), F.count(F.lit(1)).alias("_rows")]
+    sizes = materialise(df.groupBy(*keys).agg(*counts))
+    most = sizes.agg(F.max("_rows")).first()[0] or 0
+    out = _join_keys(df, sizes.drop("_rows"), keys).withColumn("_range", F.lit(0))
+    if most <= SMALL_GROUP:
+        return out
+    ranges = min(MOST_RANGES, 2 ** math.ceil(math.log2(most / SMALL_GROUP)))  # a power of two, found by bisection
+    large = sizes.where(F.col("_rows") > SMALL_GROUP).select(*keys)
+    fractions = [i / ranges for i in range(1, ranges)]
+    edges = F.percentile_approx(F.col(value).cast("double"), fractions, ACCURACY).alias("_edges")
+    sketch = materialise(_join_keys(df, large, keys).groupBy(*keys).agg(edges))
+    out = _join_keys(out, sketch, keys, "left")
+    step = ranges // 2
     while step:
         edge = F.get("_edges", F.col("_range") + (step - 1))
         out = out.withColumn(
@@ -142,7 +130,7 @@ def _with_range(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def _offsets(counted: DataFrame, keys: list[str], amount: Column, descending: bool) -> DataFrame:
-    """Rows before each range of a group; at most ``RANGES`` rows per group."""
+    """Rows before each range of a group; at most ``MOST_RANGES`` rows per group."""
     totals = counted.groupBy(*keys, "_range").agg(F.sum(amount).alias("_t"))
     order = F.col("_range").desc() if descending else F.col("_range").asc()
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -156,11 +144,8 @@ def distinct_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """
     keys = list(keys)
     base = df.where(F.col(value).isNotNull()).select(*keys, value)
-    counted = (
-        _with_range(base, keys, value)
-        .groupBy(*keys, "_range", value, "_n")
-        .agg(F.count(F.lit(1)).alias("ties"))
-    )
+    ties = materialise(base.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("ties")))
+    counted = _with_range(ties, keys, value, F.col("ties"))
     w = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     ranked = counted.withColumn("_cum", F.sum("ties").over(w))
     offsets = _offsets(counted, keys, F.col("ties"), descending=False)
@@ -180,8 +165,6 @@ def distinct_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str = "rank") -> DataFrame:
     """Add the average rank of ``value`` in its group (NULL stays NULL)."""
     keys = list(keys)
-    if fits_plainly(df):
-        return bounded_average_ranks(df, keys, value, name)
     ranks = distinct_ranks(df, keys, value).select(*keys, value, F.col("rank_avg").alias(name))
     return df.join(ranks, [*keys, value], "left")
 
@@ -208,10 +191,6 @@ def row_positions(
     """
     keys = list(keys)
     df = df.where(F.col(value).isNotNull())
-    if fits_plainly(df):
-        order = F.col(value).desc() if descending else F.col(value).asc()
-        here = F.row_number().over(Window.partitionBy(*keys).orderBy(order, *tie)).cast("long")
-        return df.withColumn(name, here).withColumn(f"{name}_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
     placed = _with_range(df, keys, value)
     order = F.col(value).desc() if descending else F.col(value).asc()
     w = Window.partitionBy(*keys, "_range").orderBy(order, *tie)
@@ -244,12 +223,6 @@ def benjamini_hochberg(
 ) -> DataFrame:
     """Add BH-adjusted ``p`` within each family; missing ``p`` is outside the family."""
     by = list(by)
-    if fits_plainly(df):
-        up = Window.partitionBy(*by).orderBy(F.col(p).asc_nulls_last())
-        down = Window.partitionBy(*by).orderBy(F.col(p).desc_nulls_last())
-        step = F.col(p) * F.count(p).over(Window.partitionBy(*by)) / F.count(p).over(up)
-        best = F.least(F.min("_s").over(down), F.lit(1.0))
-        return df.withColumn("_s", step).withColumn(name, F.when(F.col(p).isNotNull(), best)).drop("_s")
     ranks = distinct_ranks(df, by, p).withColumn("_s", F.col(p) * F.col("n") / F.col("rank_max"))
     inside = Window.partitionBy(*by, "_range").orderBy(F.col(p).desc()).rowsBetween(
         Window.unboundedPreceding, 0

@@ -1,4 +1,4 @@
-"""Quantiles, ranks and BH against numpy, on the plain and on the range-cut path."""
+"""Quantiles, ranks and BH against numpy, with groups in one range and in many."""
 
 import numpy as np
 import pandas as pd
@@ -18,14 +18,11 @@ def frame(spark):
     return spark.createDataFrame(pdf).persist(), pdf
 
 
-@pytest.fixture(params=["plain", "ranges"])
+@pytest.fixture(params=["one range", "ranges"])
 def path(request, monkeypatch):
     if request.param == "ranges":
-        monkeypatch.setattr(R, "PLAIN_BYTES", 0)
-        monkeypatch.setattr(R, "SMALL_GROUP", 500)
+        monkeypatch.setattr(R, "SMALL_GROUP", 100)
         monkeypatch.setattr(R, "ACCURACY", 1000)
-    else:
-        monkeypatch.setattr(R, "fits_plainly", lambda df: True)
 
 
 def test_quantiles(frame, path):
