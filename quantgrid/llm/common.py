@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quantgrid.session import materialise, ship
 
-__all__ = ["documents", "fields", "key_of", "map_batches", "materialise", "offsets_by_partition", "ship", "sorted_by_id"]
+__all__ = ["batch_of", "documents", "fields", "key_of", "map_batches", "materialise", "offsets_by_partition", "ship", "sorted_by_id"]
 
 #: A null doc_id counts as the one below all others.
 NULL_ID = -(2**63)
@@ -42,6 +42,15 @@ def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list] |
     return df.mapInArrow(run, schema)
 
 
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary()}
+
+
+def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """Tuples as an Arrow batch of the schema ``name type, ...``."""
+    columns = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(list(v), _ARROW[t]) for v, (_, t) in zip(zip(*rows, strict=True), columns, strict=True)], names=[n for n, _ in columns])
+
+
 def sorted_by_id(docs: DataFrame) -> DataFrame:
     """Documents dealt in ranges of ascending doc_id, sorted within each; equal ids stay together."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

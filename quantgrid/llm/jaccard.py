@@ -2,10 +2,13 @@
 
 Documents with equal sets are one node. Each run gives a node the buckets of those of its shingles
 whose hash is below c / n: a few of its n, and the same ones in nodes that share them. A bucket of up to
-``SMALL`` nodes is compared by brute force; a larger one is split again in the same way, by a hash that also
-depends on the path. A bucket that doesn't fall apart, since its nodes are alike, and one that is still large at
-the last level is compared exactly in blocks. Runs are repeated until a pair at the threshold is
-missed with a probability below 1 - recall.
+``SMALL`` nodes is compared by brute force; a larger one is split again in the same way, on the shingles of the
+nodes' sketches and by a hash that also depends on the path. A bucket that doesn't fall apart, since its nodes are
+alike, and one that is still large at the last level is compared in blocks, all with all. Runs are repeated
+until a pair at the threshold is missed with a probability below 1 - recall.
+
+Brute force takes two steps: sketches (the least shingle in each of 64 ranges of hashes) tell which nodes have a
+partner at all, and only their whole sets are then fetched and compared exactly.
 """
 
 from __future__ import annotations
@@ -18,14 +21,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantgrid.llm.common import NULL_ID, documents, fields, key_of, materialise
+from quantgrid.llm.common import NULL_ID, batch_of, documents, fields, key_of, materialise
 from quantgrid.llm.components import components
 from quantgrid.llm.shingles import common_counts, mix, set_key, shingle_set
 
 THRESHOLD = 0.8
 #: Expected number of shingles that a node follows at each level; a pair at the threshold shares twice 1 of them or more.
 FOLLOWED = 2.5
-SMALL, BLOCK, DEPTH = 64, 512, 4
+SMALL, BLOCK, DEPTH = 512, 512, 4
+#: A sketch's ranges; sets of fewer than SURE shingles are compared exactly at once; two sketches of which less than
+#: LIKE agrees are no pair at the threshold, six standard deviations away.
+SLOTS, SURE, LIKE = 64, 64, 0.5
 RECALL = 0.99999
 #: A pair at the threshold shares 16 first buckets or more on average, so it shares fewer than SHARED with a probability
 #: below 2e-5. A node with fewer buckets that it shares with anyone has no partner.
@@ -51,21 +57,33 @@ def _first_paths(runs: int) -> np.ndarray:
     return mix(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """The least shingle of each range by its upper 31 free bits and one, 0 where there is none."""
+    bounds = np.arange(SLOTS + 1, dtype=np.uint64) << np.uint64(58)
+    at = np.searchsorted(shingles, bounds[:-1])
+    end = np.append(at[1:], len(shingles))
+    out = np.zeros(SLOTS, np.uint32)
+    own = at < end
+    out[own] = ((shingles[at[own]] >> np.uint64(27)) & np.uint64(0x7FFFFFFF)).astype(np.uint32) | np.uint32(1 << 31)
+    return out
+
+
 def nodes_of(base: DataFrame, runs: int) -> DataFrame:
-    """Each row's set as a key, its size and the buckets of all runs at the first level."""
+    """Each row's set as a key, its size, its sketch and the buckets of all runs at the first level."""
 
     def run(batches):
         paths = _first_paths(runs)
         for batch in batches:
-            node, n, buckets = [], [], []
+            node, n, sketches, buckets = [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text)
                 node.append(set_key(s))
                 n.append(len(s))
+                sketches.append(sketch(s).tobytes())
                 buckets.append(np.unique(np.concatenate([_followed(s, p) for p in paths])).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.binary()), pa.array(n, pa.int64()), pa.array(buckets, pa.list_(pa.int64()))], names=["id", "node", "n", "buckets"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.binary()), pa.array(n, pa.int64()), pa.array(sketches, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))], names=["id", "node", "n", "sketch", "buckets"])
 
-    return base.mapInArrow(run, "id long, node binary, n long, buckets array<long>")
+    return base.mapInArrow(run, "id long, node binary, n long, sketch binary, buckets array<long>")
 
 
 def _sets_of(base: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -89,22 +107,73 @@ def _sets_of(base: DataFrame, wanted: DataFrame) -> DataFrame:
     return base.join(wanted, "id").select("id", "text", "node").mapInArrow(run, "node binary, shingles array<long>")
 
 
-def _split(members: DataFrame, sets: DataFrame) -> DataFrame:
+def _split(members: DataFrame, nodes: DataFrame) -> DataFrame:
     """(parent, child, node) of the next level."""
 
     def run(batches):
+        slots = np.arange(SLOTS, dtype=np.uint64) << np.uint64(32)
         for batch in batches:
             parent, child, node = [], [], []
-            shingles = batch.column(2)
-            for i, (b, who) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                own = _followed(shingles[i].values.to_numpy(zero_copy_only=False).view(np.uint64), np.int64(b).view(np.uint64)).view(np.int64)
+            for b, who, values in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                values = np.frombuffer(values, np.uint32)
+                own = _followed((slots | values)[values > 0], np.int64(b).view(np.uint64)).view(np.int64)
                 parent += [b] * len(own)
                 child += own.tolist()
                 node += [who] * len(own)
             if parent:
                 yield pa.RecordBatch.from_arrays([pa.array(parent, pa.int64()), pa.array(child, pa.int64()), pa.array(node, pa.binary())], names=["parent", "child", "node"])
 
-    return members.join(sets, "node").select("bucket", "node", "shingles").mapInArrow(run, "parent long, child long, node binary").distinct()
+    return members.join(nodes, "node").select("bucket", "node", "sketch").mapInArrow(run, "parent long, child long, node binary").distinct()
+
+
+def _grouped(batches, names: list[str], extra: str | None = None):
+    """The rows of each cell, which arrive one after another; ``extra`` is a list column that becomes an array."""
+    held, key = [], None
+    for batch in batches:
+        lists = batch.column(batch.schema.get_field_index(extra)) if extra else None
+        for i, row in enumerate((batch.drop_columns([extra]) if extra else batch).to_pylist()):
+            if extra:
+                row[extra] = lists[i].values.to_numpy(zero_copy_only=False)
+            if (own := tuple(row[c] for c in names)) != key:
+                if held:
+                    yield held
+                held, key = [], own
+            held.append(row)
+    if held:
+        yield held
+
+
+CELL = ["bucket", "low", "high"]
+
+
+def _promising(cells: DataFrame, threshold: float) -> DataFrame:
+    """Those members of each cell that have a partner there, as far as sizes and sketches tell."""
+    schema = "bucket long, node binary, low int, high int, block int"
+
+    def run(batches):
+        out: list[tuple] = []
+        for rows in _grouped(batches, CELL):
+            n = np.array([r["n"] for r in rows])
+            maybe = np.minimum(n[:, None], n[None, :]) >= threshold * np.maximum(n[:, None], n[None, :])
+            np.fill_diagonal(maybe, False)
+            if rows[0]["low"] != rows[0]["high"]:
+                side = np.array([r["block"] for r in rows])
+                maybe &= side[:, None] != side[None, :]
+            values = np.stack([np.frombuffer(r["sketch"], np.uint32) for r in rows])
+            equal, none = np.zeros(maybe.shape, np.int16), np.zeros(maybe.shape, np.int16)
+            for v in values.T:
+                equal += v[:, None] == v[None, :]
+                none += (v[:, None] == 0) & (v[None, :] == 0)
+            alike = equal - none >= LIKE * (SLOTS - none)
+            maybe &= alike | (np.minimum(n[:, None], n[None, :]) < SURE)
+            out += [(r["bucket"], r["node"], r["low"], r["high"], r["block"]) for r, has in zip(rows, maybe.any(1), strict=True) if has]
+            if len(out) >= 20_000:
+                yield batch_of(out, schema)
+                out = []
+        if out:
+            yield batch_of(out, schema)
+
+    return cells.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(run, schema)
 
 
 def _compare(rows: list[dict], threshold: float) -> list[tuple[bytes, bytes, int]]:
@@ -142,33 +211,20 @@ def _compare(rows: list[dict], threshold: float) -> list[tuple[bytes, bytes, int
 
 
 def _cells(cells: DataFrame, threshold: float) -> DataFrame:
-    """Compare the nodes of each cell; cells arrive one after another and hold two blocks of nodes at most."""
-    names = ["bucket", "low", "high"]
+    """Compare the nodes of each cell, which holds two blocks of nodes at most."""
+    schema = "node binary, root binary, links long"
 
     def run(batches):
-        held, key = [], None
         out: list[tuple] = []
-        for batch in batches:
-            shingles = batch.column(batch.schema.get_field_index("shingles"))
-            light = batch.drop_columns(["shingles"]).to_pylist()
-            for i, row in enumerate(light):
-                row["shingles"] = shingles[i].values.to_numpy(zero_copy_only=False)
-                if (own := tuple(row[c] for c in names)) != key:
-                    out += _compare(held, threshold)
-                    held, key = [], own
-                held.append(row)
+        for rows in _grouped(batches, CELL, "shingles"):
+            out += _compare(rows, threshold)
             if len(out) >= 10_000:
-                yield _links(out)
+                yield batch_of(out, schema)
                 out = []
-        out += _compare(held, threshold)
         if out:
-            yield _links(out)
-
-    return cells.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, "node binary, root binary, links long")
-
+            yield batch_of(out, schema)
 
-def _links(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*rows, strict=True), (pa.binary(), pa.binary(), pa.int64()), strict=True)], names=["node", "root", "links"])
+    return cells.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(run, schema)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,7 +239,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     runs = runs_for(recall, threshold)
     base = fields(docs, id_col, text_col).select(key_of("doc_id").alias("id"), "text")
     table = materialise(nodes_of(base, runs))
-    nodes = materialise(table.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("buckets").alias("buckets")))
+    nodes = materialise(table.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "sketch", "buckets")]))
     member = nodes.select(F.explode("buckets").alias("bucket"), "node")
     sizes = materialise(member.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
     member = materialise(member.join(sizes, "bucket").drop("size"))
@@ -191,8 +247,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     member = member.join(materialise(enough.select("node")), "node", "left_semi")
     sizes = materialise(member.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
     member = materialise(member.join(sizes, "bucket"))
-    wanted = nodes.join(member.select("node").distinct(), "node", "left_semi").select("node", "id")
-    sets = materialise(_sets_of(base, wanted))
+    sketches = nodes.select("node", "n", "sketch")
 
     small, stuck = [member.where(F.col("size") <= SMALL).select("bucket", "node")], []
     large = member.where(F.col("size") > SMALL)
@@ -202,7 +257,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
         if level == DEPTH - 1:
             stuck.append(large)
             break
-        children = materialise(_split(large.select("bucket", "node"), sets))
+        children = materialise(_split(large.select("bucket", "node"), sketches))
         counts = children.groupBy("parent", "child").agg(F.count("*").alias("n"))
         counts = materialise(counts.where("n > 1").join(large.select(F.col("bucket").alias("parent"), "size").distinct(), "parent"))
         whole = materialise(counts.groupBy("parent").agg(F.max(F.col("n") / F.col("size")).alias("most")).where("most >= 0.5").select("parent"))
@@ -221,14 +276,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
         block = F.pmod(F.xxhash64("node"), k).cast("int")
         dealt = rows.select("bucket", "node", block.alias("block"), F.explode(F.sequence(F.lit(0), k - 1)).alias("other"))
         cells = cells.unionAll(dealt.select("bucket", "node", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block"))
-    cells = materialise(cells)
+    cells = materialise(_promising(cells.join(sketches, "node"), threshold))
     owned = cells.groupBy("node").agg(F.collect_set("bucket").alias("owned"))
+    sets = _sets_of(base, nodes.join(cells.select("node").distinct(), "node", "left_semi").select("node", "id"))
     about = nodes.select("node", "copies").join(owned, "node").join(sets, "node")
     found = materialise(_cells(cells.join(about, "node"), threshold))
 
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     labels = components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
-    nodes = nodes.drop("buckets").join(links, "node", "left").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    nodes = nodes.drop("n", "sketch", "buckets").join(links, "node", "left").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     nodes = materialise(nodes.select("node", "label", "id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     least = nodes.groupBy("label").agg(F.min("id").alias("class_id"))
     nodes = nodes.join(least, "label").select("node", "class_id", "n_links")

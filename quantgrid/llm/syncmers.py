@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantgrid.llm.common import documents, fields, materialise, sorted_by_id
+from quantgrid.llm.common import batch_of, documents, fields, materialise, sorted_by_id
 from quantgrid.llm.shingles import mix
 
 K, S, SIZE = 24, 8, 64
@@ -110,12 +110,6 @@ def _compared(doc_id: int | None, text: str, own: str, after: str, after_print:
     return doc_id, n, hashlib.sha256(edited.encode()).hexdigest(), own, edited_print, near, likeness(own, after_print)[0], shift
 
 
-def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "double": pa.float64()}
-    columns = [x.split() for x in schema.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(list(v), kinds[t]) for v, (_, t) in zip(zip(*rows, strict=True), columns, strict=True)], names=[c for c, _ in columns])
-
-
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text and of its edit, whose last quarter is the beginning of the next document.
 
@@ -139,12 +133,12 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     out.append((0, pid, *_compared(*held, text, own), None))
                 held = doc_id, text, own
                 if len(out) >= 2000:
-                    yield _batch(out, _ROWS)
+                    yield batch_of(out, _ROWS)
                     out = []
         if held:
             out.append((2, pid, held[0], None, None, held[2], None, None, None, None, held[1]))
         if out:
-            yield _batch(out, _ROWS)
+            yield batch_of(out, _ROWS)
 
     rows = materialise(sorted_by_id(fields(docs, id_col, text_col)).mapInArrow(run, _ROWS))
     pids = sorted(r.pid for r in rows.where("kind = 1").select("pid").collect())  # tasks with texts
@@ -156,7 +150,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def finish(batches):
         for batch in batches:
             if batch.num_rows:
-                yield _batch([_compared(*r.values()) for r in batch.to_pylist()], _RESULT)
+                yield batch_of([_compared(*r.values()) for r in batch.to_pylist()], _RESULT)
 
     return rows.where("kind = 0").select(*(x.split()[0] for x in _RESULT.split(", "))).unionAll(edges.mapInArrow(finish, _RESULT))
 
