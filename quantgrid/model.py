@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quantgrid.session import materialise
+
 STUDY, FEATURE, SAMPLE, VALUE = "study_id", "feature_id", "sample_id", "value"
 CELL_KEY = [STUDY, FEATURE, SAMPLE]
 
@@ -69,7 +71,7 @@ def complete_grid(cells: DataFrame, features: DataFrame, samples: DataFrame) ->
     Each feature expands to its study's sample list in place, so a study that holds most
     features spreads over tasks as its features do.
     """
-    per_study = samples.groupBy(STUDY).agg(F.collect_list(SAMPLE).alias("_samples"))
+    per_study = materialise(samples.groupBy(STUDY).agg(F.collect_list(SAMPLE).alias("_samples")))
     grid = (
         features.select(STUDY, FEATURE)
         .join(per_study, STUDY)

@@ -29,6 +29,7 @@ def combat(
     themselves.
     """
     require_scale(cells, LOG_SCALES)
+    samples = materialise(samples)  # its true size lets the joins with all cells broadcast it
     chosen = samples if sample_mask is None else samples.where(sample_mask)
     sizes = chosen.groupBy(STUDY, batch).agg(F.count(F.lit(1)).alias("n"))
     assert_empty(sizes.where(F.col("n") < 2), "batches with fewer than 2 samples")

@@ -265,7 +265,7 @@ def eb_prior_trend(fits: DataFrame, by: Sequence[str] = (STUDY, "design_id"), mi
         (F.sum(F.col("_e") * F.col("_e")) / (F.count(F.lit(1)) - F.first("spline_df"))).alias("v"), F.first("df").alias("df")
     ).withColumn("_p", _prior_df("v", "df"))
     prior = materialise(spread.select(*by, F.col("_p.d0").alias("d0"), F.col("_p.log_shift").alias("log_shift")))
-    summary = info.join(coef, by).join(prior, by)
+    summary = materialise(info.join(coef, by).join(prior, by))  # else its size is estimated as a product
     placed = with_basis(on_unit(fits.join(summary.drop("df", "m", "n_floored"), by)))
     out = placed.withColumn("s0_sq", F.exp(fitted + F.col("log_shift")))
     drop = [*names, "_u", "_k", "beta", "log_shift", "low", "width", "knots", "spline_df"]

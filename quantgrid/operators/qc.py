@@ -148,7 +148,7 @@ def completeness(cells: DataFrame, features: DataFrame, samples: DataFrame, min_
 
 def _detection_histogram(cells: DataFrame, samples: DataFrame, by: str | None, min_value: float) -> DataFrame:
     """Features per (study, group, number of runs they are detected in)."""
-    labels = samples.select(*SAMPLE_KEY, (F.col(by) if by else F.lit("all")).cast("string").alias("group"))
+    labels = materialise(samples.select(*SAMPLE_KEY, (F.col(by) if by else F.lit("all")).cast("string").alias("group")))
     seen = cells.where(detected(min_value)).join(labels, SAMPLE_KEY)
     per_feature = seen.groupBy(STUDY, "group", FEATURE).agg(F.count(F.lit(1)).alias("k"))
     return per_feature.groupBy(STUDY, "group", "k").agg(F.count(F.lit(1)).alias("m"))

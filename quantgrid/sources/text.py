@@ -220,7 +220,8 @@ def derive_design(runs: DataFrame, name: str = "file", pattern: str = RUN_NAME)
             "candidate_pair": F.concat(F.lit("P"), low, F.lit("_"), low + 1),
         }
     ).withColumn("batch", F.concat(F.lit("B"), F.col("acq_date").cast("string")))
-    return add_run_half(with_run_position(named_runs, "seq_number"))
+    keys = ["study_id", "batch"] if "study_id" in runs.columns else ["batch"]  # two studies may share a date
+    return add_run_half(with_run_position(named_runs, "seq_number", keys), keys)
 
 
 def with_run_position(runs: DataFrame, order: str, keys: Sequence[str] = ("batch",)) -> DataFrame:

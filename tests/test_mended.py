@@ -41,3 +41,11 @@ def test_histogram_keeps_every_value(spark):
     rows = [("raw", "s", f"f{i}", float(v)) for i, v in enumerate(np.random.default_rng(1).lognormal(size=2000))]
     h = qc.cv_histogram(spark.createDataFrame(rows, "state string, study_id string, feature_id string, cv double")).collect()
     assert sum(r.n for r in h) == 2000 and sum(r.n for r in h if r.bin == 60) == 10
+
+
+def test_batches_of_two_studies_stay_apart(spark):
+    runs = [(s, f"X_2021_0506_AZ_{i:03d}_AZ{900 + i}_AZ_c") for s in ("a", "b") for i in range(1, 5)]
+    design = text.derive_design(spark.createDataFrame(runs, "study_id string, file string")).collect()
+    for s in "ab":
+        own = sorted((r.seq_number, r.run_position_within_batch, r.run_half) for r in design if r.study_id == s)
+        assert own == [(1, 1, "early"), (2, 2, "early"), (3, 3, "late"), (4, 4, "late")]
