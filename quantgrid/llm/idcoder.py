@@ -26,6 +26,8 @@ _BITS = 15
 _LOW = np.array([0, 64, 128, 256, 512, 1024, 2048, 4096, 8192, 16384, 32768], np.uint32)
 _WIDTH = np.array([0, 0, 6, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15], np.uint32)
 _FLOOR = np.concatenate([np.zeros(2, np.uint32), _LOW])
+#: Which of the 16 bits of an id's place in its range are written.
+_TAKEN = np.arange(16)[None, :] >= 16 - _WIDTH[:, None].astype(int)
 #: Where each symbol pulls the cumulative distribution; 4 units a symbol stay for the rest.
 _LEAST = np.arange(_WIDE) * 4
 _PULL = np.where(np.arange(_WIDE)[None, :] > np.arange(_SYMBOLS)[:, None], (1 << _BITS) - 4 * (_SYMBOLS - np.arange(_WIDE))[None, :], _LEAST[None, :]).astype(np.int32)
@@ -113,11 +115,10 @@ def _encode_lanes(ids: np.ndarray) -> list[bytes]:
     # The low bits, one after another, first bit first.
     result = []
     for lane in range(lanes):
-        width = _WIDTH[symbols[:, lane]]
-        rest = columns[:, lane] - _FLOOR[symbols[:, lane]]
-        of = np.repeat(np.arange(n), width)
-        bit = np.arange(len(of)) - np.repeat(np.cumsum(width) - width, width)
-        raw = np.packbits(((rest[of] >> (width[of] - 1 - bit).astype(np.uint32)) & 1).astype(np.uint8)).tobytes()
+        symbol = symbols[:, lane]
+        rest = (columns[:, lane] - _FLOOR[symbol]).astype(">u2")  # literals only use it
+        bits = np.unpackbits(rest.view(np.uint8).reshape(-1, 2), axis=1)
+        raw = np.packbits(bits[_TAKEN[symbol]]).tobytes()
         coded = words[lane, : at[lane]].astype("<u2").tobytes()
         result.append(len(coded).to_bytes(4, "little") + coded + raw)
     return result
