@@ -41,6 +41,14 @@ def complete_grid(spark, d):
     return cell_out(op(tb.cells(spark, d, "flag"), tb.features(spark, d, "flag"), tb.samples(spark, d, "flag")), 4)
 
 
+@query("completeness_violations", f"WITH {with_sql('flag', '', False)[5:]}, {GRID} SELECT study_id, feature_id, sample_id FROM grid WHERE value IS NULL")
+def completeness_violations(spark, d):
+    """The cells for which an operator that needs complete features would refuse the table."""
+    from quantgrid.model import complete_grid as op
+
+    return nz.require_complete(op(tb.cells(spark, d, "flag"), tb.features(spark, d, "flag"), tb.samples(spark, d, "flag"))).select(*CELL_KEY)
+
+
 @query("detection_mask", with_sql("flag", "SELECT study_id, sample_id, count_if(value > 50000) AS n_above, count_if(value > 0) AS n_detected FROM base GROUP BY ALL", False))
 def detection_mask(spark, d):
     c = tb.cells(spark, d, "flag")
@@ -237,6 +245,15 @@ def combat_correct(spark, d):
     return out.select(*CELL_KEY, rd("value", 5), "corrected")
 
 
+@query("combat_passed_through", with_sql("three", "SELECT study_id, feature_id FROM comp SEMI JOIN (SELECT * FROM feat WHERE is_contaminant) USING (study_id, feature_id) GROUP BY ALL"))
+def combat_passed_through(spark, d):
+    """Features that are made constant come through uncorrected, and only those."""
+    flat = tb.features(spark, d, "three").where("is_contaminant").select(STUDY, FEATURE, F.lit(20.0).alias("_flat"))
+    cells = normalized_log(spark, d, "three").join(flat, [STUDY, FEATURE], "left")
+    cells = tag_scale(cells.withColumn("value", F.coalesce("_flat", "value")).drop("_flat"), "log2")
+    return bt.passed_through(bt.combat(cells, tb.samples(spark, d, "three"))).select(STUDY, FEATURE)
+
+
 @query("combat_masked", with_sql("one", f"SELECT {CELL}{R('value')} AS value FROM nlog SEMI JOIN (SELECT * FROM smp WHERE candidate_pair = 'P1') USING (study_id, sample_id)"))
 def combat_masked(spark, d):
     """Samples outside the mask come back as they went in."""

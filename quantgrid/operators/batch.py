@@ -109,6 +109,8 @@ def _posterior(tol: float):
             live &= change >= tol
             if not live.any():
                 break
+        else:
+            raise ValueError("a batch effect did not converge")
         return pd.DataFrame({"gamma_star": g_star, "delta_star": d_star})
 
     return solve
