@@ -28,7 +28,7 @@ from quantgrid.llm.shingles import common_counts, mix, set_key, shingle_set
 THRESHOLD = 0.8
 #: Expected number of shingles that a node follows at each level; a pair at the threshold shares twice 1 of them or more.
 FOLLOWED = 2.5
-SMALL, BLOCK, DEPTH = 512, 512, 4
+SMALL, BLOCK, DEPTH = 2048, 1024, 4
 #: A sketch's ranges; sets of fewer than SURE shingles are compared exactly at once; two sketches of which less than
 #: LIKE agrees are no pair at the threshold, six standard deviations away.
 SLOTS, SURE, LIKE = 64, 64, 0.5
@@ -146,9 +146,22 @@ def _grouped(batches, names: list[str], extra: str | None = None):
 CELL = ["bucket", "low", "high"]
 
 
+def _connected(linked: np.ndarray) -> np.ndarray:
+    """The least index that each row is connected to."""
+    label = np.arange(len(linked))
+    while True:
+        lower = np.minimum(label, np.where(linked, label[None, :], len(linked)).min(1))
+        if (lower == label).all():
+            return label
+        label = lower
+
+
 def _promising(cells: DataFrame, threshold: float) -> DataFrame:
-    """Those members of each cell that have a partner there, as far as sizes and sketches tell."""
-    schema = "bucket long, node binary, low int, high int, block int"
+    """Those members of each cell that have a partner there, as far as sizes and sketches tell.
+
+    ``part`` is what they are connected to by such partners, so that whole sets are compared among them only.
+    """
+    schema = "bucket long, node binary, low int, high int, block int, part int"
 
     def run(batches):
         out: list[tuple] = []
@@ -166,7 +179,8 @@ def _promising(cells: DataFrame, threshold: float) -> DataFrame:
                 none += (v[:, None] == 0) & (v[None, :] == 0)
             alike = equal - none >= LIKE * (SLOTS - none)
             maybe &= alike | (np.minimum(n[:, None], n[None, :]) < SURE)
-            out += [(r["bucket"], r["node"], r["low"], r["high"], r["block"]) for r, has in zip(rows, maybe.any(1), strict=True) if has]
+            found = zip(rows, maybe.any(1), _connected(maybe).tolist(), strict=True)
+            out += [(r["bucket"], r["node"], r["low"], r["high"], r["block"], part) for r, has, part in found if has]
             if len(out) >= 20_000:
                 yield batch_of(out, schema)
                 out = []
@@ -177,7 +191,7 @@ def _promising(cells: DataFrame, threshold: float) -> DataFrame:
 
 
 def _compare(rows: list[dict], threshold: float) -> list[tuple[bytes, bytes, int]]:
-    """Brute force in a cell: for each node with a link the least node that it is connected to here, and its links that count here.
+    """Brute force in a cell: for each node with a link the first node that it is connected to here, and its links that count here.
 
     A pair counts in the first bucket that its two nodes share. In a cell of two blocks only pairs across count.
     """
@@ -199,15 +213,8 @@ def _compare(rows: list[dict], threshold: float) -> list[tuple[bytes, bytes, int
     earlier = [np.array([b for b in r["owned"] if b < bucket], np.int64) for r in rows]
     counted = linked & (common_counts(earlier) == 0) if any(map(len, earlier)) else linked
     links = counted @ np.array([r["copies"] for r in rows], np.int64)
-    order = sorted(range(len(rows)), key=lambda i: rows[i]["node"])
-    label = np.empty(len(rows), np.int64)
-    label[order] = np.arange(len(rows))
-    while True:
-        lower = np.minimum(label, np.where(linked, label[None, :], len(rows)).min(1))
-        if (lower == label).all():
-            break
-        label = lower
-    return [(r["node"], rows[order[label[i]]]["node"], int(links[i])) for i, r in enumerate(rows) if linked[i].any()]
+    label = _connected(linked)
+    return [(r["node"], rows[label[i]]["node"], int(links[i])) for i, r in enumerate(rows) if linked[i].any()]
 
 
 def _cells(cells: DataFrame, threshold: float) -> DataFrame:
@@ -216,7 +223,7 @@ def _cells(cells: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches):
         out: list[tuple] = []
-        for rows in _grouped(batches, CELL, "shingles"):
+        for rows in _grouped(batches, [*CELL, "part"], "shingles"):
             out += _compare(rows, threshold)
             if len(out) >= 10_000:
                 yield batch_of(out, schema)
@@ -224,7 +231,7 @@ def _cells(cells: DataFrame, threshold: float) -> DataFrame:
         if out:
             yield batch_of(out, schema)
 
-    return cells.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(run, schema)
+    return cells.repartition(*CELL, "part").sortWithinPartitions(*CELL, "part").mapInArrow(run, schema)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -48,9 +48,10 @@ def common_counts(sets: list[np.ndarray], slab: int = 8192) -> np.ndarray:
     total = np.zeros((m, m), np.float32)
     order = np.argsort(element, kind="stable")
     row, element = row[order], element[order]
-    for first in range(0, int(shared.sum()), slab):
+    n = int(shared.sum())
+    for first in range(0, n, slab):
         a, b = np.searchsorted(element, [first, first + slab])
-        block = np.zeros((m, slab), np.float32)
+        block = np.zeros((m, min(slab, n - first)), np.float32)
         block[row[a:b], element[a:b] - first] = 1
         total += block @ block.T
     return np.rint(total).astype(np.int64)
