@@ -113,7 +113,8 @@ def brute(docs, threshold=0.8):
     return sorted(((i, None if label[k] == float("-inf") else label[k], links[k]) for k, (i, _) in enumerate(docs)), key=repr)
 
 
-def test_jaccard_join(spark, monkeypatch):
+@pytest.mark.parametrize("blocks", [False, True])
+def test_jaccard_join(spark, monkeypatch, blocks):
     rnd = random.Random(5)
     docs = []
     for _ in range(40):  # groups of near copies, some chained
@@ -130,7 +131,9 @@ def test_jaccard_join(spark, monkeypatch):
         own[rnd.randrange(150)] = f"edit{i}"
         docs.append((2000 + i, " ".join(own)))
     docs += [(3000 + i, "same words in all of these copies here") for i in range(50)]
-    monkeypatch.setattr(jaccard, "BLOCK", 40)
+    if blocks:
+        monkeypatch.setattr(jaccard, "SMALL", 30)
+        monkeypatch.setattr(jaccard, "BLOCK", 40)
     got = jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(6))
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(docs)
 
