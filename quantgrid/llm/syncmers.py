@@ -9,6 +9,7 @@ an estimate of the share of common anchors and, from the places, the shift betwe
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -17,10 +18,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantgrid.llm.common import batch_of, documents, fields, materialise, sorted_by_id
+from quantgrid.llm.common import batch_of, documents, fields, sorted_by_id
 from quantgrid.llm.shingles import mix
+from quantgrid.session import shared_dir
 
-K, S, SIZE = 24, 8, 64
+K, S, SIZE = 24, 8, 48
 #: Texts of fewer than SHORT code points have shorter k-mers.
 SHORT, SHORT_K, SHORT_S = 96, 6, 2
 _BASE = 0x9E3779B97F4A7C15
@@ -61,14 +63,14 @@ def anchors(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprint(text: str, size: int = SIZE) -> str:
-    """The least ``size`` anchor hashes in 16 hexadecimal digits, each with its first place; empty for an empty text."""
+    """The least ``size`` anchor hashes by their upper 32 bits in hexadecimal digits, each with its first place; empty for an empty text."""
     place, hashes = anchors(text)
     hashes, first = np.unique(hashes, return_index=True)
-    return " ".join(f"{h:016x}:{p}" for h, p in zip(hashes[:size].tolist(), place[first[:size]].tolist(), strict=True))
+    return " ".join(f"{h >> 32:08x}:{p}" for h, p in zip(hashes[:size].tolist(), place[first[:size]].tolist(), strict=True))
 
 
 def _parsed(print_: str) -> dict[str, int]:
-    return {x[:16]: int(x[17:]) for x in print_.split(" ")} if print_ else {}
+    return {x[:8]: int(x[9:]) for x in print_.split(" ")} if print_ else {}
 
 
 def likeness(one: str, other: str, size: int = SIZE) -> tuple[float, int | None]:
@@ -140,7 +142,9 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if out:
             yield batch_of(out, _ROWS)
 
-    rows = materialise(sorted_by_id(fields(docs, id_col, text_col)).mapInArrow(run, _ROWS))
+    path = f"{shared_dir(docs.sparkSession).rstrip('/')}/quantgrid/prints-{uuid.uuid4().hex}"
+    sorted_by_id(fields(docs, id_col, text_col)).mapInArrow(run, _ROWS).write.option("compression", "zstd").parquet(path)
+    rows = docs.sparkSession.read.schema(_ROWS).parquet(path)
     pids = sorted(r.pid for r in rows.where("kind = 1").select("pid").collect())  # tasks with texts
     follows = docs.sparkSession.createDataFrame([(p, pids[(i + 1) % len(pids)]) for i, p in enumerate(pids)], "pid int, after int")
     last = rows.where("kind = 2").select("pid", "doc_id", "text", "fingerprint").join(F.broadcast(follows), "pid")
