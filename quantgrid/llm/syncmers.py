@@ -2,27 +2,23 @@
 
 A k-mer of code points is chosen when the least of the hashes of its inner s-mers stands at its first or last
 place. That depends on the k-mer alone, so equal passages give equal anchors wherever they stand. A
-fingerprint holds the least ``SIZE`` hashes of a text's anchors, each with its place; two of them give
-an estimate of the share of common anchors and, from the places, the shift between the two texts.
+fingerprint holds the hashes of all of a text's anchors, each with its first place; two of them give
+the share of common anchors and, from the places, the shift between the two texts.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantgrid.llm.common import batch_of, documents, fields, sorted_by_id
+from quantgrid.llm.common import batch_of, documents, fields, key_of
 from quantgrid.llm.shingles import mix
-from quantgrid.session import shared_dir
 
-K, S, SIZE = 24, 8, 48
+K, S = 24, 8
 #: Texts of fewer than SHORT code points have shorter k-mers.
 SHORT, SHORT_K, SHORT_S = 96, 6, 2
 _BASE = 0x9E3779B97F4A7C15
@@ -62,30 +58,44 @@ def anchors(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
     return place, mix(whole)
 
 
-def fingerprint(text: str, size: int = SIZE) -> str:
-    """The least ``size`` anchor hashes by their upper 32 bits in hexadecimal digits, each with its first place; empty for an empty text."""
+def _printed(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending hashes of a text's anchors and the first place of each."""
     place, hashes = anchors(text)
     hashes, first = np.unique(hashes, return_index=True)
-    return " ".join(f"{h >> 32:08x}:{p}" for h, p in zip(hashes[:size].tolist(), place[first[:size]].tolist(), strict=True))
+    return hashes, place[first]
 
 
-def _parsed(print_: str) -> dict[str, int]:
-    return {x[:8]: int(x[9:]) for x in print_.split(" ")} if print_ else {}
+def _shown(part: tuple[np.ndarray, np.ndarray]) -> str:
+    return " ".join(map("%016x:%d".__mod__, zip(*(x.tolist() for x in part), strict=True)))
 
 
-def likeness(one: str, other: str, size: int = SIZE) -> tuple[float, int | None]:
-    """Estimated share of common anchors (2 common / both, 0 to 1), and the shift of the places that most of them agree on.
+def _parsed(shown: str) -> tuple[np.ndarray, np.ndarray]:
+    pairs = [x.split(":") for x in shown.split()]
+    return np.array([int(h, 16) for h, _ in pairs], np.uint64), np.array([int(p) for _, p in pairs], np.int64)
+
+
+def fingerprint(text: str) -> str:
+    """The hashes of all anchors in 16 hexadecimal digits, ascending, each with its first place; empty for an empty text."""
+    return _shown(_printed(text))
+
+
+def _alike(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray]) -> tuple[float, int | None]:
+    (a, at), (b, bt) = one, other
+    if not len(a) or not len(b):
+        return float(not len(a) and not len(b)), None
+    common, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    if not len(common):
+        return 0.0, None
+    shifts, times = np.unique(bt[j] - at[i], return_counts=True)
+    return 2 * len(common) / (len(a) + len(b)), int(shifts[np.lexsort((shifts, np.abs(shifts), -times))[0]])
+
+
+def likeness(one: str, other: str) -> tuple[float, int | None]:
+    """Share of common anchors (2 common / both, 0 to 1), and the shift of the places that most of them agree on.
 
     Two empty fingerprints are alike; an empty and another one are not.
     """
-    a, b = _parsed(one), _parsed(other)
-    if not a or not b:
-        return float(not a and not b), None
-    least = sorted(a.keys() | b.keys())[:size]  # a uniform sample of all anchors of both
-    common = [h for h in least if h in a and h in b]
-    j = len(common) / len(least)
-    shifts = Counter(b[h] - a[h] for h in common)
-    return 2 * j / (1 + j), min(shifts, key=lambda x: (-shifts[x], abs(x), x)) if shifts else None
+    return _alike(_parsed(one), _parsed(other))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -98,18 +108,30 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return fields(docs, id_col, text_col).mapInArrow(run, "doc_id long, fingerprint string")
 
 
-#: A text and its place in the order: kind 0 is a finished row, 1 the first text of a task and 2 its last.
-_ROWS = "kind int, pid int, doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_shift long, text string"
 _RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_shift long"
 
 
-def _compared(doc_id: int | None, text: str, own: str, after: str, after_print: str) -> tuple:
+def _compared(doc_id: int | None, text: str, own: tuple, after: str, after_print: tuple) -> tuple:
     n = len(text)
     cut = n // 4
     edited = text[: n - cut] + after[:cut]
-    edited_print = own if edited == text else fingerprint(edited)
-    near, shift = likeness(own, edited_print)
-    return doc_id, n, hashlib.sha256(edited.encode()).hexdigest(), own, edited_print, near, likeness(own, after_print)[0], shift
+    edited_print = own if edited == text else _printed(edited)
+    near, shift = _alike(own, edited_print)
+    return doc_id, n, hashlib.sha256(edited.encode()).hexdigest(), _shown(own), _shown(edited_print), near, _alike(own, after_print)[0], shift
+
+
+def _ranges(docs: DataFrame, n: int) -> tuple[DataFrame, dict[int, str]]:
+    """The documents with ``pid``, the range of doc_id a row falls in, at most ``n`` of them; and the first text of each range that has rows."""
+    keyed = docs.withColumn("_key", key_of("doc_id"))
+    cuts = keyed.agg(F.percentile_approx("_key", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
+    edges = F.array(*[F.lit(x).cast("long") for x in sorted(set(cuts))])
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))])  # a bisection
+    pid = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(edges, at + step - 1) <= F.col("_key"), step).otherwise(0)) if cuts else F.lit(0)
+    keyed = keyed.withColumn("pid", pid)
+    firsts = keyed.groupBy("pid").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "_key")).alias("_first")).collect()
+    starts = docs.sparkSession.createDataFrame([(r.pid, r["_first"].known, r["_first"]["_key"]) for r in firsts], "pid int, known boolean, _key long")
+    found = keyed.drop("pid").withColumn("known", F.col("doc_id").isNotNull()).join(F.broadcast(starts), ["known", "_key"]).groupBy("pid").agg(F.min("text").alias("text"))
+    return keyed.drop("_key"), {r.pid: r.text for r in found.collect()}
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -120,43 +142,35 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     to the next document, ``edited_shift`` the shift between text and edit, null without common anchors. An empty table
     gives no rows; other columns are left out.
 
-    Texts are dealt once, in ranges; a task pairs the texts that follow each other there, and only each task's first
-    and last text are joined with those of the next task.
+    Texts are dealt once, in ranges of doc_id, and a task pairs the texts that follow each other there. The first text of
+    each range is known before, so that a range's last text finds its next one without a second pass.
     """
+    dealt, firsts = _ranges(fields(docs, id_col, text_col), n := int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    pids = sorted(firsts)
+    follows = {p: firsts[pids[(i + 1) % len(pids)]] for i, p in enumerate(pids)}
 
     def run(batches):
-        pid, held, out = TaskContext.get().partitionId(), None, []
+        held, out, size = None, [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = fingerprint(text)
-                if held is None:
-                    out.append((1, pid, doc_id, None, None, own, None, None, None, None, text))
-                else:
-                    out.append((0, pid, *_compared(*held, text, own), None))
-                held = doc_id, text, own
-                if len(out) >= 2000:
-                    yield batch_of(out, _ROWS)
-                    out = []
+            for pid, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = _printed(text)
+                if held:
+                    before, *row = held
+                    after = (text, own) if before == pid else (follows[before], _printed(follows[before]))
+                    out.append(_compared(*row, *after))
+                    size += len(row[1])
+                held = pid, doc_id, text, own
+                if len(out) >= 2000 or size > 4_000_000:
+                    yield batch_of(out, _RESULT)
+                    out, size = [], 0
         if held:
-            out.append((2, pid, held[0], None, None, held[2], None, None, None, None, held[1]))
+            before, *row = held
+            out.append(_compared(*row, follows[before], _printed(follows[before])))
         if out:
-            yield batch_of(out, _ROWS)
-
-    path = f"{shared_dir(docs.sparkSession).rstrip('/')}/quantgrid/prints-{uuid.uuid4().hex}"
-    sorted_by_id(fields(docs, id_col, text_col)).mapInArrow(run, _ROWS).write.option("compression", "zstd").parquet(path)
-    rows = docs.sparkSession.read.schema(_ROWS).parquet(path)
-    pids = sorted(r.pid for r in rows.where("kind = 1").select("pid").collect())  # tasks with texts
-    follows = docs.sparkSession.createDataFrame([(p, pids[(i + 1) % len(pids)]) for i, p in enumerate(pids)], "pid int, after int")
-    last = rows.where("kind = 2").select("pid", "doc_id", "text", "fingerprint").join(F.broadcast(follows), "pid")
-    first = rows.where("kind = 1").select(F.col("pid").alias("after"), F.col("text").alias("next"), F.col("fingerprint").alias("next_print"))
-    edges = last.join(first, "after").select("doc_id", "text", "fingerprint", "next", "next_print")
-
-    def finish(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield batch_of([_compared(*r.values()) for r in batch.to_pylist()], _RESULT)
+            yield batch_of(out, _RESULT)
 
-    return rows.where("kind = 0").select(*(x.split()[0] for x in _RESULT.split(", "))).unionAll(edges.mapInArrow(finish, _RESULT))
+    ordered = dealt.repartitionById(n, "pid").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    return ordered.select("pid", "doc_id", "text").mapInArrow(run, _RESULT)
 
 
 def op1_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:

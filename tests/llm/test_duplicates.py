@@ -46,6 +46,26 @@ def test_likeness():
     assert syncmers.likeness("", "")[0] == 1 and syncmers.likeness("", same)[0] == 0
 
 
+def test_likeness_of_long_texts():
+    rnd = random.Random(3)
+    passage = prose(rnd, 50)
+    for _ in range(10):  # a passage of about a hundredth of all anchors, found each time and counted exactly
+        one, other = (prose(rnd, 1500) + passage + prose(rnd, 1500) for _ in range(2))
+        a, b = (set(syncmers.anchors(x)[1].tolist()) for x in (one, other))
+        near, _ = syncmers.likeness(syncmers.fingerprint(one), syncmers.fingerprint(other))
+        assert near == 2 * len(a & b) / (len(a) + len(b)) > 0.005
+
+
+def test_followers_across_ranges(spark):
+    docs = [(i // 3 * 2**54 + i % 2 if i else None, prose(random.Random(i), 5 + i % 60)) for i in range(90)]
+    got = syncmers.edited_fingerprints(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()
+    order = [x for _, x in sorted(docs, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))]
+    want = []
+    for text, after in zip(order, order[1:] + order[:1], strict=True):
+        want.append(hashlib.sha256((text[: len(text) - len(text) // 4] + after[: len(text) // 4]).encode()).hexdigest())
+    assert sorted(r.edited_sha256 for r in got) == sorted(want)
+
+
 def test_fingerprint_operator(spark, compare):
     found = compare(syncmers.edited_fingerprints)
     assert len(found) == 12 and all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in found)
