@@ -3,7 +3,8 @@
 A k-mer of code points is chosen when the least of the hashes of its inner s-mers stands at its first or last
 place. That depends on the k-mer alone, so equal passages give equal anchors wherever they stand. A
 fingerprint holds the hashes of all of a text's anchors, each with its first place; two of them give
-the share of common anchors and, from the places, the shift between the two texts.
+the share of common anchors and, from the places, the shift between the two texts. Short texts have anchors of
+short k-mers besides, which are compared where both texts are short.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from quantgrid.llm.common import batch_of, documents, fields, key_of
 from quantgrid.llm.shingles import mix
 
 K, S = 24, 8
-#: Texts of fewer than SHORT code points have shorter k-mers.
+#: Texts of fewer than SHORT code points have anchors of shorter k-mers too.
 SHORT, SHORT_K, SHORT_S = 96, 6, 2
 _BASE = 0x9E3779B97F4A7C15
 
@@ -28,15 +29,18 @@ def _powers(n: int) -> np.ndarray:
     return np.array([pow(_BASE, i, 1 << 64) for i in range(n)], np.uint64)
 
 
+def _whole(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = len(points)
+    whole = mix((points * _powers(n)).sum(keepdims=True, dtype=np.uint64) + np.uint64(n)) if n else points
+    return np.zeros(len(whole), np.int64), whole
+
+
 def anchors(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the closed syncmers; a text of fewer than k code points is one anchor, an empty one has none."""
+    """Places and hashes of the closed syncmers; a text in which no k-mer is chosen is one anchor as a whole, an empty one has none."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
     n = len(points)
-    if n < SHORT:
-        k, s = min(k, SHORT_K), min(s, SHORT_S)
     if n < k:
-        whole = mix((points * _powers(k)[:n]).sum(keepdims=True, dtype=np.uint64) + np.uint64(n)) if n else points
-        return np.zeros(len(whole), np.int64), whole
+        return _whole(points)
     step = _powers(k)
     small = points[: n - s + 1].copy()
     for i in range(1, s):
@@ -50,6 +54,8 @@ def anchors(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
         width += more
     count = n - k + 1
     place = np.nonzero((order[:count] == low) | (order[inner - 1 : inner - 1 + count] == low))[0]
+    if not len(place):
+        return _whole(points)
     whole = np.zeros(len(place), np.uint64)
     for i in range(0, k - s + 1, s):  # a k-mer's hash from those of s-mers that cover it
         whole += small[place + i] * step[i]
@@ -58,29 +64,40 @@ def anchors(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
     return place, mix(whole)
 
 
-def _printed(text: str) -> tuple[np.ndarray, np.ndarray]:
+Part = tuple[np.ndarray, np.ndarray]
+
+
+def _part(text: str, k: int, s: int) -> Part:
     """Ascending hashes of a text's anchors and the first place of each."""
-    place, hashes = anchors(text)
+    place, hashes = anchors(text, k, s)
     hashes, first = np.unique(hashes, return_index=True)
     return hashes, place[first]
 
 
-def _shown(part: tuple[np.ndarray, np.ndarray]) -> str:
-    return " ".join(map("%016x:%d".__mod__, zip(*(x.tolist() for x in part), strict=True)))
+def _printed(text: str) -> list[Part]:
+    parts = [_part(text, K, S)]
+    return parts + [_part(text, SHORT_K, SHORT_S)] if 0 < len(text) < SHORT else parts
 
 
-def _parsed(shown: str) -> tuple[np.ndarray, np.ndarray]:
-    pairs = [x.split(":") for x in shown.split()]
-    return np.array([int(h, 16) for h, _ in pairs], np.uint64), np.array([int(p) for _, p in pairs], np.int64)
+def _shown(parts: list[Part]) -> str:
+    return "|".join(" ".join(map("%016x:%d".__mod__, zip(*(x.tolist() for x in part), strict=True))) for part in parts)
+
+
+def _parsed(shown: str) -> list[Part]:
+    pairs = [[x.split(":") for x in part.split()] for part in shown.split("|")]
+    return [(np.array([int(h, 16) for h, _ in x], np.uint64), np.array([int(p) for _, p in x], np.int64)) for x in pairs]
 
 
 def fingerprint(text: str) -> str:
-    """The hashes of all anchors in 16 hexadecimal digits, ascending, each with its first place; empty for an empty text."""
+    """The hashes of all anchors in 16 hexadecimal digits, ascending, each with its first place; empty for an empty text.
+
+    A text of fewer than ``SHORT`` code points has those of its short k-mers after a bar.
+    """
     return _shown(_printed(text))
 
 
-def _alike(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray]) -> tuple[float, int | None]:
-    (a, at), (b, bt) = one, other
+def _alike(one: list[Part], other: list[Part]) -> tuple[float, int | None]:
+    (a, at), (b, bt) = list(zip(one, other))[-1]  # the shortest k-mers that both have
     if not len(a) or not len(b):
         return float(not len(a) and not len(b)), None
     common, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
@@ -111,7 +128,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 _RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_shift long"
 
 
-def _compared(doc_id: int | None, text: str, own: tuple, after: str, after_print: tuple) -> tuple:
+def _compared(doc_id: int | None, text: str, own: list[Part], after: str, after_print: list[Part]) -> tuple:
     n = len(text)
     cut = n // 4
     edited = text[: n - cut] + after[:cut]

@@ -56,6 +56,20 @@ def test_likeness_of_long_texts():
         assert near == 2 * len(a & b) / (len(a) + len(b)) > 0.005
 
 
+def test_likeness_across_lengths():
+    def near(one, other):
+        return syncmers.likeness(syncmers.fingerprint(one), syncmers.fingerprint(other))[0]
+
+    texts = [prose(random.Random(i), 60)[:96] for i in range(50)]
+    assert all(len(x) == 96 and near(x, x[:95]) > 0.7 for x in texts)  # near copies on both sides of the border
+    assert all(near(x[:60], x[:59] + "#") > 0.7 for x in texts)  # and among short ones
+    rnd = random.Random(4)
+    tiny = list({"".join(rnd.choice("abcdefgh .") for _ in range(n)) for n in (1, 2, 5, 6, 7, 8, 9) for _ in range(20)} | {"Thtion.", "Die tz."})
+    assert all(syncmers.fingerprint(x) for x in tiny)
+    assert all(near(x, "") == 0 and near(x, x) == 1 for x in tiny)
+    assert near("Thtion.", "Die tz.") == 0
+
+
 def test_followers_across_ranges(spark):
     docs = [(i // 3 * 2**54 + i % 2 if i else None, prose(random.Random(i), 5 + i % 60)) for i in range(90)]
     got = syncmers.edited_fingerprints(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()
