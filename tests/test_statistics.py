@@ -156,6 +156,24 @@ def test_lowess_close_to_pointwise_smoother(spark):
     assert np.abs(np.array(fit.fitted) - want).max() < 5e-3
 
 
+def test_lowess_with_one_far_point(spark):
+    rng = np.random.default_rng(6)
+    x = np.append(np.sort(rng.uniform(0, 10, 800)), 1e6)
+    y = np.append(np.sin(x[:-1]) + rng.normal(0, 0.2, 800), 0.0)
+    df = spark.createDataFrame(pd.DataFrame({"k": "a", "x": x, "y": y}))
+    fit = smooth.lowess_grid(df, ["k"], "x", "y", 0.3, 0)
+    got = smooth.add_trend_residual(df, fit, ["k"], "x", "y", "rest").toPandas().sort_values("x")
+    want = []
+    for g in x[:-1]:
+        d = np.abs(x - g)
+        h = np.sort(d)[int(0.3 * 801) - 1]
+        w = np.clip(1 - (d / h) ** 3, 0, None) ** 3
+        want.append(np.polyfit(x - g, y, 1, w=np.sqrt(w))[1])
+    assert np.abs((got.y - got.rest).to_numpy()[:-1] - want).max() < 5e-3
+    table = smooth.grid_table(fit, ["k"]).toPandas()
+    assert (table.x < 10).sum() > 150 and np.ptp(table.fitted[table.x < 10]) > 1
+
+
 def test_two_way_fit_recovers_lengths(spark):
     rng = np.random.default_rng(7)
     length, run = rng.normal(0, 1, 200), rng.normal(0, 0.3, 8)
