@@ -13,7 +13,7 @@ from quantgrid.functions.numeric import count_bin
 from quantgrid.model import CELL_KEY, FEATURE, SAMPLE, STUDY
 from quantgrid.operators import agreement as ag
 from quantgrid.operators import smooth as sm
-from quantgrid.operators.bootstrap import bootstrap_pearson, bootstrap_sd, bootstrap_spearman, bootstrap_weights, percentile_ci
+from quantgrid.operators.bootstrap import CLASSES, DRAWS, GOLDEN, MIX_A, MIX_B, bootstrap_pearson, bootstrap_sd, bootstrap_spearman, bootstrap_weights, percentile_ci, poisson_steps
 from quantgrid.operators.design import pair_roles
 from quantgrid.operators.normalize import median_factors, round_fraction
 from quantgrid.plans import testbed as tb
@@ -70,17 +70,47 @@ def bootstrap_draws(spark, d):
     return w.groupBy(STUDY, "draw").agg(F.sum("weight").cast("double").alias("total"))
 
 
-@query("bootstrap_correlation")
+def _drawn(source: str, seed: int, draws: int = DRAWS) -> str:
+    """``wt`` (feature_id, draw, w): the copies of each feature of ``source`` in each draw, those above 0; the hash of ``operators.bootstrap``."""
+    copies = " + ".join(f"(h >= {t}::ubigint)::int" for t in poisson_steps())
+    return f""", dk AS (SELECT draw, xor(k, k >> 16) AS k FROM (SELECT draw, (xor(k, k >> 13) * {MIX_B}::ubigint) & 4294967295 AS k FROM (SELECT draw, (xor(k, k >> 16) * {MIX_A}::ubigint) & 4294967295 AS k
+ FROM (SELECT draw, (draw * {GOLDEN}::ubigint + {seed}) & 4294967295 AS k FROM (SELECT unnest(range(1, {draws + 1}))::ubigint AS draw))))),
+nw AS (SELECT feature_id, ('0x' || substr(md5(feature_id), 1, 8))::ubigint AS w1, ('0x' || substr(md5(feature_id), 9, 8))::ubigint AS w2 FROM (SELECT DISTINCT feature_id FROM {source})),
+h0 AS (SELECT feature_id, draw, (xor(w1, k) + w2 * (k | 1)) & 4294967295 AS h FROM nw CROSS JOIN dk),
+h1 AS (SELECT feature_id, draw, (xor(h, h >> 16) * {MIX_A}::ubigint) & 4294967295 AS h FROM h0),
+h2 AS (SELECT feature_id, draw, (xor(h, h >> 13) * {MIX_B}::ubigint) & 4294967295 AS h FROM h1),
+h3 AS (SELECT feature_id, draw, xor(h, h >> 16) AS h FROM h2),
+wt AS (SELECT feature_id, draw, ({copies})::double AS w FROM h3 WHERE h >= {poisson_steps()[0]}::ubigint)"""
+
+
+_CI = "quantile_cont({0}, 0.025) AS ci_low, quantile_cont({0}, 0.975) AS ci_high"
+#: Weighted moments of x and y over all cells of ``{src}``, a row a draw; x and y are centred on their means first.
+_MOMENTS = """, ce AS (SELECT study_id, feature_id, x - avg(x) OVER (PARTITION BY study_id) AS x, y - avg(y) OVER (PARTITION BY study_id) AS y FROM {src}),
+cs AS (SELECT study_id, feature_id, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(y * y) AS syy, sum(x * y) AS sxy FROM ce GROUP BY ALL),
+ds AS (SELECT study_id, draw, sum(w * n) AS n, sum(w * sx) AS sx, sum(w * sy) AS sy, sum(w * sxx) AS sxx, sum(w * syy) AS syy, sum(w * sxy) AS sxy FROM cs JOIN wt USING (feature_id) GROUP BY ALL),
+dm AS (SELECT study_id, draw, n, (sxx - sx * sx / n) / (n - 1) AS vx, (syy - sy * sy / n) / (n - 1) AS vy, (sxy - sx * sy / n) / (n - 1) AS cxy FROM ds WHERE n > 1)"""
+_CLASS = f"least(floor((rank() OVER (PARTITION BY study_id ORDER BY {{0}}) + (count(*) OVER (PARTITION BY study_id, {{0}}) - 1) / 2.0 - 0.5) / greatest(1.0, count(*) OVER (PARTITION BY study_id) / {CLASSES}.0)), {CLASSES - 1})::int"
+_RHO = f""", kc AS (SELECT study_id, feature_id, {_CLASS.format("x")} AS cx, {_CLASS.format("y")} AS cy FROM xy),
+fx AS (SELECT study_id, feature_id, cx, count(*) AS k FROM kc GROUP BY ALL), fy AS (SELECT study_id, feature_id, cy, count(*) AS k FROM kc GROUP BY ALL),
+mx AS (SELECT study_id, draw, cx, sum(w * k) AS t FROM fx JOIN wt USING (feature_id) GROUP BY ALL), my AS (SELECT study_id, draw, cy, sum(w * k) AS t FROM fy JOIN wt USING (feature_id) GROUP BY ALL),
+rx AS (SELECT study_id, draw, cx, t, sum(t) OVER (PARTITION BY study_id, draw ORDER BY cx) - (t - 1) / 2 - (sum(t) OVER (PARTITION BY study_id, draw) + 1) / 2 AS r FROM mx),
+ry AS (SELECT study_id, draw, cy, t, sum(t) OVER (PARTITION BY study_id, draw ORDER BY cy) - (t - 1) / 2 - (sum(t) OVER (PARTITION BY study_id, draw) + 1) / 2 AS r FROM my),
+cr AS (SELECT kc.study_id, wt.draw, sum(w * rx.r * ry.r) AS s FROM kc JOIN wt USING (feature_id) JOIN rx ON rx.study_id = kc.study_id AND rx.draw = wt.draw AND rx.cx = kc.cx JOIN ry ON ry.study_id = kc.study_id AND ry.draw = wt.draw AND ry.cy = kc.cy GROUP BY ALL),
+rho AS (SELECT study_id, s / sqrt(vx) / sqrt(vy) AS r FROM cr JOIN (SELECT study_id, draw, sum(t * r * r) AS vx FROM rx GROUP BY ALL) USING (study_id, draw) JOIN (SELECT study_id, draw, sum(t * r * r) AS vy FROM ry GROUP BY ALL) USING (study_id, draw))"""
+
+
+@query("bootstrap_correlation", xy_sql("one", _drawn("xy", 1) + _MOMENTS.format(src="xy") + _RHO + f""" SELECT study_id, method, {R('ci_low')} AS ci_low, {R('ci_high')} AS ci_high FROM (
+SELECT study_id, 'pearson' AS method, {_CI.format("cxy / sqrt(vx) / sqrt(vy)")} FROM dm GROUP BY ALL UNION ALL SELECT study_id, 'spearman', {_CI.format("r")} FROM rho GROUP BY ALL)"""))
 def bootstrap_correlation(spark, d):
     c = cells(spark, d)
-    p = percentile_ci(bootstrap_pearson(c, [STUDY], FEATURE, "x", "y", 100, 1), [STUDY]).withColumn("method", F.lit("pearson"))
-    s = percentile_ci(bootstrap_spearman(c, [STUDY], FEATURE, "x", "y", 20, 1), [STUDY]).withColumn("method", F.lit("spearman"))
+    p = percentile_ci(bootstrap_pearson(c, [STUDY], FEATURE, "x", "y", DRAWS, 1), [STUDY]).withColumn("method", F.lit("pearson"))
+    s = percentile_ci(bootstrap_spearman(c, [STUDY], FEATURE, "x", "y", DRAWS, 1), [STUDY]).withColumn("method", F.lit("spearman"))
     return p.unionByName(s).select(STUDY, "method", rd("ci_low"), rd("ci_high"))
 
 
-@query("bootstrap_spread")
+@query("bootstrap_spread", xy_sql("one", _drawn("xy", 3) + _MOMENTS.format(src="xy") + f" SELECT study_id, {R('ci_low')} AS ci_low, {R('ci_high')} AS ci_high FROM (SELECT study_id, {_CI.format('sqrt(vy)')} FROM dm GROUP BY ALL)"))
 def bootstrap_spread(spark, d):
-    return percentile_ci(bootstrap_sd(cells(spark, d), [STUDY], FEATURE, "y", 100, 3), [STUDY]).select(STUDY, rd("ci_low"), rd("ci_high"))
+    return percentile_ci(bootstrap_sd(cells(spark, d), [STUDY], FEATURE, "y", DRAWS, 3), [STUDY]).select(STUDY, rd("ci_low"), rd("ci_high"))
 
 
 @query("relative_length")
@@ -124,9 +154,14 @@ def slope_estimates(spark, d):
     return ag.slopes(*_points(spark, d)).select(STUDY, "estimator", rd("slope"))
 
 
-@query("slope_intervals")
+_SLOPE_CI = _NOISE + _drawn("pm", 5) + _MOMENTS.format(src="pm") + """, de AS (SELECT study_id, cxy / vx AS ols_y_on_x, vy / cxy AS inverse_ols_x_on_y, sign(cxy) * sqrt(vy / vx) AS sma,
+ (vy - vx + sqrt((vy - vx) ^ 2 + 4 * cxy ^ 2)) / (2 * cxy) AS orthogonal, (vy - lam * vx + sqrt((vy - lam * vx) ^ 2 + 4 * lam * cxy ^ 2)) / (2 * cxy) AS deming, cxy / vx / (1 - ex / sxx) AS ols_attenuation_corrected FROM dm JOIN s USING (study_id)),
+du AS (UNPIVOT de ON ols_y_on_x, inverse_ols_x_on_y, sma, orthogonal, deming, ols_attenuation_corrected INTO NAME estimator VALUE slope)"""
+
+
+@query("slope_intervals", xy_sql("one", _SLOPE_CI + f" SELECT study_id, estimator, {R('ci_low')} AS ci_low, {R('ci_high')} AS ci_high FROM (SELECT study_id, estimator, {_CI.format('slope')} FROM du GROUP BY ALL)"))
 def slope_intervals(spark, d):
-    return ag.slopes(*_points(spark, d), draws=100, seed=5).select(STUDY, "estimator", rd("ci_low"), rd("ci_high"))
+    return ag.slopes(*_points(spark, d), draws=DRAWS, seed=5).select(STUDY, "estimator", rd("ci_low"), rd("ci_high"))
 
 
 @query("reliability", xy_sql("three", f"""SELECT study_id, {R('1 - avg(vx) / 8 / var_samp(mx)')} AS reliability_x, {R('1 - avg(vy) / 8 / var_samp(my)')} AS reliability_y FROM (SELECT study_id, feature_id, var_samp(x) AS vx, var_samp(y) AS vy, avg(x) AS mx, avg(y) AS my FROM cx GROUP BY ALL) GROUP BY ALL"""))
@@ -174,7 +209,7 @@ def residual_by_decile(spark, d):
 
 @query("residual_trend_by_decile")
 def residual_trend_by_decile(spark, d):
-    out = ag.residual_bins_by_value(_residual_cells(spark, d), "resid", draws=50, seed=2)
+    out = ag.residual_bins_by_value(_residual_cells(spark, d), "resid", draws=DRAWS, seed=2)
     return out.select(STUDY, "decile", "n_cells", rd("resid_sd", 4), rd("poisson_sd"), rd("poisson_var_share", 4), rd("spearman"))
 
 
@@ -229,7 +264,7 @@ def regression_two_terms(spark, d):
 
 @query("regression_hc3")
 def regression_hc3(spark, d):
-    t = ag.regression_hc3(_properties(spark, d), "resid", ["size", "len", "sx"], draws=50, seed=9)
+    t = ag.regression_hc3(_properties(spark, d), "resid", ["size", "len", "sx"], draws=DRAWS, seed=9)
     return t.select(STUDY, "term", rd("coef_per_sd"), rd("se_hc3"), rd("p", 9), rd("q", 9), rd("delta_r2_drop"), rd("ci_low"), rd("ci_high"))
 
 

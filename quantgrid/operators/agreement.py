@@ -19,7 +19,7 @@ from quantgrid.operators.bootstrap import (
     bootstrap_pearson,
     bootstrap_sd,
     bootstrap_spearman,
-    bootstrap_weights,
+    bootstrap_sums,
     percentile_ci,
 )
 from quantgrid.operators.correlation import correlate, pearson
@@ -152,7 +152,7 @@ def slopes(points: DataFrame, noise: DataFrame, by: Sequence[str] = (STUDY,), cl
         return table
     fixed = materialise(sums.select(*by, "lam", "reliability_x"))
     boot = bootstrap_pearson(points, by, cluster, "x", "y", draws, seed)
-    n = F.col("n")
+    n = F.when(F.col("n") > 1, F.col("n"))
     moved = boot.select(
         *by, "draw", ((F.col("sxx") - F.col("sx") * F.col("sx") / n) / (n - 1)).alias("vx"),
         ((F.col("syy") - F.col("sy") * F.col("sy") / n) / (n - 1)).alias("vy"), ((F.col("sxy") - F.col("sx") * F.col("sy") / n) / (n - 1)).alias("cxy"),
@@ -362,11 +362,10 @@ def regression_hc3(points: DataFrame, y: str, terms: Sequence[str], by: Sequence
 
 def _bootstrap_coefficients(rows, by, names, upper, square, terms, draws, seed) -> DataFrame:
     """Coefficients per draw from weighted cross products, one small system per draw."""
-    w = bootstrap_weights(rows, by, FEATURE, draws, seed).join(rows, [*by, FEATURE])
-    sums = w.groupBy(*by, "draw").agg(
-        F.array(*[F.sum(F.col("weight") * F.col(names[i]) * F.col(names[j])) for i, j in upper]).alias("xx"),
-        F.array(*[F.sum(F.col("weight") * F.col(n) * F.col("_y")) for n in names]).alias("xy"),
-    )
+    products = {f"xx{i}_{j}": F.col(names[i]) * F.col(names[j]) for i, j in upper} | {f"xy{i}": F.col(n) * F.col("_y") for i, n in enumerate(names)}
+    per = rows.groupBy(*by, FEATURE).agg(*[F.sum(v).alias(k) for k, v in products.items()])
+    sums = bootstrap_sums(per, by, FEATURE, list(products), draws, seed)
+    sums = sums.select(*by, "draw", F.array(*[f"xx{i}_{j}" for i, j in upper]).alias("xx"), F.array(*[f"xy{i}" for i in range(len(names))]).alias("xy"))
 
     @F.pandas_udf("array<double>")
     def solve(xx: pd.Series, xy: pd.Series) -> pd.Series:
