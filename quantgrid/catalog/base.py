@@ -87,3 +87,34 @@ def with_sql(study: str, body: str, complete: bool = True, normal: bool = True,
     if paired:
         parts += PAIRED
     return f"WITH {parts}\n{body}"
+
+
+# Laws in SQL: sums and quadrature that depend on nothing in the library.
+
+
+def trigamma_sql(x: str) -> str:
+    y = f"({x} + 30)"
+    return f"(list_sum(list_transform(range(0, 30), lambda k: 1 / (({x} + k) * ({x} + k)))) + 1 / {y} + 1 / (2 * {y} ^ 2) + 1 / (6 * {y} ^ 3) - 1 / (30 * {y} ^ 5) + 1 / (42 * {y} ^ 7))"
+
+
+def digamma_sql(x: str) -> str:
+    y = f"({x} + 30)"
+    return f"(ln({y}) - 1 / (2 * {y}) - 1 / (12 * {y} ^ 2) + 1 / (120 * {y} ^ 4) - 1 / (252 * {y} ^ 6) - list_sum(list_transform(range(0, 30), lambda k: 1 / ({x} + k))))"
+
+
+def t_tail_sql(t: str, df: str, steps: int = 400) -> str:
+    """Two-sided t tail by Simpson's rule over the angle; ``df`` finite and above 2."""
+    start = f"atan(abs({t}) / sqrt({df}))"
+    width = f"((least(pi() / 2, {start} + 12 / sqrt({df})) - {start}) / {steps})"
+    terms = f"list_sum(list_transform(range(0, {steps + 1}), lambda i: (CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * greatest(cos({start} + i * {width}), 0.0) ^ ({df} - 1)))"
+    return f"(2 * exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2)) / sqrt(pi()) * {width} / 3 * {terms})"
+
+
+def prior_sql(source: str, keys: str, df: str) -> str:
+    """``pr`` (keys, n, d0, s0_sq) from the variances s2 of ``source``: the law of log variances by its first two moments, d0 by bisection of its logarithm."""
+    target = f"(v - {trigamma_sql(f'({df} / 2.0)')})"
+    steps = ", ".join(repr(2.0**k) for k in range(5, -48, -1))
+    return f"""zz AS (SELECT *, ln(greatest(s2, 1e-5 * median(s2) OVER (PARTITION BY {keys}))) AS z FROM {source}),
+pm0 AS (SELECT {keys}, count(*) AS n, avg(z) AS m, var_samp(z) AS v FROM zz GROUP BY ALL), pt AS (SELECT *, {target} AS target FROM pm0),
+pd0 AS (SELECT *, CASE WHEN target > 1e-6 THEN 2 * pow(2, list_reduce([-24.0, {steps}]::double[], lambda a, s: CASE WHEN {trigamma_sql('pow(2, a + s)')} > target THEN a + s ELSE a END)) END AS d0 FROM pt),
+pr AS (SELECT {keys}, n, d0, exp(m + ln({df} / 2.0) - {digamma_sql(f'({df} / 2.0)')} + CASE WHEN d0 IS NULL THEN 0 ELSE {digamma_sql('(d0 / 2)')} - ln(d0 / 2) END) AS s0_sq FROM pd0)"""

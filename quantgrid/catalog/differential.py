@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quantgrid.catalog.base import R, query, rd, with_sql
+from quantgrid.catalog.base import R, prior_sql, query, rd, t_tail_sql, with_sql
 from quantgrid.catalog.preparation import normalized_log
 from quantgrid.model import CELL_KEY, FEATURE, STUDY, tag_scale
 from quantgrid.operators import de
 from quantgrid.operators.design import pair_roles
 from quantgrid.operators.ranks import benjamini_hochberg
 from quantgrid.plans import testbed as tb
-from quantgrid.plans.de_runs import relabel, run_designs, run_quantities
+from quantgrid.plans.de_runs import run_designs, run_quantities
+from quantgrid.plans.relabel import relabel_pairs
 
 REF = {"condition": "control"}
 
@@ -290,10 +291,19 @@ def precision_comparison(spark, d):
     return s.select("quantity", STUDY, "n_features", rd("median_sigma"))
 
 
-@query("relabelling_null")
+_FLIPPED = """, lb AS (SELECT study_id, feature_id, l, avg(e) AS effect, var_samp(e) / 2 AS s2, count(*) AS k FROM
+ (SELECT *, CASE WHEN candidate_pair <> 'P0' AND (l >> (cast(substr(candidate_pair, 2) AS int) - 1)) & 1 = 1 THEN -d ELSE d END AS e FROM pd CROSS JOIN range(8) AS r(l)) GROUP BY ALL),
+"""
+
+
+@query("relabelling_null", with_sql("one", _FLIPPED + prior_sql("lb", "study_id, l", "3") + f""",
+lp AS (SELECT study_id, l, d0, n, {t_tail_sql("(effect / sqrt((d0 * s0_sq + 3 * s2) / (d0 + 3) * 2 / k))", "(d0 + 3)")} AS p FROM lb JOIN pr USING (study_id, l)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY study_id, l ORDER BY p) AS i FROM lp)
+SELECT study_id, lpad(cast(l AS varchar), 6, '0') AS design_id, l = 0 AS observed, {R('least(1.0, count_if(p > 0.5) / count(*) / 0.5)')} AS pi0, coalesce(max(CASE WHEN p < 0.1 * i / n THEN i END), 0) AS hits_q10,
+ {R('count_if(p < 0.25) * 4 / count(*)')} AS density_low_quarter, {R('any_value(d0)', 4)} AS d0 FROM rk GROUP BY study_id, l""", paired=True))
 def relabelling_null(spark, d):
-    out, _ = relabel(normalized_log(spark, d), tb.samples(spark, d), "control", "treated")
-    return out.select(STUDY, "design_id", "observed", rd("pi0"), "hits_q10", rd("density_low_quarter"), rd("d0", 4))
+    out, _ = relabel_pairs(normalized_log(spark, d), tb.samples(spark, d), "control", "treated")
+    return out.select(STUDY, F.lpad(F.col("labelling").cast("string"), 6, "0").alias("design_id"), "observed", rd("pi0"), F.col("hits").alias("hits_q10"), rd("density_low_quarter"), rd("d0", 4))
 
 
 @query("relabelling_effects", with_sql("one", f"""SELECT study_id, feature_id, lpad(cast(l AS varchar), 6, '0') AS design_id, {R("avg(CASE WHEN candidate_pair <> 'P0' AND (l >> (cast(substr(candidate_pair, 2) AS int) - 1)) & 1 = 1 THEN -d ELSE d END)")} AS effect FROM pd CROSS JOIN range(8) AS r(l) GROUP BY ALL""", paired=True))
