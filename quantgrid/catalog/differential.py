@@ -22,7 +22,7 @@ def roles(spark, d, study="one"):
 
 
 def paired(spark, d, study="one", method="moderated", trend=False):
-    return de.differential_abundance(normalized_log(spark, d, study), tb.samples(spark, d, study), "condition", ["candidate_pair"], REF, method, trend=trend)
+    return de.differential_abundance(normalized_log(spark, d, study), tb.samples(spark, d, study), "condition", (), REF, method, trend=trend, absorb="candidate_pair")
 
 
 def contrast(spark, d, study="one", **kw):

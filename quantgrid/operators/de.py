@@ -120,9 +120,79 @@ def design(
     return materialise(grouped.applyInPandas(rows, _DESIGN)), materialise(grouped.applyInPandas(terms, _TERMS))
 
 
+def design_within(
+    samples: DataFrame,
+    contrast: str,
+    absorb: str,
+    covariates: Sequence[str] = (),
+    reference: Mapping[str, str] | None = None,
+    categorical: Sequence[str] = (),
+    design_id: str = "design",
+) -> tuple[DataFrame, DataFrame]:
+    """As ``design``, with the levels of ``absorb`` (pairs, say) swept out instead of given a column each.
+
+    All other columns are centred within the levels; by the Frisch-Waugh-Lovell theorem their coefficients, standard errors and
+    residuals are those of the full model. The projection has a column ``block`` with the level, and only as many
+    weights as there are other terms, however many levels. A term that is constant within the levels fails the job.
+    The intercept and the levels have no row among the terms; ``block_effects`` gives the levels' own means.
+    """
+    ref, cats, covs = dict(reference or {}), frozenset(categorical), tuple(c for c in covariates if c != absorb)
+    if "design_id" not in samples.columns:
+        samples = samples.withColumn("design_id", F.lit(design_id))
+    sheet = samples.select(STUDY, "design_id", SAMPLE, F.col(absorb).cast("string").alias("block"), *dict.fromkeys((contrast, *covs)))
+
+    def solve(pdf: pd.DataFrame):
+        pdf = pdf.sort_values(SAMPLE)
+        if pdf["block"].isna().any():
+            raise CheckFailed(f"{absorb!r} has missing values")
+        named = [(name, column, column == contrast, values, low) for column in (contrast, *covs) for name, values, low in _columns_of(pdf, column, ref, cats)]
+        x = np.column_stack([n[3] for n in named])
+        codes, levels = pd.factorize(pdf["block"])
+        sizes = np.bincount(codes)
+        within = x - np.stack([np.bincount(codes, x[:, j]) / sizes for j in range(x.shape[1])], axis=1)[codes]
+        df = len(x) - len(levels) - x.shape[1]
+        if df <= 0:
+            raise CheckFailed(f"{len(x)} samples cannot fit {x.shape[1]} terms and {len(levels)} levels of {absorb!r}")
+        normal = within.T @ within
+        scale = np.sqrt(np.maximum(np.diag(normal), 1e-300))
+        if (np.diag(normal) <= 1e-20 * np.maximum((x * x).sum(0), 1e-300)).any() or np.linalg.matrix_rank(normal / np.outer(scale, scale), tol=1e-10) < x.shape[1]:
+            raise CheckFailed("the design is singular: drop a redundant term")
+        inv = np.linalg.inv(normal)
+        pad = np.zeros((len(x), 1))  # the place of the intercept
+        return pdf, np.hstack([pad, within]), np.hstack([pad, within @ inv]), np.diag(inv), df, named
+
+    def rows(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, x, proj, *_ = solve(pdf)
+        return pd.DataFrame({STUDY: pdf[STUDY], "design_id": pdf["design_id"], SAMPLE: pdf[SAMPLE], "proj": list(proj), "x": list(x), "block": pdf["block"]})
+
+    def terms(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, _, _, inv, df, named = solve(pdf)
+        return pd.DataFrame({
+            STUDY: pdf[STUDY].iloc[0], "design_id": pdf["design_id"].iloc[0], "term_index": range(1, len(named) + 1),
+            "term": [n[0] for n in named], "column": [n[1] for n in named], "is_contrast": [n[2] for n in named],
+            "inv_diag": inv, "df": df, "low_cardinality": [n[4] for n in named],
+        })
+
+    grouped = sheet.groupBy(STUDY, "design_id")
+    return materialise(grouped.applyInPandas(rows, f"{_DESIGN}, block string")), materialise(grouped.applyInPandas(terms, _TERMS))
+
+
+def block_effects(cells: DataFrame, projection: DataFrame, fits: DataFrame) -> DataFrame:
+    """``level_mean`` of each absorbed level, a row per feature and level: its mean value less the terms' part there.
+
+    Terms are centred within the level, so that is the plain mean; the differences between levels of equal make-up are the full model's.
+    """
+    keys = [STUDY, "design_id", FEATURE]
+    rows = cells.select(*CELL_KEY, VALUE).join(projection.select(STUDY, "design_id", SAMPLE, "block"), SAMPLE_KEY)
+    means = rows.groupBy(*keys, "block").agg(F.avg(VALUE).alias("level_mean"), F.count(VALUE).alias("n"))
+    return means.join(fits.select(*keys), keys, "left_semi")
+
+
 def ols(cells: DataFrame, projection: DataFrame, n_terms: int | None = None) -> DataFrame:
     """Least squares per (study, design, feature): ``coef ARRAY, rss, mean_abundance, n``.
 
+    With a ``block`` column in the projection (``design_within``), values are centred within its levels for the residuals.
+
     Cells are shuffled once, by feature: the coefficients are window sums over the
     feature's samples, the residuals are formed next to them, and the final aggregation
     keeps that partitioning. ``n_incomplete`` counts designs' samples without a value.
@@ -135,7 +205,8 @@ def ols(cells: DataFrame, projection: DataFrame, n_terms: int | None = None) ->
     part = lambda c, i: F.coalesce(F.get(c, F.lit(i)), F.lit(0.0))
     rows = rows.select("*", *[F.sum(part("proj", i) * F.col(VALUE)).over(w).alias(f"_b{i}") for i in range(n_terms)])
     fitted = reduce(Column.__add__, [part("x", i) * F.col(f"_b{i}") for i in range(n_terms)])
-    rows = rows.withColumn("_r", F.col(VALUE) - fitted)
+    level = F.avg(VALUE).over(Window.partitionBy(*keys, "block")) if "block" in projection.columns else F.lit(0.0)
+    rows = rows.withColumn("_r", F.col(VALUE) - level - fitted)
     return rows.groupBy(*keys).agg(
         F.array(*[F.first(f"_b{i}") for i in range(n_terms)]).alias("coef"),
         F.sum(F.col("_r") * F.col("_r")).alias("rss"),
@@ -426,10 +497,12 @@ def differential_abundance(
     alpha: float = 0.05,
     trend: bool = False,
     design_id: str = "design",
+    absorb: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Test every feature across ``contrast``; returns the long result and ``fit_info``.
 
-    ``method`` is ``moderated``, ``ols``, ``welch`` or ``mannwhitney``. Cells must be on a
+    ``absorb`` names a covariate of many levels, such as pairs, that is swept out: the same results for
+    all other terms, without a column for each level. ``method`` is ``moderated``, ``ols``, ``welch`` or ``mannwhitney``. Cells must be on a
     log scale and complete over the given samples.
     """
     if method not in ("moderated", "ols", "welch", "mannwhitney"):
@@ -440,14 +513,17 @@ def differential_abundance(
         raise ValueError("trend applies to method='moderated' only")
     require_scale(cells, LOG_SCALES)
     if method in ("welch", "mannwhitney"):
-        if covariates:
+        if covariates or absorb:
             raise ValueError(f"{method} cannot adjust for covariates")
         if dict(samples.dtypes)[contrast] != "string" and contrast not in categorical:
             raise ValueError(f"{contrast!r} is numeric; declare it categorical for a two-group test")
         base = (reference or {}).get(contrast) or samples.agg(F.min(F.col(contrast).cast("string"))).first()[0]
         table = two_group(cells, samples, contrast, base, method, alpha)
         return table, table.groupBy(STUDY, "term").agg(F.count("p").alias("n_features"), F.max("n").alias("n_samples"))
-    projection, terms = design(samples, contrast, covariates, reference, categorical, design_id)
+    if absorb:
+        projection, terms = design_within(samples, contrast, absorb, covariates, reference, categorical, design_id)
+    else:
+        projection, terms = design(samples, contrast, covariates, reference, categorical, design_id)
     if terms.where("low_cardinality").take(1):
         warnings.warn("a numeric column with few distinct values is fitted as a slope", stacklevel=2)
     fits = materialise(add_variance(ols(cells, projection), terms))
