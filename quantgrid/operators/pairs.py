@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantgrid.functions import tails
+from quantgrid.functions import pairwise, tails
 from quantgrid.model import CELL_KEY, FEATURE, SAMPLE, STUDY, VALUE
 from quantgrid.operators import ranks
 from quantgrid.operators.de import MIN_PAIRED_FEATURES, eb_prior, moderate, t_statistics
@@ -273,52 +276,110 @@ def rank_sums(tagged: DataFrame, keys: Sequence[str], value: str = "_v") -> Data
     return sums.withColumn("u", F.col("_r") - F.col("nx") * (F.col("nx") + 1) / 2.0).drop("_r")
 
 
-def pair_counts_below(tagged: DataFrame, keys: Sequence[str], shifts: DataFrame) -> DataFrame:
-    """How many pairs x - y <= c, for each shift c of each group (``shift_id, c``).
+#: Cuts of a bracket in one pass over the cells it crosses.
+CUTS = 64
 
-    A pair counts when y >= x - c, so x - c and y are ordered together: per range of values
-    the number of y at or above is a running sum, and no pair is formed.
-    """
-    group = [*keys, "shift_id"]
-    moved = tagged.join(shifts, list(keys)).withColumn("_v", F.when(F.col("x") == 1, F.col("_v") - F.col("c")).otherwise(F.col("_v")))
-    placed = ranks._with_range(moved.select(*group, "_v", "x", "y"), group, "_v")
-    merged = placed.groupBy(*group, "_range", "_v").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    w = Window.partitionBy(*group, "_range").orderBy(F.col("_v").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    above = ranks._offsets(merged, group, F.col("y"), descending=True)
-    counted = merged.withColumn("_y", F.sum("y").over(w)).join(above, [*group, "_range"])
-    return counted.groupBy(*group).agg(F.sum(F.col("x") * (F.col("_y") + F.col("_before"))).alias("below"))
 
+def _sorted_ranges(tagged: DataFrame, keys: list[str]) -> DataFrame:
+    """A row for each value range of a group: the sorted values of both arms as bytes, their numbers and ends."""
+    placed = ranks._with_range(tagged, keys, "_v").select(*keys, "_range", "_v", "x")
+    types = ", ".join(f.simpleString().replace(":", " ", 1) for f in placed.select(*keys, "_range").schema.fields)
+
+    def pack(key: tuple, rows: pa.Table) -> pa.Table:
+        v, arm = rows["_v"].to_numpy(), rows["x"].to_numpy()
+        out = {c: pa.array([k.as_py()], rows.schema.field(c).type) for c, k in zip((*keys, "_range"), key, strict=True)}
+        for name, values in (("x", np.sort(v[arm == 1])), ("y", np.sort(v[arm != 1]))):
+            ends = [float(values[0]), float(values[-1])] if len(values) else [None, None]
+            out |= {f"{name}s": pa.array([values.tobytes()], pa.binary()), f"n{name}": pa.array([len(values)], pa.int64()), f"{name}0": pa.array(ends[:1], pa.float64()), f"{name}1": pa.array(ends[1:], pa.float64())}
+        return pa.table(out)
+
+    return materialise(placed.groupBy(*keys, "_range").applyInArrow(pack, f"{types}, xs binary, nx long, x0 double, x1 double, ys binary, ny long, y0 double, y1 double"))
 
-def difference_quantiles(tagged: DataFrame, keys: Sequence[str], targets: DataFrame, fan: int = 16, rounds: int = 14) -> DataFrame:
+
+def difference_quantiles(tagged: DataFrame, keys: Sequence[str], targets: DataFrame) -> DataFrame:
     """Order statistics of all pairwise differences x - y, without forming them.
 
-    ``targets``: keys, ``target``, 0-based ``k``. Each round splits every target's bracket
-    into ``fan`` parts and counts the pairs below each cut; the answer is within 1e-10 of
-    the spread. Only the bracket table, a few rows per group, is written between rounds.
+    ``targets``: keys, ``target``, 0-based ``k``. Rows are shuffled once, into value ranges that both arms share. A group of
+    one range is searched in its task. In a larger group the ranges' ends and counts bound the pairs below any cut: products
+    of counts are summed for pairs of ranges that lie wholly on one side, and only pairs that the bracket of a target
+    crosses are opened, again and again with finer cuts, until the bracket is 1e-12 of the spread.
     """
     keys = list(keys)
-    ends = tagged.groupBy(*keys).agg(
-        F.min(F.when(F.col("x") == 1, F.col("_v"))).alias("x0"), F.max(F.when(F.col("x") == 1, F.col("_v"))).alias("x1"),
-        F.min(F.when(F.col("y") == 1, F.col("_v"))).alias("y0"), F.max(F.when(F.col("y") == 1, F.col("_v"))).alias("y1"),
-    )
-    span = F.col("x1") - F.col("x0") + F.col("y1") - F.col("y0")
-    brackets = materialise(targets.join(ends, keys).select(
-        *keys, "target", "k", (F.col("x0") - F.col("y1") - 1e-9 * span - 1e-300).alias("lo"), (F.col("x1") - F.col("y0")).alias("hi"), span.alias("span")
-    ))
-    for _ in range(rounds):
-        step = (F.col("hi") - F.col("lo")) / fan
-        cuts = materialise(brackets.select(*keys, "target", "k", "lo", "hi", "span", F.explode(F.sequence(F.lit(1), F.lit(fan - 1))).alias("i")).select(
-            "*", (F.col("lo") + F.col("i") * step).alias("c"), F.concat_ws("/", "target", "i").alias("shift_id")
-        ))
-        below = pair_counts_below(tagged, keys, cuts.select(*keys, "shift_id", "c"))
-        judged = cuts.join(below, [*keys, "shift_id"])
-        enough = F.col("below") > F.col("k")
-        brackets = materialise(judged.groupBy(*keys, "target", "k", "lo", "hi", "span").agg(
-            F.coalesce(F.max(F.when(~enough, F.col("c"))), F.col("lo")).alias("_lo"), F.coalesce(F.min(F.when(enough, F.col("c"))), F.col("hi")).alias("_hi")
-        ).select(*keys, "target", "k", F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), "span"))
-        if not brackets.where(F.col("hi") - F.col("lo") > 1e-10 * F.col("span")).take(1):
-            break
-    return brackets.select(*keys, "target", F.col("hi").alias("difference"))
+    ranges = _sorted_ranges(tagged, keys)
+    number = materialise(ranges.groupBy(*keys).agg(F.count(F.lit(1)).alias("_ranges")))
+    placed = ranges.join(number, keys)
+    small = placed.where("_ranges = 1 and nx > 0 and ny > 0").drop("_ranges", "_range")
+    asked = targets.groupBy(*keys).agg(F.collect_list(F.struct("target", F.col("k").cast("long").alias("k"))).alias("_t"))
+
+    @F.pandas_udf("array<double>")
+    def select(xs: pd.Series, ys: pd.Series, t: pd.Series) -> pd.Series:
+        return pd.Series([pairwise.kth_differences(np.frombuffer(a), np.frombuffer(b), list(k)) for a, b, k in zip(xs, ys, t, strict=True)])
+
+    found = small.join(asked, keys).withColumn("_d", select("xs", "ys", F.transform("_t", lambda t: t["k"])))
+    one = found.select(*keys, F.explode(F.arrays_zip(F.transform("_t", lambda t: t["target"]).alias("target"), F.col("_d").alias("difference"))).alias("_z"))
+    one = one.select(*keys, "_z.target", "_z.difference")
+    large = placed.where("_ranges > 1").drop("_ranges")
+    if not large.limit(1).count():
+        return one
+    return one.unionByName(_opened(large, keys, targets))
+
+
+def _opened(ranges: DataFrame, keys: list[str], targets: DataFrame) -> DataFrame:
+    """``difference_quantiles`` for groups of several ranges."""
+    types = ", ".join(f.simpleString().replace(":", " ", 1) for f in targets.select(*keys).schema.fields)
+    ends = ranges.select(*keys, "_range", "nx", "x0", "x1", "ny", "y0", "y1")
+
+    def bound(key: tuple, rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        x, y = rows[rows.nx > 0], rows[rows.ny > 0]
+        if not len(x) or not len(y) or not len(wanted):
+            return pd.DataFrame()
+        eps = 1e-15 * max(abs(rows[["x0", "x1", "y0", "y1"]].to_numpy(float))[~np.isnan(rows[["x0", "x1", "y0", "y1"]].to_numpy(float))].max(), 1e-300)
+        least = np.subtract.outer(x.x0.to_numpy(), y.y1.to_numpy()) - eps
+        most = np.subtract.outer(x.x1.to_numpy(), y.y0.to_numpy()) + eps
+        n = np.multiply.outer(x.nx.to_numpy(np.int64), y.ny.to_numpy(np.int64))
+        out = []
+        low_order, high_order = np.argsort(least, axis=None), np.argsort(most, axis=None)
+        for target, k in zip(wanted.target, wanted.k.astype("int64"), strict=True):
+            # The k-th difference is at least where the most pairs that can lie below exceed k, at most where the fewest do.
+            low = least.ravel()[low_order][np.searchsorted(np.cumsum(n.ravel()[low_order]), k, "right")]
+            high = most.ravel()[high_order][np.searchsorted(np.cumsum(n.ravel()[high_order]), k, "right")]
+            i, j = np.nonzero((least <= high) & (most >= low))
+            base = int(n[most < low].sum())
+            out += [(*key, target, int(k), float(low), float(high), float(most.max() - least.min()), base, int(a), int(b)) for a, b in zip(x._range.to_numpy()[i], y._range.to_numpy()[j], strict=True)]
+        return pd.DataFrame(out, columns=[*keys, "target", "k", "low", "high", "span", "base", "i", "j"])
+
+    schema = f"{types}, target string, k long, low double, high double, span double, base long, i int, j int"
+    crossed = materialise(ends.groupBy(*keys).cogroup(targets.groupBy(*keys)).applyInPandas(bound, schema))
+    state = materialise(crossed.select(*keys, "target", "k", "low", "high", "span", "base").distinct())
+    xs = ranges.where("nx > 0").select(*keys, F.col("_range").alias("i"), "xs")
+    ys = ranges.where("ny > 0").select(*keys, F.col("_range").alias("j"), "ys")
+    cells = materialise(crossed.select(*keys, "i", "j").distinct().join(xs, [*keys, "i"]).join(ys, [*keys, "j"]))
+    at = materialise(crossed.select(*keys, "target", "i", "j"))
+
+    @F.pandas_udf("array<array<long>>")
+    def count(a: pd.Series, b: pd.Series, brackets: pd.Series) -> pd.Series:
+        out = []
+        for x, y, ends_ in zip(a, b, brackets, strict=True):
+            x, y = np.frombuffer(x), np.frombuffer(y)
+            out.append([pairwise.count_up_to(x, y, e["low"] + (e["high"] - e["low"]) * np.arange(1, CUTS) / CUTS).tolist() for e in ends_])
+        return pd.Series(out)
+
+    while True:
+        open_ = state.where(F.col("high") - F.col("low") > 1e-12 * F.col("span"))
+        if not open_.limit(1).count():
+            return state.select(*keys, "target", F.col("high").alias("difference"))
+        asked = at.join(open_.select(*keys, "target", "low", "high"), [*keys, "target"]).groupBy(*keys, "i", "j").agg(F.collect_list(F.struct("target", "low", "high")).alias("_t"))
+        counted = cells.join(asked, [*keys, "i", "j"]).withColumn("_c", count("xs", "ys", "_t"))
+        rows = counted.select(*keys, F.explode(F.arrays_zip(F.transform("_t", lambda t: t["target"]).alias("target"), F.col("_c").alias("c"))).alias("_z"))
+        rows = rows.select(*keys, "_z.target", F.posexplode("_z.c").alias("cut", "n")).groupBy(*keys, "target", "cut").agg(F.sum("n").alias("n"))
+        step = (F.col("high") - F.col("low")) / CUTS
+        judged = rows.join(state, [*keys, "target"]).withColumn("_at", F.col("low") + step * (F.col("cut") + 1))
+        enough = F.col("n") + F.col("base") > F.col("k")
+        moved = judged.groupBy(*keys, "target").agg(F.max(F.when(~enough, F.col("_at"))).alias("_low"), F.min(F.when(enough, F.col("_at"))).alias("_high"))
+        state = materialise(
+            state.join(moved, [*keys, "target"], "left")
+            .select(*keys, "target", "k", F.coalesce("_low", "low").alias("low"), F.coalesce("_high", "high").alias("high"), "span", "base")
+        )
 
 
 def mw_shift(df: DataFrame, by: Sequence[str], group: str, baseline: str, value: str, alpha: float = 0.05) -> DataFrame:
