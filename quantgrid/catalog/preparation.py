@@ -319,7 +319,13 @@ def run_order_counts(spark, d):
     return ds.order_statistics(_suppliers(spark, d), "control")
 
 
-@query("run_order_exact")
+#: All orders of a batch's conditions, as bit masks; batches are small here.
+@query("run_order_exact", f"""WITH {_SUP}, ct AS (SELECT b.study_id, b.batch, count_if(condition = 'control') AS k, count_if(condition = 'treated') AS m, coalesce(any_value(u), 0) AS u FROM sup b LEFT JOIN
+(SELECT c.study_id, c.batch, count(*) AS u FROM sup c JOIN sup t ON c.study_id = t.study_id AND c.batch = t.batch AND c.condition = 'control' AND t.condition = 'treated' AND c.seq_number < t.seq_number GROUP BY ALL) x USING (study_id, batch) GROUP BY ALL),
+od AS (SELECT k, m, o, list_sum(list_transform(range(0, k + m), lambda i: ((o >> i) & 1) * (k + m - 1 - i - bit_count(o >> (i + 1))))) AS v FROM (SELECT k, m, unnest(range(0, 1::bigint << (k + m))) AS o FROM (SELECT DISTINCT k::bigint AS k, m::bigint AS m FROM ct)) WHERE bit_count(o) = k),
+pp AS (SELECT study_id, batch, ct.k * ct.m AS u_max, any_value(u) AS u, avg((abs(2 * v - ct.k * ct.m) >= abs(2 * u - ct.k * ct.m))::int) AS two, avg((v >= u)::int) AS up, avg((v <= u)::int) AS down FROM ct JOIN od USING (k, m) GROUP BY ALL)
+SELECT study_id, batch, u, u_max, {R('CASE WHEN u_max > 0 THEN 2 * u / u_max - 1 ELSE 0 END')} AS rank_biserial, CASE WHEN u_max = 0 THEN 'undetermined' WHEN 2 * u > u_max THEN 'control_earlier' WHEN 2 * u < u_max THEN 'control_later' ELSE 'no_difference' END AS direction,
+{R('two', 9)} AS p_two_sided, {R('CASE WHEN 2 * u >= u_max THEN up ELSE down END', 9)} AS p_one_sided FROM pp""")
 def run_order_exact(spark, d):
     return ds.exact_perm(_suppliers(spark, d), "control").select(STUDY, "batch", "u", "u_max", rd("rank_biserial"), "direction", rd("p_two_sided", 9), rd("p_one_sided", 9))
 

@@ -96,3 +96,30 @@ def test_law_of_u():
     assert time.perf_counter() - start < 3 and np.isclose(law.sum(), 1) and (law >= 0).all()
     mean, var = (law * np.arange(len(law))).sum(), (law * (np.arange(len(law)) - 125_000.0) ** 2).sum()
     assert np.isclose(mean, 125_000) and np.isclose(var, 500 * 500 * 1001 / 12)
+
+
+def test_laws_of_large_samples():
+    from quantgrid.functions import special
+    from quantgrid.operators.design import _order_result
+
+    # A small arm against a huge one: close to the exact law where both can be had.
+    for few, many in ((1, 5000), (3, 3000), (8, 2000)):
+        law = special._u_law(few, many)
+        for u in (few * many // 2 + 1, int(few * many * 0.8), int(few * many * 0.97)):
+            exact = min(1.0, 2 * law[u:].sum())
+            scale = np.sqrt(many * (few + many + 1.0))
+            assert abs(min(1.0, 2 * special.uniform_sum_cdf(few / 2 - (u - few * many / 2 - 0.5) / scale, few)) - exact) < 1e-3 * exact + 1e-9
+    assert 0 < special.mann_whitney_p([8e8], [3], [4e8], [0], [True])[0] < 1  # no array as long as the product
+    # Batches: the product of laws against plain convolution.
+    shapes, law = [(3, 4), (5, 2), (6, 6), (0, 3)], np.ones(1)
+    for k, m in shapes[:3]:
+        law = np.convolve(law, special._u_law(k, m))
+    for us in ((3, 1, 9, 0), (12, 10, 36, 0), (0, 0, 0, 0)):
+        got, u = _order_result(us, shapes), sum(us)
+        assert np.isclose(got["p_two_sided"], min(1.0, law[np.abs(2 * np.arange(59) - 58) >= abs(2 * u - 58)].sum()), atol=1e-13)
+    start = time.perf_counter()
+    big = _order_result([130_000] * 2 + [2_000_000], [(500, 500)] * 2 + [(2000, 2000)])
+    assert time.perf_counter() - start < 1 and 0 < big["p_two_sided"] < 1
+    near = _order_result([130_000] * 2, [(500, 500)] * 2)
+    spread = np.sqrt(2 * 500 * 500 * 1001 / 12)
+    assert np.isclose(near["p_two_sided"], 2 * special.norm_sf((10_000 - 0.5) / spread), rtol=1e-3)
