@@ -29,15 +29,16 @@ CLASSES = {
     "alnum": (r"(?<![0-9A-Za-z+/_-])[0-9A-Za-z]{20,}+(?![0-9A-Za-z+/_=-])", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 3.7),
     "base64": (r"(?<![0-9A-Za-z+/_-])[0-9A-Za-z+/_-]{20,}+={0,2}", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_-=", 3.9),
 }
-#: Forms that aren't secrets: UUIDs, numbers, words or path parts with separators, samples, runs of one character.
+#: Forms that aren't secrets as a whole: UUIDs, numbers, words or path parts with separators.
 ALLOWED = (
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
     r"^[0-9+/_=-]+$",
     r"^[A-Za-z]+$",
     r"^(?:[A-Za-z]+|[0-9]{1,8})(?:[/_=-]+(?:[A-Za-z]+|[0-9]{1,8}))*+[/_=-]*$",
-    r"(?i)example|sample|placeholder|changeme|0123456789|abcdefgh",
-    r"(.)\1{7}",
 )
+#: Parts that say nothing: words of samples, runs of one character. Only what lies between them is scored, so a key is found
+#: though such a part occurs in it, and a string made up of them isn't.
+EMPTY_PARTS = r"(?i:example|sample|placeholder|changeme|0123456789|abcdefgh)|(.)\1{7,}"
 
 
 def window_entropy(s: Column, alphabet: str, window: int = WINDOW) -> Column:
@@ -70,7 +71,7 @@ def _mixed(s: Column) -> Column:
 
 
 def _dense(alphabet: str, least: float) -> Callable[[Column], Column]:
-    return lambda x: F.coalesce(window_entropy(x.s, alphabet) >= least, F.lit(False))
+    return lambda x: F.exists(F.split(x.s, EMPTY_PARTS), lambda part: F.coalesce(window_entropy(part, alphabet) >= least, F.lit(False)))
 
 
 def base_spans(text: Column) -> Column:

@@ -17,6 +17,7 @@ import math
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -243,6 +244,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     empty sets and are copies of each other. A null doc_id is below all others, and gives a null class_id. An empty
     table gives no rows. Other columns are left out.
     """
+    return _classes(docs, threshold, recall, id_col, text_col).select(_real("id", "doc_id"), _real("class_id", "class_id"), "n_links")
+
+
+def _classes(docs: DataFrame, threshold: float, recall: float, id_col: str, text_col: str) -> DataFrame:
+    """``id, node, label, class_id, n_links`` of each row: ``node`` is the key of its set, ``label`` tells its class from all others."""
     runs = runs_for(recall, threshold)
     base = fields(docs, id_col, text_col).select(key_of("doc_id").alias("id"), "text")
     table = materialise(nodes_of(base, runs))
@@ -294,8 +300,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     nodes = nodes.drop("n", "sketch", "buckets").join(links, "node", "left").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     nodes = materialise(nodes.select("node", "label", "id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     least = nodes.groupBy("label").agg(F.min("id").alias("class_id"))
-    nodes = nodes.join(least, "label").select("node", "class_id", "n_links")
-    return table.select("id", "node").join(nodes, "node").select(_real("id", "doc_id"), _real("class_id", "class_id"), "n_links")
+    nodes = nodes.join(least, "label").select("node", "label", "class_id", "n_links")
+    return table.select("id", "node").join(nodes, "node").select("id", "node", "label", "class_id", "n_links")
 
 
 def _real(col: str, name: str) -> Column:
@@ -303,14 +309,27 @@ def _real(col: str, name: str) -> Column:
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay when each class of near duplicates keeps its least doc_id, in one row.
+    """The rows of ``docs`` that stay when each class of near duplicates keeps one: a row of its least doc_id.
 
-    Without an id there is no least one: of those rows one of each text stays, and so does no other row of their class.
+    A null doc_id is below all others. Rows of one doc_id whose texts are of different classes are kept or dropped each by its
+    class: only for ids that repeat with different sets are those worked out again.
     """
-    found = near_duplicates(docs, threshold, id_col=id_col, text_col=text_col)
-    least = materialise(found.where("doc_id = class_id").select(F.col("doc_id").alias("_keeper")).distinct())
-    kept = docs.join(least, F.col(id_col) == F.col("_keeper"), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()).dropDuplicates([text_col]))
+    found = materialise(_classes(docs, threshold, RECALL, id_col, text_col).select("id", "node", "label"))
+    keepers = materialise(found.groupBy("label").agg(F.min(F.struct("id", "node")).alias("_k")).select("_k.id", "_k.node"))
+    mixed = materialise(found.where(F.col("id") > NULL_ID).groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("id"))
+
+    @F.pandas_udf("binary")
+    def keys(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: set_key(shingle_set(t)))
+
+    columns = [F.col(c) for c in docs.columns]
+    keyed = docs.select(F.struct(*columns).alias("_row"), key_of(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    single = keyed.where(F.col("_id") > NULL_ID).join(mixed, F.col("_id") == mixed["id"], "left_anti")
+    single = single.join(keepers.select("id").distinct(), F.col("_id") == F.col("id"), "left_semi").dropDuplicates(["_id"])
+    several = keyed.where(F.col("_id") == NULL_ID).unionByName(keyed.where(F.col("_id") > NULL_ID).join(mixed, F.col("_id") == mixed["id"], "left_semi"))
+    several = several.withColumn("_node", keys("_text"))
+    several = several.join(keepers, (F.col("_id") == F.col("id")) & (F.col("_node") == F.col("node")), "left_semi").dropDuplicates(["_id", "_node"])
+    return single.select("_row.*").unionByName(several.select("_row.*"))
 
 
 def op8_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:

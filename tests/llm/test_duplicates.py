@@ -191,3 +191,13 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 30)] + [(100, 101), (101, 102), (103, 100), (200, 200)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {**dict.fromkeys(range(31), 0), **dict.fromkeys(range(100, 104), 100), 200: 200}
+
+
+def test_repeated_ids_with_other_texts_stay(spark):
+    rnd = random.Random(8)
+    a, b, c, d = (prose(rnd, 40) for _ in range(4))
+    near = a.rsplit(" ", 1)[0] + " edited"
+    docs = [(1, a, "x"), (1, b, "x"), (2, c, "x"), (3, near, "x"), (4, b, "x"), (4, d, "x"), (None, c, "x"), (None, d + " more", "x"), (5, a, "x"), (5, a, "y"), (2, c, "z")]
+    kept = jaccard.one_of_each(spark.createDataFrame(docs, "doc_id long, text string, node string").repartition(3))
+    assert kept.columns == ["doc_id", "text", "node"]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(1, a), (1, b), (None, c), (None, d + " more")], key=repr)

@@ -200,3 +200,35 @@ def test_pairs_find_the_direction():
     p = quality.score(model, x[1500:])
     assert ((p >= quality.CUT) == y[1500:]).mean() > 0.93
     assert model["weight"][0] > 0 > model["weight"][1] and abs(model["weight"][2]) < 0.3
+
+
+def test_keys_with_empty_parts(spark):
+    keys = [
+        "b3BlbnNzaC1rZXktdjEAAAAABG5vbmUAAAAEbm9uZQAAAAAAAAABAAAAMwAAAAtzc2gtZW",  # how an unencrypted private key begins
+        "sk-live-51Hxyz9QwErTy8UiOp7LkJh6GfDs5Example4",
+        "example51Hxyz9QwErTy8UiOp7LkJh6GfDs5",
+        "0123456789Zx9QwErTy8UiOp7LkJh6GfDs5q",
+    ]
+    clean = ["example0123456789abcdefgh", "AAAAAAAAAAAAAAAA1111111111111111", "sample-placeholder-changeme-0123456789", "xxxxxxxxxxxxexample4xxxxxxxxxxxx5", "0123456789abcdefgh0123456789ABCDEFGH"]
+    docs = [(i, f"see {s} here") for i, s in enumerate(keys + clean)]
+    got = {r.doc_id: [tuple(x) for x in r.spans] for r in credentials.find_secrets(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, s in enumerate(keys):
+        assert got[i] == [(4, 3, 4 + len(s))], s
+    assert all(not got[len(keys) + i] for i in range(len(clean)))
+
+
+def test_planted_keys_are_found(spark):
+    """Recall and false alarms of the window on random keys and on words and numbers of like length."""
+    import string
+
+    rnd = random.Random(9)
+    kinds = {"alnum": string.ascii_letters + string.digits, "base64": string.ascii_letters + string.digits + "+/", "hex": "0123456789ABCDEF"}
+    planted = [("".join(rnd.choice(kinds[k]) for _ in range(rnd.randrange(32, 64))), k) for k in kinds for _ in range(100)]
+    words = ["".join(rnd.choice("aeioulnrst") for _ in range(rnd.randrange(3, 10))) for _ in range(300)]
+    plain = [rnd.choice(["-", "_", "/"]).join(rnd.choice([*words, "2024", "17"]) for _ in range(8)) for _ in range(300)]
+    docs = [(i, f"a b {s} c") for i, (s, _) in enumerate(planted)] + [(1000 + i, f"a b {s} c") for i, s in enumerate(plain)]
+    got = {r.doc_id: r.spans for r in credentials.find_secrets(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for kind in kinds:
+        own = [i for i, (_, k) in enumerate(planted) if k == kind]
+        assert sum(bool(got[i]) for i in own) >= 0.9 * len(own), kind
+    assert sum(bool(got[1000 + i]) for i in range(300)) <= 3
