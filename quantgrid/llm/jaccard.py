@@ -17,10 +17,10 @@ import math
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from quantgrid.llm.common import NULL_ID, batch_of, documents, fields, key_of, materialise
 from quantgrid.llm.components import components
@@ -318,16 +318,17 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "do
     keepers = materialise(found.groupBy("label").agg(F.min(F.struct("id", "node")).alias("_k")).select("_k.id", "_k.node"))
     mixed = materialise(found.where(F.col("id") > NULL_ID).groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("id"))
 
-    @F.pandas_udf("binary")
-    def keys(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: set_key(shingle_set(t)))
+    def with_keys(batches):
+        for batch in batches:
+            nodes = [set_key(shingle_set(t)) for t in batch.column("_text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.binary())], names=[*batch.schema.names, "_node"])
 
     columns = [F.col(c) for c in docs.columns]
     keyed = docs.select(F.struct(*columns).alias("_row"), key_of(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     single = keyed.where(F.col("_id") > NULL_ID).join(mixed, F.col("_id") == mixed["id"], "left_anti")
     single = single.join(keepers.select("id").distinct(), F.col("_id") == F.col("id"), "left_semi").dropDuplicates(["_id"])
     several = keyed.where(F.col("_id") == NULL_ID).unionByName(keyed.where(F.col("_id") > NULL_ID).join(mixed, F.col("_id") == mixed["id"], "left_semi"))
-    several = several.withColumn("_node", keys("_text"))
+    several = several.mapInArrow(with_keys, StructType([*several.schema.fields, StructField("_node", BinaryType())]))
     several = several.join(keepers, (F.col("_id") == F.col("id")) & (F.col("_node") == F.col("node")), "left_semi").dropDuplicates(["_id", "_node"])
     return single.select("_row.*").unionByName(several.select("_row.*"))
 
