@@ -403,9 +403,21 @@ def shared_permutation_tests(spark, d):
     return ag.perm_null_shared(whole(spark, d), "x", "y", "spearman").select(STUDY, rd("mean_r"), rd("null_mean"), rd("null_q025"), rd("null_q975"), rd("p_one_sided", 9), rd("p_two_sided", 9))
 
 
-@query("independent_permutation_null")
+def _partner(i: int, factor: int, addend: int, k: int) -> str:
+    taken = f"(((((h * {factor}::ubigint + {addend}::ubigint) & 4294967295) >> 8) * {k - i}::ubigint) >> 24)"
+    return f"[{taken}::double, zx[{i + 1}], {k - 1 - i}.0]"
+
+
+_LEFT = "lambda a, e: [a[1] + e[2] * a[(e[1] + 2)::int]] || a[2:(e[1] + 1)::int] || (CASE WHEN e[1] < e[3] THEN [a[(e[3] + 2)::int]] ELSE [] END) || a[(e[1] + 3)::int:(e[3] + 1)::int]"
+
+
+@query("independent_permutation_null", xy_sql("one", _drawn("cx", 4) + f""", us AS (SELECT study_id, feature_id, sample_id, (x - avg(x) OVER w) / stddev_pop(x) OVER w AS zx, (y - avg(y) OVER w) / stddev_pop(y) OVER w AS zy
+ FROM cx WINDOW w AS (PARTITION BY study_id, feature_id) QUALIFY stddev_pop(x) OVER w > 1e-12 AND stddev_pop(y) OVER w > 1e-12),
+vec AS (SELECT study_id, feature_id, list(zx ORDER BY sample_id) AS zx, list(zy ORDER BY sample_id) AS zy FROM us GROUP BY ALL),
+sh AS (SELECT study_id, draw, list_reduce([{", ".join(_partner(i, a, c, 8) for i, (a, c) in enumerate(ag.order_steps(8)))}], {_LEFT}, [0.0::double] || zy)[1] / 8 AS r FROM vec JOIN h3 USING (feature_id))
+SELECT study_id, draw::int AS draw, {R('avg(r)')} AS mean_r, {R('median(r)')} AS median_r FROM sh GROUP BY ALL"""))
 def independent_permutation_null(spark, d):
-    return ag.perm_null_independent(whole(spark, d), "x", "y", draws=50, seed=4).select(STUDY, "draw", rd("mean_r"), rd("median_r"))
+    return ag.perm_null_independent(whole(spark, d), "x", "y", draws=DRAWS, seed=4).select(STUDY, "draw", rd("mean_r"), rd("median_r"))
 
 
 _PDX = """, pdx AS (SELECT cx.study_id, feature_id, candidate_pair AS pair_id, max(CASE WHEN condition = 'treated' THEN x END) - max(CASE WHEN condition = 'control' THEN x END) AS dx, max(CASE WHEN condition = 'treated' THEN y END) - max(CASE WHEN condition = 'control' THEN y END) AS dy FROM cx JOIN smp USING (study_id, sample_id) GROUP BY ALL),

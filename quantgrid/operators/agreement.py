@@ -9,6 +9,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,10 +17,13 @@ from quantgrid.functions import tails
 from quantgrid.functions.numeric import COUNT_EDGES, count_bin
 from quantgrid.model import FEATURE, SAMPLE, STUDY, VALUE, study_sizes
 from quantgrid.operators.bootstrap import (
+    DRAWS,
     bootstrap_pearson,
     bootstrap_sd,
     bootstrap_spearman,
     bootstrap_sums,
+    cluster_words,
+    draw_hashes,
     percentile_ci,
 )
 from quantgrid.operators.correlation import correlate, pearson
@@ -38,6 +42,10 @@ FEATURE_KEY = [STUDY, FEATURE]
 SAMPLE_KEY = [STUDY, SAMPLE]
 PERMUTATION_RUNS = 8
 TOLERANCE = 1e-12
+#: Factor and addend of the sequence of numbers drawn from one hash.
+_STEP_A, _STEP_C = 1664525, 1013904223
+#: Bins of r in which medians are located, and features whose orders are made together.
+_BINS, _CHUNK_ROWS = 512, 256
 
 
 # --- correlations and slopes ----------------------------------------------------------
@@ -700,24 +708,101 @@ def study_run_counts(cells: DataFrame) -> DataFrame:
     return materialise(cells.select(*SAMPLE_KEY).distinct().groupBy(STUDY).agg(F.count(F.lit(1)).alias("n_runs")))
 
 
-def perm_null_independent(df: DataFrame, x: str, y: str, method: str = "pearson", draws: int = 200, seed: int = 0) -> DataFrame:
-    """Mean and median row correlation per draw when every feature is shuffled on its own.
+def order_steps(k: int) -> list[tuple[int, int]]:
+    """Factor and addend that give, from a 32-bit hash, the number that run i of ``k`` draws its partner by."""
+    steps, factor, addend = [], 1, 0
+    for _ in range(k):
+        factor, addend = factor * _STEP_A % 2**32, (addend * _STEP_A + _STEP_C) % 2**32
+        steps.append((factor, addend))
+    return steps
 
-    Each feature's shuffles are seeded by its id, so they do not depend on partitioning.
+
+def _shuffled_r(zx: np.ndarray, zy: np.ndarray, words: np.ndarray, draws: int, seed: int) -> np.ndarray:
+    """Correlation of each feature in each draw: run by run a partner is taken from those left, the last one filling its place."""
+    n, k = zx.shape
+    h = draw_hashes(words, draws, seed).ravel()
+    left = np.repeat(zy, draws, axis=0)
+    at, total = np.arange(n * draws), np.zeros(n * draws)
+    for i, (factor, addend) in enumerate(order_steps(k)):
+        number = (h * np.uint32(factor) + np.uint32(addend)) >> np.uint32(8)
+        taken = ((number.astype(np.uint64) * np.uint64(k - i)) >> np.uint64(24)).astype(np.int64)
+        total += np.repeat(zx[:, i], draws) * left[at, taken]
+        left[at, taken] = left[:, k - 1 - i]
+    return (total / k).reshape(n, draws)
+
+
+def _chunk_r(rows: list[dict], draws: int, seed: int) -> Iterator[np.ndarray]:
+    """The features of a chunk, those with as many runs together."""
+    sizes = np.array([len(r["zx"]) for r in rows])
+    for k in np.unique(sizes):
+        part = [r for r, n in zip(rows, sizes, strict=True) if n == k]
+        for i in range(0, len(part), 128):
+            some = part[i : i + 128]
+            words = np.array([[r["_w1"], r["_w2"]] for r in some], np.uint32)
+            yield _shuffled_r(np.array([r["zx"] for r in some]), np.array([r["zy"] for r in some]), words, draws, seed)
+
+
+def _bins(r: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor((r + 1) * (_BINS / 2)), 0, _BINS - 1).astype(np.int64)
+
+
+def perm_null_independent(df: DataFrame, x: str, y: str, method: str = "pearson", draws: int = DRAWS, seed: int = 0) -> DataFrame:
+    """Mean and median row correlation per draw (from 1) when every feature is shuffled on its own.
+
+    A feature's order in a draw is read from a hash of seed, draw and feature, so any task can make it again. Tasks add
+    up sums and counts in bins of r; a second look emits only what lies in the bin of a draw's median.
     """
-    vectors = _vectors(_row_scores(df, x, y, method)).withColumn("_seed", F.xxhash64(F.lit(seed), STUDY, FEATURE))
+    vectors = materialise(_vectors(_row_scores(df, x, y, method)).select(*FEATURE_KEY, *cluster_words(FEATURE), "zx", "zy"))
+    sizes = materialise(vectors.groupBy(STUDY).agg(F.ceil(F.count(F.lit(1)) / _CHUNK_ROWS).alias("_n")))
+    chunk = F.pmod(F.xxhash64(FEATURE), F.col("_n")).alias("_chunk")
+    chunks = materialise(vectors.join(sizes, STUDY).groupBy(STUDY, chunk).agg(F.collect_list(F.struct("_w1", "_w2", "zx", "zy")).alias("_rows")))
 
-    def shuffle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            draw, b = np.nonzero(n)
+            return pa.RecordBatch.from_pydict({STUDY: pa.array([held] * len(draw), pa.string()), "draw": (draw + 1).astype(np.int32), "bin": b.astype(np.int32), "n": n[draw, b], "s": s[draw, b]})
+
+        held, n, s, base = None, None, None, np.arange(draws) * _BINS
+        for batch in batches:
+            for row in batch.to_pylist():
+                if n is None or row[STUDY] != held:
+                    if n is not None:
+                        yield out()
+                    held, n, s = row[STUDY], np.zeros((draws, _BINS), np.int64), np.zeros((draws, _BINS))
+                for r in _chunk_r(row["_rows"], draws, seed):
+                    cell = (base + _bins(r)).ravel()
+                    n += np.bincount(cell, minlength=n.size).reshape(n.shape)
+                    s += np.bincount(cell, r.ravel(), n.size).reshape(n.shape)
+        if n is not None:
+            yield out()
+
+    binned = chunks.sortWithinPartitions(STUDY).mapInArrow(count, f"{STUDY} string, draw int, bin int, n long, s double")
+    binned = binned.groupBy(STUDY, "draw", "bin").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    group = Window.partitionBy(STUDY, "draw")
+    below = F.sum("n").over(group.orderBy("bin")) - F.col("n")
+    ranked = binned.withColumns({"_below": below, "_all": F.sum("n").over(group)})
+    holds = lambda k: (F.col("_below") <= k) & (k < F.col("_below") + F.col("n"))
+    first, last = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
+    middle = holds(first) | holds(last)
+    marks = materialise(ranked.groupBy(STUDY, "draw").agg(
+        (F.sum("s") / F.sum("n")).alias("mean_r"), F.max("_all").alias("_all"),
+        *[f(F.when(middle, F.col(c))).alias(name) for f, c, name in ((F.min, "bin", "_lo"), (F.max, "bin", "_hi"), (F.min, "_below", "_below"))],
+    ))
+    wanted = marks.groupBy(STUDY).agg(F.array_sort(F.collect_list(F.struct("draw", "_lo", "_hi"))).alias("_bins")).select(STUDY, "_bins._lo", "_bins._hi")
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for study, zx, zy, s in zip(batch[STUDY], batch["zx"], batch["zy"], batch["_seed"]):
-                rng = np.random.default_rng(int(s) & 0xFFFFFFFFFFFF)
-                a, b = np.asarray(zx, float), np.asarray(zy, float)
-                order = np.argsort(rng.random((draws, len(a))), axis=1)
-                yield pd.DataFrame({STUDY: study, "draw": np.arange(draws), "r": b[order] @ a / len(a)})
+            for row in batch.to_pylist():
+                lo, hi = np.array(row["_lo"]), np.array(row["_hi"])
+                for r in _chunk_r(row["_rows"], draws, seed):
+                    b = _bins(r)
+                    i, draw = np.nonzero((b >= lo) & (b <= hi))
+                    yield pa.RecordBatch.from_pydict({STUDY: pa.array([row[STUDY]] * len(i), pa.string()), "draw": (draw + 1).astype(np.int32), "r": r[i, draw]})
 
-    rows = vectors.mapInPandas(shuffle, f"{STUDY} string, draw int, r double")
-    means = rows.groupBy(STUDY, "draw").agg(F.avg("r").alias("mean_r"))
-    return means.join(group_median(rows, [STUDY, "draw"], "r", "median_r"), [STUDY, "draw"])
+    # A bin between the two middle ones is empty, so the picked values are neighbours in rank.
+    near = chunks.join(materialise(wanted), STUDY).mapInArrow(pick, f"{STUDY} string, draw int, r double").join(marks, [STUDY, "draw"])
+    placed = near.withColumn("_k", F.col("_below") + F.row_number().over(group.orderBy("r")) - 1).where((F.col("_k") == first) | (F.col("_k") == last))
+    return placed.groupBy(STUDY, "draw").agg(F.max("mean_r").alias("mean_r"), F.avg("r").alias("median_r"))
 
 
 def pair_differences(df: DataFrame, roles: DataFrame, x: str, y: str) -> DataFrame:
@@ -772,7 +857,7 @@ def between_pair_share(df: DataFrame, roles: DataFrame, value: str) -> DataFrame
 
 def tracking_report(
     df: DataFrame, variants: Mapping[str, str], x: str, roles: DataFrame, edges: Sequence[int] = COUNT_EDGES, methods: Sequence[str] = ("pearson", "spearman"),
-    draws: int = 100, seed: int = 0,
+    draws: int = DRAWS, seed: int = 0,
 ) -> tuple[DataFrame, DataFrame]:
     """How well variants of y follow x across runs: null tests and medians by count bin.
 

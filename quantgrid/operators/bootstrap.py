@@ -46,13 +46,17 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def draw_hashes(words: np.ndarray, draws: int, seed: int = 0) -> np.ndarray:
+    """A 32-bit hash for each cluster (a row of two 32-bit words) and draw."""
+    key = _mix((np.arange(1, draws + 1, dtype=np.uint64) * GOLDEN + seed).astype(np.uint32))
+    return _mix((words[:, :1] ^ key) + words[:, 1:] * (key | np.uint32(1)))
+
+
 def draw_counts(words: np.ndarray, draws: int, seed: int = 0) -> np.ndarray:
     """Copies of each cluster (a row of two 32-bit words) in each draw, as bytes."""
-    key = _mix((np.arange(1, draws + 1, dtype=np.uint64) * GOLDEN + seed).astype(np.uint32))
     out = np.empty((len(words), draws), np.uint8)
     for i in range(0, len(words), _CHUNK):
-        w = words[i : i + _CHUNK]
-        h = _mix((w[:, :1] ^ key) + w[:, 1:] * (key | np.uint32(1)))
+        h = draw_hashes(words[i : i + _CHUNK], draws, seed)
         part = np.zeros(h.shape, np.uint8)
         for s in poisson_steps():
             part += h >= np.uint32(s)
