@@ -49,17 +49,22 @@ def xy_sql(study: str, body: str) -> str:
     return with_sql(study, "").rstrip() + frac + _XY + "\n" + body
 
 
-_LONG = """, lng AS (SELECT study_id, 'all_common' AS subset, feature_id, sample_id, x, y FROM xy UNION ALL SELECT study_id, 'complete', feature_id, sample_id, x, y FROM cx),
-sc AS (SELECT study_id, subset, 'pooled_cells' AS scope, 'all' AS scope_sample, feature_id, x, y FROM lng UNION ALL SELECT study_id, subset, 'per_sample', sample_id, feature_id, x, y FROM lng
- UNION ALL SELECT study_id, subset, 'feature_mean', 'mean_over_runs', feature_id, avg(x), avg(y) FROM lng GROUP BY study_id, subset, feature_id),
-rk AS (SELECT *, rank() OVER (PARTITION BY study_id, subset, scope, scope_sample ORDER BY x) + (count(*) OVER (PARTITION BY study_id, subset, scope, scope_sample, x) - 1) / 2.0 AS rx,
- rank() OVER (PARTITION BY study_id, subset, scope, scope_sample ORDER BY y) + (count(*) OVER (PARTITION BY study_id, subset, scope, scope_sample, y) - 1) / 2.0 AS ry FROM (SELECT * REPLACE (round(x, 9) AS x, round(y, 9) AS y) FROM sc)),
-res AS (SELECT study_id, subset, scope, scope_sample, count(*) AS n_cells, count(DISTINCT feature_id) AS n_features, corr(x, y) AS pearson, corr(rx, ry) AS spearman FROM rk GROUP BY ALL)"""
-
-
-@query("agreement_correlations", xy_sql("one", _LONG + f" SELECT study_id, 'value_vs_count' AS comparison, subset, scope, scope_sample, n_cells, n_features, 'pearson' AS method, {R('pearson')} AS r FROM res UNION ALL SELECT study_id, 'value_vs_count', subset, scope, scope_sample, n_cells, n_features, 'spearman', {R('spearman')} FROM res"))
+#: Two columns each: normalised value, raw value, count, count plus one and fraction, all as log2.
+_COMPARISONS = {"value_vs_count": ("x", "y"), "raw_vs_count": ("raw", "y"), "value_vs_count_plus_one": ("x", "y1"), "value_vs_fraction": ("x", "f"), "count_vs_fraction": ("y", "f")}
+_GROUP = "study_id, comparison, subset, scope, scope_sample"
+_LONG = f""", xr AS (SELECT xy.*, log2(b.value) AS raw, log2(b.count + 1) AS y1 FROM xy JOIN base b USING (study_id, feature_id, sample_id)),
+cm AS ({" UNION ALL ".join(f"SELECT study_id, '{name}' AS comparison, feature_id, sample_id, {x} AS x, {y} AS y FROM xr WHERE {x} IS NOT NULL AND {y} IS NOT NULL" for name, (x, y) in _COMPARISONS.items())}),
+lng AS (SELECT study_id, comparison, unnest(CASE WHEN count(*) OVER (PARTITION BY study_id, comparison, feature_id) = n_samples THEN ['all_common', 'complete'] ELSE ['all_common'] END) AS subset, feature_id, sample_id, x, y FROM cm JOIN nsmp USING (study_id)),
+sc AS (SELECT study_id, comparison, subset, 'pooled_cells' AS scope, 'all' AS scope_sample, feature_id, x, y FROM lng UNION ALL SELECT study_id, comparison, subset, 'per_sample', sample_id, feature_id, x, y FROM lng
+ UNION ALL SELECT study_id, comparison, subset, 'feature_mean', 'mean_over_runs', feature_id, avg(x), avg(y) FROM lng GROUP BY study_id, comparison, subset, feature_id),
+rk AS (SELECT *, {", ".join(f"rank() OVER (PARTITION BY {_GROUP} ORDER BY {c}) + (count(*) OVER (PARTITION BY {_GROUP}, {c}) - 1) / 2.0 AS r{c}" for c in "xy")} FROM (SELECT * REPLACE (round(x, 9) AS x, round(y, 9) AS y) FROM sc)),
+res AS (SELECT {_GROUP}, count(*) AS n_cells, count(DISTINCT feature_id) AS n_features, corr(x, y) AS pearson, corr(rx, ry) AS spearman FROM rk GROUP BY ALL)"""
+
+
+@query("agreement_correlations", xy_sql("one", _LONG + f" SELECT study_id, comparison, subset, scope, scope_sample, n_cells, n_features, 'pearson' AS method, {R('pearson')} AS r FROM res UNION ALL SELECT study_id, comparison, subset, scope, scope_sample, n_cells, n_features, 'spearman', {R('spearman')} FROM res"))
 def agreement_correlations(spark, d):
-    t = ag.agreement_corr(cells(spark, d), {"value_vs_count": ("x", "y")}, tb.samples(spark, d))
+    c = cells(spark, d).join(tb.base_cells(spark, d).select(*CELL_KEY, F.log2("value").alias("raw"), F.log2(F.col("count") + 1).alias("y1")), CELL_KEY)
+    t = ag.agreement_corr(materialise(c), _COMPARISONS, tb.samples(spark, d))
     return t.select(STUDY, "comparison", "subset", "scope", "scope_sample", "n_cells", "n_features", "method", rd("r"))
 
 
@@ -328,12 +333,31 @@ _KID = """WITH ch AS (SELECT 's0' AS study_id, l_partkey || '_' || l_returnflag
  CASE WHEN count(*) > 1 THEN 'MSMS' ELSE 'MBR' END AS dt FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL), rw AS (SELECT DISTINCT study_id, feature_id, members FROM ch), lk AS (SELECT study_id, feature_id, len(members) AS k, unnest(members) AS parent_id FROM rw)"""
 
 
-@query("child_summary", _KID + ", pa AS (SELECT DISTINCT p_brand AS parent_id FROM part UNION SELECT DISTINCT p_type FROM part) SELECT 's0' AS study_id, parent_id, count_if(k = 1) AS n_unique_rows, count_if(k > 1) AS n_shared_rows FROM pa LEFT JOIN lk USING (parent_id) GROUP BY ALL")
+#: Detection by size: small cells of a child carry no value, and not always for the same reason.
+_KINDS = (("NotDetected", 10_000), ("MSMSIdentifiedButNotQuantified", 15_000), ("MSMSAmbiguousPeakfinding", 20_000))
+_TYPES = ("MSMS", "MBR", *[t for t, _ in _KINDS])
+
+
+def _graded(children):
+    kind = F.col("detection_type")
+    for name, below in reversed(_KINDS):
+        kind = F.when(F.col("value") < below, name).otherwise(kind)
+    return children.withColumn("detection_type", kind).withColumn("value", F.when(F.col("value") >= _KINDS[-1][1], F.col("value")))
+
+
+@query("child_summary", _KID + f""", ck AS (SELECT *, CASE {" ".join(f"WHEN value < {below} THEN '{name}'" for name, below in _KINDS)} ELSE dt END AS kind FROM ch),
+lq AS (SELECT feature_id, q, len(members) AS k, unnest(members) AS parent_id FROM (SELECT feature_id, members, max(value) >= {_KINDS[-1][1]} AS q FROM ck GROUP BY ALL)),
+ta AS (SELECT parent_id, count_if(k = 1) AS n_unique_rows, count_if(k = 1 AND q) AS n_unique_quantified, count_if(k > 1) AS n_shared_rows, count_if(k > 1 AND q) AS n_shared_quantified FROM lq GROUP BY ALL),
+kt AS (SELECT members[1] AS parent_id, {", ".join(f"count_if(kind = '{t}') AS det_{t}" for t in _TYPES)} FROM ck WHERE len(members) = 1 GROUP BY ALL),
+mk AS (SELECT DISTINCT parent_id FROM lq SEMI JOIN (SELECT feature_id FROM lq WHERE k > 1 AND parent_id IN (SELECT p_type FROM part WHERE p_size > 40)) USING (feature_id)),
+pa AS (SELECT p_brand AS parent_id FROM part UNION SELECT p_type FROM part)
+SELECT 's0' AS study_id, parent_id, coalesce(n_unique_rows, 0) AS n_unique_rows, coalesce(n_unique_quantified, 0) AS n_unique_quantified, coalesce(n_shared_rows, 0) AS n_shared_rows, coalesce(n_shared_quantified, 0) AS n_shared_quantified,
+ {", ".join(f"coalesce(det_{t}, 0) AS det_{t}" for t in _TYPES)}, parent_id IN (SELECT parent_id FROM mk) AS shares_with_flagged FROM pa LEFT JOIN ta USING (parent_id) LEFT JOIN kt USING (parent_id)""")
 def child_summary(spark, d):
     part = tb.table(spark, d, "part")
     parents = part.select(F.col("p_brand").alias("parent_id")).unionByName(part.select(F.col("p_type").alias("parent_id"))).distinct().withColumn(STUDY, F.lit("s0"))
-    s, _ = ag.child_summary(_children(spark, d), parents, part.select(F.col("p_type").alias("member")))
-    return s.select(STUDY, "parent_id", "n_unique_rows", "n_shared_rows")
+    s, _ = ag.child_summary(_graded(_children(spark, d)), parents, part.where("p_size > 40").select(F.col("p_type").alias("member")))
+    return s
 
 
 @query("child_runs", _KID + f" SELECT study_id, members[1] AS parent_id, sample_id, count_if(dt = 'MSMS') AS n_unique_msms, count_if(dt = 'MBR') AS n_unique_mbr, {R('''sum(CASE WHEN dt = 'MBR' THEN value ELSE 0 END) / sum(value)''')} AS mbr_share FROM ch WHERE len(members) = 1 GROUP BY ALL")
@@ -366,11 +390,30 @@ def contaminant_sharing(spark, d):
     return ag.contaminant_sharing(c, flagged, runs).select(STUDY, "parent_id", "n_rows", "n_gained", "exclusive")
 
 
-@query("no_value_reasons", "WITH " + with_sql("flag", "", False, sparse=True)[5:] + _DET + """ SELECT study_id, feature_id, cast(sum(count) AS bigint) AS total_count, CASE WHEN any_value(is_contaminant) THEN 'source_token' ELSE 'shared_children_only' END AS reason FROM ev JOIN feat USING (study_id, feature_id) WHERE NOT ever GROUP BY ALL""")
+def _line_children(spark, d):
+    """Children of parts: a line number of a part, every third shared with the part's brand, with a value from 20,000 on."""
+    line = tb.table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_returnflag")
+    part = tb.table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    own = F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
+    members = F.when((F.col("l_linenumber") % 3 == 0) & F.col("p_brand").isNotNull(), F.array(own, F.col("p_brand"))).otherwise(F.array(own))
+    keyed = line.join(part, "l_partkey", "left").select(
+        F.col("l_returnflag").alias(STUDY), F.concat_ws("_", own, F.col("l_linenumber").cast("string")).alias(FEATURE), members.alias("members"), tb.sample_key(True).alias(SAMPLE), "l_extendedprice",
+    )
+    cells = keyed.groupBy(*CELL_KEY, "members").agg(F.max("l_extendedprice").alias("_v"), F.count(F.lit(1)).alias("_n"))
+    seen = F.col("_v") >= 20_000
+    return cells.select(*CELL_KEY, "members", F.when(seen, F.col("_v")).alias("value"), F.when(~seen, "NotDetected").when(F.col("_n") > 1, "MSMS").otherwise("MBR").alias("detection_type"))
+
+
+@query("no_value_reasons", "WITH " + with_sql("flag", "", False, sparse=True)[5:] + _DET + """, kid AS (SELECT l_returnflag AS study_id, 'p' || l_partkey AS feature_id, l_linenumber, any_value(l_linenumber % 3 = 0 AND p_brand IS NOT NULL) AS shared, max(l_extendedprice) >= 20000 AS q
+ FROM lineitem LEFT JOIN part ON p_partkey = l_partkey GROUP BY ALL),
+kt AS (SELECT study_id, feature_id, count_if(NOT shared) AS n_unique_rows, count_if(NOT shared AND q) AS n_unique_quantified, count_if(shared) AS n_shared_rows, count_if(shared AND q) AS n_shared_quantified FROM kid GROUP BY ALL),
+nv AS (SELECT study_id, feature_id, cast(sum(count) AS bigint) AS total_count, max(count) AS max_count, count(*) AS n_runs_with_count FROM ev WHERE NOT ever GROUP BY ALL)
+SELECT nv.*, n_unique_rows, n_unique_quantified, n_shared_rows, n_shared_quantified, CASE WHEN is_contaminant THEN 'source_token' WHEN n_unique_rows = 0 THEN 'shared_children_only' WHEN n_unique_quantified = 0 THEN 'unique_children_never_quantified' ELSE 'unique_child_quantified_but_no_value' END AS reason
+FROM nv JOIN feat USING (study_id, feature_id) JOIN kt USING (study_id, feature_id)""")
 def no_value_reasons(spark, d):
     f = tb.features(spark, d, "flag")
-    kids = f.select(STUDY, F.col(FEATURE).alias("parent_id"), *[F.lit(0).alias(c) for c in ("n_unique_rows", "n_unique_quantified", "n_shared_rows", "n_shared_quantified")])
-    return ag.no_value_reasons(_detect(spark, d), "v", "count", kids, f.where("is_contaminant")).select(STUDY, FEATURE, "total_count", "reason")
+    kids, _ = ag.child_summary(_line_children(spark, d), f.select(STUDY, F.col(FEATURE).alias("parent_id")))
+    return ag.no_value_reasons(_detect(spark, d), "v", "count", kids, f.where("is_contaminant"))
 
 
 @query("value_without_count", "WITH " + with_sql("flag", "", False)[5:] + f", m AS (SELECT *, CASE WHEN count > 1 THEN count END AS c2 FROM base) SELECT study_id, feature_id, sample_id, {R('log2(value)')} AS v, k AS n_runs_with_count FROM m JOIN (SELECT study_id, feature_id, count(c2) AS k FROM m GROUP BY ALL) USING (study_id, feature_id) WHERE c2 IS NULL")
@@ -443,10 +486,27 @@ def between_pair_share(spark, d):
     return ag.between_pair_share(whole(spark, d), roles(spark, d), "x").select(STUDY, FEATURE, rd("between_pair_share"))
 
 
+def _tracking(spark, d):
+    return ag.tracking_report(whole(spark, d), {"count": "y"}, "x", roles(spark, d))
+
+
 @query("tracking_report")
 def tracking_report(spark, d):
-    t, _ = ag.tracking_report(whole(spark, d), {"count": "y"}, "x", roles(spark, d), methods=("pearson",), draws=20)
-    return t.select("variant", "method", STUDY, "n_features", rd("mean_r"), rd("median_r"), rd("p_two_sided", 9), "n_null")
+    t, _ = _tracking(spark, d)
+    plain = ("variant", "method", STUDY, "n_features", "n_finite", "n_null", "n_p05", "n_q05")
+    return t.select(*plain, *[rd(c, 9) for c in t.columns if c not in plain])
+
+
+def _bin_sql(method: str, x: str, y: str) -> str:
+    return f"""SELECT study_id, 'count' AS variant, '{method}' AS method, b AS mean_count_bin, count(*) AS n_features, {R('avg(r)')} AS mean_r, {R('median(r)')} AS median_r
+ FROM (SELECT study_id, feature_id, CASE WHEN var_pop({x}) > 1e-20 AND var_pop({y}) > 1e-20 THEN corr({x}, {y}) END AS r FROM rw GROUP BY ALL) JOIN mb USING (study_id, feature_id) WHERE r IS NOT NULL AND b IS NOT NULL GROUP BY ALL"""
+
+
+@query("tracking_bins", xy_sql("one", f""", rw AS (SELECT study_id, feature_id, x, y, {", ".join(f"rank() OVER (PARTITION BY study_id, feature_id ORDER BY {c}) + (count(*) OVER (PARTITION BY study_id, feature_id, {c}) - 1) / 2.0 AS r{c}" for c in "xy")} FROM cx),
+mb AS (SELECT study_id, feature_id, {_BIN.format(c="avg(count)")} AS b FROM cx GROUP BY ALL) {_bin_sql("pearson", "x", "y")} UNION ALL {_bin_sql("spearman", "rx", "ry")}"""))
+def tracking_bins(spark, d):
+    _, b = _tracking(spark, d)
+    return b.select(STUDY, "variant", "method", "mean_count_bin", "n_features", rd("mean_r"), rd("median_r"))
 
 
 @query("median_polish")

@@ -192,24 +192,18 @@ def center_by_feature(spark, d):
     return cell_out(nz.center_by_feature(normalized_log(spark, d)))
 
 
-_PIPELINE = f"""WITH {with_sql('one', '', True, False)[5:]},
+_STATES = f"""WITH {with_sql('one', '', True, False)[5:]},
 comp2 AS (SELECT * FROM comp SEMI JOIN (SELECT * FROM feat WHERE NOT is_contaminant) USING (study_id, feature_id)),
 m2 AS (SELECT study_id, sample_id, median(value) AS m FROM comp2 GROUP BY ALL),
-f2 AS (SELECT study_id, sample_id, avg(m) OVER (PARTITION BY study_id) / m AS factor FROM m2)
-SELECT {CELL}{R('log2(value * factor + 1)')} AS value FROM comp2 JOIN f2 USING (study_id, sample_id)"""
+f2 AS (SELECT study_id, sample_id, avg(m) OVER (PARTITION BY study_id) / m AS factor FROM m2),
+nlog AS (SELECT study_id, feature_id, sample_id, log2(value * factor + 1) AS value FROM comp2 JOIN f2 USING (study_id, sample_id))"""
 
 
-@query("state_pipeline", _PIPELINE)
+@query("state_pipeline", _STATES + f" SELECT {CELL}{R('value')} AS value FROM nlog")
 def state_pipeline(spark, d):
     return cell_out(build_states(tb.cells(spark, d), tb.features(spark, d), tb.samples(spark, d))["normalized_log"])
 
 
-@query("batch_corrected_states")
-def batch_corrected_states(spark, d):
-    states = build_states(tb.cells(spark, d), tb.features(spark, d), tb.samples(spark, d))
-    return cell_out(states["batch_corrected_log"], 5)
-
-
 def _fractions(spark, d, study="one"):
     c = tb.base_cells(spark, d, study).join(tb.features(spark, d, study).select(STUDY, FEATURE, "p_size"), [STUDY, FEATURE])
     raw = F.col("count") / F.col("p_size")
@@ -239,12 +233,39 @@ def state_manifest(spark, d):
     return manifest({"raw": tb.cells(spark, d), "complete": complete(spark, d)})
 
 
-@query("combat_correct")
+_STEP = "(n * tau2 * g + s[2] * bar) / (n * tau2 + s[2])"
+_SCALE = f"CASE WHEN NOT v > 0 THEN d ELSE ((m * v + m * m * m) / v + 0.5 * ((n - 1) * d + n * (g - ({_STEP})) ^ 2)) / (n / 2 + (2 * v + m * m) / v - 1) END"
+
+
+def _combat_sql(mask: str = "true") -> str:
+    """``fx``: all cells of nlog after correction of the samples that ``mask`` takes. Both moments of a batch effect are iterated, each row until it changes by less than 1e-6."""
+    return f""", kn AS (SELECT nlog.*, batch FROM nlog JOIN smp USING (study_id, sample_id) WHERE {mask}),
+mo AS (SELECT study_id, feature_id, batch, count(value)::double AS n, avg(value) AS mean, var_samp(value) AS var FROM kn GROUP BY ALL),
+po AS (SELECT study_id, feature_id, sum(n * mean) / sum(n) AS grand, sum(var * (n - 1)) / sum(n) AS pooled, sum(n * mean * mean) / sum(n) AS m2 FROM mo GROUP BY ALL),
+ef AS (SELECT *, (mean - grand) / sqrt(pooled) AS g, var / pooled AS d FROM mo JOIN po USING (study_id, feature_id) WHERE pooled > 0 AND pooled + greatest(m2 - grand * grand, 0) > 1e-12),
+pr AS (SELECT study_id, batch, avg(g) AS bar, var_samp(g) AS tau2, avg(d) AS m, var_samp(d) AS v FROM ef GROUP BY ALL),
+eb AS (SELECT study_id, feature_id, batch, grand, pooled, list_reduce(list_transform(range(500), lambda i: [0.0::double]), lambda s, e: CASE WHEN s[3] = 0 THEN s
+ ELSE [{_STEP}, {_SCALE}, (greatest(abs(({_STEP}) - s[1]) / greatest(abs(s[1]), 1e-12), abs(({_SCALE}) - s[2]) / greatest(s[2], 1e-12)) >= 1e-6)::int::double] END, [g, d, 1.0::double]) AS e FROM ef JOIN pr USING (study_id, batch)),
+fx AS (SELECT c.study_id, c.feature_id, c.sample_id, CASE WHEN kn.batch IS NULL OR e IS NULL THEN c.value ELSE sqrt(pooled) * ((c.value - grand) / sqrt(pooled) - e[1]) / sqrt(e[2]) + grand END AS value, kn.batch IS NOT NULL AND e IS NOT NULL AS corrected
+ FROM nlog c LEFT JOIN kn USING (study_id, feature_id, sample_id) LEFT JOIN eb ON eb.study_id = c.study_id AND eb.feature_id = c.feature_id AND eb.batch = kn.batch)"""
+
+
+def _with_combat(study: str, digits: int, more: str = "", mask: str = "true") -> str:
+    return with_sql(study, "").rstrip() + _combat_sql(mask) + f"\nSELECT {CELL}{R('value', digits)} AS value{more} FROM fx"
+
+
+@query("combat_correct", _with_combat("three", 5, ", corrected"))
 def combat_correct(spark, d):
     out = bt.combat(normalized_log(spark, d, "three"), tb.samples(spark, d, "three"))
     return out.select(*CELL_KEY, rd("value", 5), "corrected")
 
 
+@query("batch_corrected_states", _STATES + _combat_sql() + f" SELECT {CELL}{R('value', 5)} AS value FROM fx")
+def batch_corrected_states(spark, d):
+    states = build_states(tb.cells(spark, d), tb.features(spark, d), tb.samples(spark, d))
+    return cell_out(states["batch_corrected_log"], 5)
+
+
 @query("combat_passed_through", with_sql("three", "SELECT study_id, feature_id FROM comp SEMI JOIN (SELECT * FROM feat WHERE is_contaminant) USING (study_id, feature_id) GROUP BY ALL"))
 def combat_passed_through(spark, d):
     """Features that are made constant come through uncorrected, and only those."""
@@ -254,11 +275,11 @@ def combat_passed_through(spark, d):
     return bt.passed_through(bt.combat(cells, tb.samples(spark, d, "three"))).select(STUDY, FEATURE)
 
 
-@query("combat_masked", with_sql("one", f"SELECT {CELL}{R('value')} AS value FROM nlog SEMI JOIN (SELECT * FROM smp WHERE candidate_pair = 'P1') USING (study_id, sample_id)"))
+@query("combat_masked", _with_combat("one", 5, ", corrected", "candidate_pair <> 'P1'"))
 def combat_masked(spark, d):
-    """Samples outside the mask come back as they went in."""
+    """Samples outside the mask come back as they went in; the others are corrected among themselves."""
     out = bt.combat(normalized_log(spark, d), tb.samples(spark, d), sample_mask=F.col("candidate_pair") != "P1")
-    return cell_out(out.join(tb.samples(spark, d).where("candidate_pair = 'P1'").select(STUDY, SAMPLE), [STUDY, SAMPLE], "left_semi"))
+    return out.select(*CELL_KEY, rd("value", 5), "corrected")
 
 
 # --- design -----------------------------------------------------------------------------
@@ -353,9 +374,12 @@ def design_hypotheses(spark, d):
     return ds.design_report(tb.samples(spark, d, "three"), "control", "treated").drop("statistic")
 
 
-@query("run_layout", with_sql("one", """SELECT study_id, batch, max(CASE WHEN run_position_within_batch = 1 THEN condition || '/' || sample_id END) AS first_run, coalesce(max(CASE WHEN run_position_within_batch = 6 THEN condition || '/' || sample_id END), '') AS last_run FROM smp GROUP BY ALL""", False))
+_POSITIONS = range(1, 7)
+
+
+@query("run_layout", with_sql("one", f"""SELECT study_id, batch, {", ".join(f"coalesce(max(CASE WHEN run_position_within_batch = {i} THEN condition || '/' || sample_id END), '') AS position_{i}" for i in _POSITIONS)} FROM smp GROUP BY ALL""", False))
 def run_layout(spark, d):
-    return ds.run_layout(tb.samples(spark, d)).select(STUDY, "batch", F.col("1").alias("first_run"), F.col("6").alias("last_run"))
+    return ds.run_layout(tb.samples(spark, d)).select(STUDY, "batch", *[F.col(str(i)).alias(f"position_{i}") for i in _POSITIONS])
 
 
 @query("cohort_table", f"""WITH {_SUP}, s AS (SELECT *, row_number() OVER (PARTITION BY study_id, batch ORDER BY seq_number) AS pos FROM sup)
