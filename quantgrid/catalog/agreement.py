@@ -281,10 +281,10 @@ def partial_residuals(spark, d):
     return ag.partial_residuals(p, "resid", "size", ["sx"], stored=stored).select(STUDY, FEATURE, rd("partial_residual"))
 
 
-def _detect(spark, d):
+def _detect(spark, d, least=40_000):
     """Cells by return flag; a value needs two line items, a count is always there."""
     c = tb.base_cells(spark, d, "flag", sparse=True)
-    return materialise(c.withColumn("v", F.when(F.col("value") > 40000, F.log2("value"))))
+    return materialise(c.withColumn("v", F.when(F.col("value") > least, F.log2("value"))))
 
 
 _DET = """, dt AS (SELECT *, CASE WHEN value > 40000 THEN log2(value) END AS v FROM base), ev AS (SELECT *, max(CASE WHEN v IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY study_id, feature_id) = 1 AS ever FROM dt)"""
@@ -404,7 +404,7 @@ def _line_children(spark, d):
     return cells.select(*CELL_KEY, "members", F.when(seen, F.col("_v")).alias("value"), F.when(~seen, "NotDetected").when(F.col("_n") > 1, "MSMS").otherwise("MBR").alias("detection_type"))
 
 
-@query("no_value_reasons", "WITH " + with_sql("flag", "", False, sparse=True)[5:] + _DET + """, kid AS (SELECT l_returnflag AS study_id, 'p' || l_partkey AS feature_id, l_linenumber, any_value(l_linenumber % 3 = 0 AND p_brand IS NOT NULL) AS shared, max(l_extendedprice) >= 20000 AS q
+@query("no_value_reasons", "WITH " + with_sql("flag", "", False, sparse=True)[5:] + _DET.replace("40000", "80000") + """, kid AS (SELECT l_returnflag AS study_id, 'p' || l_partkey AS feature_id, l_linenumber, any_value(l_linenumber % 3 = 0 AND p_brand IS NOT NULL) AS shared, max(l_extendedprice) >= 20000 AS q
  FROM lineitem LEFT JOIN part ON p_partkey = l_partkey GROUP BY ALL),
 kt AS (SELECT study_id, feature_id, count_if(NOT shared) AS n_unique_rows, count_if(NOT shared AND q) AS n_unique_quantified, count_if(shared) AS n_shared_rows, count_if(shared AND q) AS n_shared_quantified FROM kid GROUP BY ALL),
 nv AS (SELECT study_id, feature_id, cast(sum(count) AS bigint) AS total_count, max(count) AS max_count, count(*) AS n_runs_with_count FROM ev WHERE NOT ever GROUP BY ALL)
@@ -413,7 +413,7 @@ FROM nv JOIN feat USING (study_id, feature_id) JOIN kt USING (study_id, feature_
 def no_value_reasons(spark, d):
     f = tb.features(spark, d, "flag")
     kids, _ = ag.child_summary(_line_children(spark, d), f.select(STUDY, F.col(FEATURE).alias("parent_id")))
-    return ag.no_value_reasons(_detect(spark, d), "v", "count", kids, f.where("is_contaminant"))
+    return ag.no_value_reasons(_detect(spark, d, 80_000), "v", "count", kids, f.where("is_contaminant"))
 
 
 @query("value_without_count", "WITH " + with_sql("flag", "", False)[5:] + f", m AS (SELECT *, CASE WHEN count > 1 THEN count END AS c2 FROM base) SELECT study_id, feature_id, sample_id, {R('log2(value)')} AS v, k AS n_runs_with_count FROM m JOIN (SELECT study_id, feature_id, count(c2) AS k FROM m GROUP BY ALL) USING (study_id, feature_id) WHERE c2 IS NULL")

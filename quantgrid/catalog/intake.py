@@ -55,7 +55,7 @@ def scan_feature_table(spark, d):
 
 @query("scan_header", "SELECT count(*) AS n FROM (SELECT 'Protein Groups' AS c UNION SELECT DISTINCT 'r' || (l_suppkey % 8) FROM lineitem)")
 def scan_header(spark, d):
-    path = write_tsv(wide_values(spark, d).coalesce(1), spark, "header")
+    path = write_tsv(wide_values(spark, d), spark, "header")
     text.assert_unique_header(spark, path)
     return text.header_cells(spark, path).agg(F.count_distinct("name").alias("n"))
 

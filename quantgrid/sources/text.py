@@ -7,14 +7,19 @@ comes with a violations DataFrame, to be handed to ``checks.assert_empty``.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quantgrid.model import SAMPLE, CheckFailed
+from quantgrid.model import SAMPLE, STUDY, CheckFailed
 from quantgrid.operators.checks import assert_empty
 
+#: Files whose first lines are read at a time.
+HEADER_READS = 32
+
 # What a sample sheet must carry.
 SAMPLE_COLUMNS = (
     "sample_id",
@@ -34,42 +39,61 @@ def named(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
-def headers(spark: SparkSession, path: str) -> DataFrame:
-    """The first line of every file as ``file, header``.
+def first_line(spark: SparkSession, file: str) -> str | None:
+    """The first line of one file, by a short read through the file system that Spark reads it with; None if it is empty."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+    stream = path.getFileSystem(conf).open(path)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+        plain = stream if codec is None else codec.createInputStream(stream)
+        return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(plain, "UTF-8")).readLine()
+    finally:
+        stream.close()
 
-    Only each file's first block is looked at; it is read by one task, from its beginning.
-    """
-    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start").where("file_block_start = 0")
-    first = lines.groupBy(F.col("file_path").alias("file")).agg(F.first("value").alias("header"))
-    return first.withColumn("header", F.regexp_replace("header", r"[\r\n]+$", ""))
+
+def _first_header(spark: SparkSession, files: Sequence[str]) -> str | None:
+    return next((line for f in files if (line := first_line(spark, f)) is not None), None)
 
 
 def header_cells(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
-    """The header as ``position, name``; of several files the one that sorts first."""
-    first = headers(spark, path).agg(F.min("header").alias("header")).where(F.col("header").isNotNull())
-    return first.select(F.posexplode(F.split("header", re.escape(sep))).alias("position", "name"))
+    """The header as ``position, name``; of several files the one that is listed first."""
+    line = _first_header(spark, spark.read.text(path).inputFiles())
+    return spark.createDataFrame(list(enumerate([] if line is None else line.split(sep))), "position int, name string")
 
 
 def assert_unique_header(spark: SparkSession, path: str, sep: str = "\t") -> None:
     """Refuse blank or repeated header names before the CSV reader renames them.
 
-    And files whose headers differ, as columns are assigned by position.
+    And files whose headers differ, as columns are assigned by position. One short read a file, no scan.
     """
-    found = headers(spark, path)
-    least = found.agg(F.min("header").alias("least"))
-    assert_empty(found.withColumn("_one", F.lit(1)).join(least.withColumn("_one", F.lit(1)), "_one").where("header <> least").select("file"), f"header unlike that of another file in {path}")
-    names = header_cells(spark, path, sep).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-    assert_empty(names.where((F.col("n") > 1) | (F.trim("name") == "")), f"header of {path}")
+    files = spark.read.text(path).inputFiles()
+    line = _first_header(spark, files)
+    if line is None:
+        return
+    with ThreadPoolExecutor(HEADER_READS) as pool:
+        other = pool.map(lambda f: f if first_line(spark, f) not in (line, None) else None, files)
+        wrong = next((f for f in other if f), None)
+    if wrong:
+        raise CheckFailed(f"header of {wrong} is unlike that of another file in {path}")
+    names = sorted(n for n, k in Counter(line.split(sep)).items() if k > 1 or not n.strip())
+    if names:
+        raise CheckFailed(f"header of {path}: blank or repeated names {names[:10]}")
 
 
 def read_wide(spark: SparkSession, path: str, sep: str = "\t", check_header: bool = True) -> DataFrame:
-    """Scan a delimited table with every cell as text; a blank cell is ``''``, not NULL."""
+    """Scan a delimited table with every cell as text; a blank cell is ``''``, not NULL.
+
+    Columns are assigned by position: a file whose header differs from another's is refused, here or,
+    without ``check_header``, by the scan that meets it.
+    """
     if check_header:
         assert_unique_header(spark, path, sep)
     raw = (
         spark.read.option("sep", sep)
         .option("header", True)
         .option("inferSchema", False)
+        .option("enforceSchema", False)
         .option("quote", "")
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
@@ -78,6 +102,16 @@ def read_wide(spark: SparkSession, path: str, sep: str = "\t", check_header: boo
     return raw.select(*[F.coalesce(named(c), F.lit("")).alias(c) for c in raw.columns])
 
 
+def in_study(df: DataFrame, study: str | None) -> DataFrame:
+    """``df`` with ``study_id`` in front, if a study is named."""
+    return df if study is None else df.select(F.lit(study).alias(STUDY), "*")
+
+
+def of_study(df: DataFrame, study: str | None) -> DataFrame:
+    """The rows of ``study``, where both are given."""
+    return df if study is None or STUDY not in df.columns else df.where(F.col(STUDY) == study)
+
+
 def family_columns(columns: Sequence[str], pattern: str) -> dict[str, str]:
     """``{captured id: column}`` for the columns that match a one-group pattern."""
     found: dict[str, str] = {}
@@ -166,34 +200,39 @@ def parse_count(df: DataFrame, raw: str, name: str) -> DataFrame:
     return df.withColumns({name: number.cast("bigint"), f"bad_{name}": number.isNull()})
 
 
-def read_samples(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
-    """Sample sheet in acquisition order; required columns and unique ids are enforced."""
-    sheet = read_wide(spark, path, sep)
+def read_samples(spark: SparkSession, path: str, sep: str = "\t", study: str | None = None) -> DataFrame:
+    """Sample sheet in acquisition order; required columns and unique ids are enforced.
+
+    A sheet of several studies names them in ``study_id``; ids are unique within each. ``study`` names the only one.
+    """
+    sheet = in_study(read_wide(spark, path, sep), study)
+    own = [STUDY] if STUDY in sheet.columns else []
     absent = [c for c in SAMPLE_COLUMNS if c not in sheet.columns]
     if absent:
         raise CheckFailed(f"{path} lacks columns {absent}")
     for key in ("sample_id", "search_scan_file_id"):
-        repeated = sheet.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        repeated = sheet.groupBy(*own, key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         assert_empty(repeated, f"repeated {key} in {path}")
     position = F.col("run_position_within_batch").try_cast("int")
     assert_empty(sheet.where(position.isNull()), f"run position in {path}")
     return sheet.withColumn("run_position_within_batch", position).orderBy(
-        "batch", "run_position_within_batch"
+        *own, "batch", "run_position_within_batch"
     )
 
 
-def read_mapping(spark: SparkSession, path: str) -> DataFrame:
-    """``run_id, file`` from lines like ``1 (fileA), 2 (fileB)``; ``bad`` marks other text."""
+def read_mapping(spark: SparkSession, path: str, study: str | None = None) -> DataFrame:
+    """``run_id, file`` from lines like ``1 (fileA), 2 (fileB)``; ``bad`` marks other text. ``study`` goes in front."""
     entries = spark.read.text(path).select(
         F.explode(F.split(F.trim("value"), r"\s*,\s*")).alias("entry")
     )
     pattern = r"^(\d+) \((.+)\)$"
-    return entries.select(
+    parsed = entries.select(
         "entry",
         F.regexp_extract("entry", pattern, 1).try_cast("bigint").alias("run_id"),
         F.nullif(F.regexp_extract("entry", pattern, 2), F.lit("")).alias("file"),
         (~F.col("entry").rlike(pattern)).alias("bad"),
     )
+    return in_study(parsed, study)
 
 
 # Fixed value: how a run name encodes date, sequence number and sample.
@@ -242,16 +281,20 @@ def design_violations(design: DataFrame, name: str = "file", pattern: str = RUN_
     return design.select(name, reason.alias("reason")).where(F.col("reason").isNotNull())
 
 
-def read_feature_cells(spark: SparkSession, path: str, samples: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Feature-level intensities as cells; returns ``(cells, violations)``."""
+def read_feature_cells(spark: SparkSession, path: str, samples: DataFrame, study: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Feature-level intensities as cells; returns ``(cells, violations)``.
+
+    With ``study`` all results of a reader carry it as ``study_id``; samples and labels are then those of that study,
+    where their table has the column.
+    """
     wide = read_wide(spark, path)
     long = melt(wide, ["Protein Groups"], {"raw": r"Intensity_search_scan_file_id_(\d+)"}, "search_scan_file_id")
-    cells = _to_samples(parse_abundance(long), samples).withColumnRenamed("Protein Groups", "feature_id")
+    cells = _to_samples(parse_abundance(long), of_study(samples, study)).withColumnRenamed("Protein Groups", "feature_id")
     keep = cells.select("feature_id", SAMPLE, "value", "was_zero_token", "was_nan_token")
-    return keep, cells.where("bad_token or sample_id is null or trim(feature_id) = ''")
+    return in_study(keep, study), in_study(cells.where("bad_token or sample_id is null or trim(feature_id) = ''"), study)
 
 
-def read_child_cells(spark: SparkSession, path: str, samples: DataFrame) -> tuple[DataFrame, DataFrame]:
+def read_child_cells(spark: SparkSession, path: str, samples: DataFrame, study: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Child-level intensities with detection types; returns ``(cells, violations)``.
 
     No NaN token is documented for this table. A positive value needs a detected type and
@@ -264,13 +307,13 @@ def read_child_cells(spark: SparkSession, path: str, samples: DataFrame) -> tupl
         "detection_type": r"Detection Type_search_scan_file_id_(\d+)",
     }
     long = melt(wide, ids, families, "search_scan_file_id")
-    cells = _to_samples(parse_abundance(long, nan_token=None), samples)
+    cells = _to_samples(parse_abundance(long, nan_token=None), of_study(samples, study))
     cells = cells.withColumnsRenamed(
         {"Sequence": "feature_id", "Base Sequence": "base_sequence", "Protein Groups": "parents"}
     )
     keep = cells.select("feature_id", "base_sequence", "parents", SAMPLE, "value", "detection_type")
     bad = cells.where(F.col("bad_token") | F.col(SAMPLE).isNull() | detection_conflict())
-    return keep, bad
+    return in_study(keep, study), in_study(bad, study)
 
 
 def detection_conflict(value: str = "value", kind: str = "detection_type") -> Column:
@@ -283,9 +326,9 @@ def _to_samples(cells: DataFrame, samples: DataFrame, key: str = "search_scan_fi
     return cells.join(samples.select(F.col(key).cast("string").alias(key), SAMPLE), key, "left")
 
 
-def read_count_dump(spark: SparkSession, path: str, label_map: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def read_count_dump(spark: SparkSession, path: str, label_map: DataFrame, study: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Group-level counts and fractions; returns ``(cells, members, violations)``."""
-    wide = read_wide(spark, path)
+    wide, label_map = read_wide(spark, path), of_study(label_map, study)
     long = melt_labelled(wide, ["Protein(s)"], {"psm_raw": "PSMs", "nsaf_raw": "NSAF"})
     long = parse_display_number(parse_count(long, "psm_raw", "psm"), "nsaf_raw", "nsaf")
     named_cells = long.withColumnRenamed("Protein(s)", "group_id").join(
@@ -295,15 +338,15 @@ def read_count_dump(spark: SparkSession, path: str, label_map: DataFrame) -> tup
         named("Protein(s)").alias("group_id"), F.split(named("Protein(s)"), ",").alias("members")
     )
     bad = named_cells.where(F.col("bad_psm") | F.col("bad_nsaf") | F.col(SAMPLE).isNull())
-    return named_cells.select("group_id", SAMPLE, "psm", "nsaf"), members, bad
+    return tuple(in_study(t, study) for t in (named_cells.select("group_id", SAMPLE, "psm", "nsaf"), members, bad))
 
 
-def read_peptide_dump(spark: SparkSession, path: str, label_map: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def read_peptide_dump(spark: SparkSession, path: str, label_map: DataFrame, study: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Localized child rows; returns ``(rows, cells, violations)``.
 
     The labels of the file and of ``label_map`` must be the same set, one sample each.
     """
-    wide = read_wide(spark, path)
+    wide, label_map = read_wide(spark, path), of_study(label_map, study)
     rows = wide.select(
         named("Peptide Sequence").alias("localized_sequence"),
         named("Protein(s)").alias("proteins"),
@@ -322,4 +365,4 @@ def read_peptide_dump(spark: SparkSession, path: str, label_map: DataFrame) -> t
     )
     bad_flag = ~F.trim("mbr_raw").isin("", "(MBR)")
     bad = cells.where(F.col("bad_psm") | bad_flag | F.col(SAMPLE).isNull())
-    return rows, cells.select("localized_sequence", SAMPLE, "psm", "mbr"), bad
+    return tuple(in_study(t, study) for t in (rows, cells.select("localized_sequence", SAMPLE, "psm", "mbr"), bad))

@@ -1,5 +1,7 @@
 """Scans and fail-loud paths on small files."""
 
+import gzip
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -93,3 +95,45 @@ def test_contaminant_rule_looks_after_the_first_member(spark):
 def test_half_even_figures(spark):
     v = spark.createDataFrame([(0.0,), (12.345,), (99999.0,), (0.001225,)], "v double").select(ids.sig_figs(F.col("v")).alias("s"))
     assert [r.s for r in v.collect()] == pytest.approx([0.0, 12.3, 100000.0, 0.00122], rel=1e-9)
+
+
+def test_a_header_costs_a_short_read(spark, tmp_path):
+    folder = tmp_path / "with blank"
+    folder.mkdir()
+    for name in "ab":
+        (folder / f"{name}.tsv").write_text("id\tx\n" + "f\t1\n" * 200_000)
+    (folder / "none.tsv").write_text("")
+    with gzip.open(folder / "c.tsv.gz", "wt") as f:
+        f.write("id\tx\ng\t2\n")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("header", "header")
+    text.assert_unique_header(spark, str(folder))
+    assert not tracker.getJobIdsForGroup("header")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [tuple(r) for r in text.header_cells(spark, str(folder)).collect()] == [(0, "id"), (1, "x")]
+    assert text.read_wide(spark, str(folder)).count() == 400_001
+
+
+def test_a_scan_refuses_another_header_too(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("id\tx\nf\t1\n")
+    (tmp_path / "b.tsv").write_text("x\tid\n2\tg\n")
+    with pytest.raises(Exception, match="header"):
+        text.read_wide(spark, str(tmp_path), check_header=False).collect()
+
+
+def test_readers_carry_the_study(spark, tmp_path):
+    head = ("Protein Groups", "Intensity_search_scan_file_id_1")
+    path = write(tmp_path, "s.tsv", head, ("p1", "5"), ("p2", "x"))
+    sheet = spark.createDataFrame([("A", "1", "r1"), ("B", "1", "other")], "study_id string, search_scan_file_id string, sample_id string")
+    cells, bad = text.read_feature_cells(spark, path, sheet, study="A")
+    assert {(r.study_id, r.feature_id, r.sample_id) for r in cells.collect()} == {("A", "p1", "r1"), ("A", "p2", "r1")}
+    assert [r.study_id for r in bad.collect()] == ["A"]
+    columns = ("study_id", "sample_id", "search_scan_file_id", "batch", "run_position_within_batch", "condition")
+    two = write(tmp_path, "m.tsv", columns, ("A", "r1", "1", "B1", "1", "c"), ("B", "r1", "1", "B1", "1", "c"))
+    assert [(r.study_id, r.sample_id) for r in text.read_samples(spark, two).collect()] == [("A", "r1"), ("B", "r1")]
+    with pytest.raises(CheckFailed):
+        text.read_samples(spark, write(tmp_path, "n.tsv", columns, ("A", "r1", "1", "B1", "1", "c"), ("A", "r1", "2", "B1", "2", "c")))
+    labels = spark.createDataFrame([("A", "one", "r1"), ("B", "one", "r2")], "study_id string, label string, sample_id string")
+    dump = write(tmp_path, "d2.tsv", ("Protein(s)", "PSMs (one)", "NSAF (one)"), ("p", "1,000", "0.5"))
+    cells, members, bad = text.read_count_dump(spark, dump, labels, study="B")
+    assert [tuple(r) for r in cells.collect()] == [("B", "p", "r2", 1000, 0.5)] and members.first().study_id == "B" and not bad.count()
