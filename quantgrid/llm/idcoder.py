@@ -2,10 +2,12 @@
 
 Each block of ``BLOCK`` ids is coded on its own. An order-2 and an order-1 context each predict the
 next id, with a confidence; a symbol says which of them is right or, failing that, in which of eleven
-ranges of ids the id lies (the order-0 part), whose low bits follow as they are. Two adaptive
-distributions of that symbol, one by the confidences and one by the previous symbol, are mixed by
-a weight that follows the better one. Blocks share no state, so many of them are coded in step, as
-lanes of numpy arrays, and any of them can be read alone. A block carries its crc32.
+ranges of ids the id lies. Two adaptive distributions of that symbol, one by the confidences and one
+by the previous symbol, are mixed by a weight that follows the better one. The id's place in its range
+is the order-0 part: two adaptive digits, the second in the context of the first, then whether the id is
+the one last seen with these digits, and only if not its last bits, evenly. Blocks share no state, so many of them
+are coded in step, as lanes of numpy arrays, and any of them can be read alone. A block carries its
+crc32. A block with ids of 65,536 and above is coded as two of halves of ids.
 """
 
 from __future__ import annotations
@@ -15,7 +17,9 @@ import zlib
 import numpy as np
 
 BLOCK = 4096
-MAGIC = b"QGI1"
+MAGIC, MAGIC_HALVES = b"QGI2", b"QGH2"
+#: Blocks coded in step.
+LANES = 1024
 #: Ids per row of the file, unless one document has more.
 SEGMENT = 1 << 22
 
@@ -26,11 +30,24 @@ _BITS = 15
 _LOW = np.array([0, 64, 128, 256, 512, 1024, 2048, 4096, 8192, 16384, 32768], np.uint32)
 _WIDTH = np.array([0, 0, 6, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15], np.uint32)
 _FLOOR = np.concatenate([np.zeros(2, np.uint32), _LOW])
-#: Which of the 16 bits of an id's place in its range are written.
-_TAKEN = np.arange(16)[None, :] >= 16 - _WIDTH[:, None].astype(int)
-#: Where each symbol pulls the cumulative distribution; 4 units a symbol stay for the rest.
-_LEAST = np.arange(_WIDE) * 4
-_PULL = np.where(np.arange(_WIDE)[None, :] > np.arange(_SYMBOLS)[:, None], (1 << _BITS) - 4 * (_SYMBOLS - np.arange(_WIDE))[None, :], _LEAST[None, :]).astype(np.int32)
+#: Of an id's place in its range: bits of the first digit (4), of the second, and of the rest.
+_SECOND, _REST = np.minimum(_WIDTH - np.minimum(_WIDTH, 4), 4), np.maximum(_WIDTH, 8) - 8
+_DIGITS = 16
+
+
+def _pull(n: int) -> np.ndarray:
+    """Where each of ``n`` symbols pulls the cumulative distribution; 4 units a symbol stay for the rest."""
+    ends = np.arange(n + 1)
+    return np.where(ends[None, :] > np.arange(n)[:, None], (1 << _BITS) - 4 * (n - ends)[None, :], 4 * ends[None, :]).astype(np.int32)
+
+
+def _even(n: int, used: int) -> np.ndarray:
+    """A cumulative distribution of ``n`` symbols, even over the first ``used``."""
+    ends = np.minimum(np.arange(n + 1), used)
+    return (ends * ((1 << _BITS) - 4 * (n - used)) // used + 4 * (np.arange(n + 1) - ends)).astype(np.int32)
+
+
+_PULL, _PULL_DIGIT, _PULL_FLAG = _pull(_SYMBOLS), _pull(_DIGITS), _pull(2)
 _RANGE, _TOP = np.uint64(1 << 48), np.uint64(1 << 32)
 _MASK32, _S16, _S32, _SB = np.uint64(0xFFFFFFFF), np.uint64(16), np.uint64(32), np.uint64(_BITS)
 
@@ -42,8 +59,12 @@ class _Model:
         self.lane = np.arange(lanes)
         self.base2, self.base1 = self.lane * _SLOTS2, self.lane * _SLOTS1
         self.t2, self.t1 = np.zeros(lanes * _SLOTS2, np.uint32), np.zeros(lanes * _SLOTS1, np.uint32)
-        start = (np.arange(_WIDE) * ((1 << _BITS) // _SYMBOLS)).astype(np.int32)
-        start[-1] = 1 << _BITS
+        start = _even(_SYMBOLS, _SYMBOLS)
+        # The order-0 part: digits by range, digits by range and digit, the id last seen by both, and how often it is the id again.
+        self.digit1 = np.tile(_even(_DIGITS, _DIGITS), (lanes * _SYMBOLS, 1))
+        self.digit2 = np.tile(np.repeat(np.stack([_even(_DIGITS, 1 << int(k)) for k in _SECOND]), _DIGITS, axis=0), (lanes, 1))
+        self.seen = np.zeros(lanes * _SYMBOLS * _DIGITS * _DIGITS, np.uint16)
+        self.again = np.tile(_even(2, 2), (lanes * _SYMBOLS, 1))
         self.a, self.b = np.tile(start, (lanes * 16, 1)), np.tile(start, (lanes * 16, 1))
         self.rows = [x.view(f"V{4 * _WIDE}").ravel() for x in (self.a, self.b)]
         self.cell = self.lane * _WIDE
@@ -78,115 +99,219 @@ class _Model:
 
 def _grouped(n: np.ndarray) -> list[np.ndarray]:
     """Blocks of one length are coded in step: the full ones together, each shorter one alone or with its equals."""
-    return [np.nonzero(n == k)[0] for k in np.unique(n)]
+    return [own[i : i + LANES] for k in np.unique(n) for own in [np.nonzero(n == k)[0]] for i in range(0, len(own), LANES)]
+
+
+class _Writer:
+    """One arithmetic coder a lane; 16 bits leave at a time."""
+
+    def __init__(self, lanes: int, n: int) -> None:
+        self.low, self.rng = np.zeros(lanes, np.uint64), np.full(lanes, _RANGE)
+        self.out, self.at = np.zeros((lanes, 4 * n + 4), np.uint32), np.zeros(lanes, np.int64)  # pages that stay zero cost nothing
+
+    def put(self, k: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
+        r = self.rng[k] >> _SB
+        low, rng = self.low[k] + r * lo.astype(np.uint64), r * (hi - lo).astype(np.uint64)
+        full = rng < _TOP
+        i = k[full]
+        if len(i):
+            self.out[i, self.at[i]] = low[full] >> _S32  # 17 bits: a carry is passed on at the end
+            self.at[i] += 1
+            low[full] = (low[full] & _MASK32) << _S16
+            rng[full] <<= _S16
+        self.low[k], self.rng[k] = low, rng
+
+    def bodies(self) -> list[bytes]:
+        lane = np.arange(len(self.at))
+        for _ in range(3):
+            self.out[lane, self.at] = self.low >> _S32
+            self.at += 1
+            self.low = (self.low & _MASK32) << _S16
+        out = self.out[:, : int(self.at.max())]
+        for j in range(out.shape[1] - 1, 0, -1):
+            out[:, j - 1] += out[:, j] >> 16
+        words = out.astype("<u2")
+        return [words[i, : self.at[i]].tobytes() for i in lane]
+
+
+class _Reader:
+    def __init__(self, bodies: list[bytes]) -> None:
+        words = np.zeros((len(bodies), max(map(len, bodies)) // 2 + 4), np.uint16)
+        for i, x in enumerate(bodies):
+            words[i, : len(x) // 2] = np.frombuffer(x, "<u2")
+        first = words[:, :3].astype(np.uint64)
+        self.code = (first[:, 0] << _S32) | (first[:, 1] << _S16) | first[:, 2]
+        self.at, self.flat = np.arange(len(bodies)) * words.shape[1] + 3, words.ravel()
+        self.rng = np.full(len(bodies), _RANGE)
+
+    def get(self, k: np.ndarray, cum: np.ndarray) -> np.ndarray:
+        """The symbols of lanes ``k`` by their distributions, one a row."""
+        n = cum.shape[1] - 1
+        code, r = self.code[k], self.rng[k] >> _SB
+        target = np.minimum(code // r, np.uint64((1 << _BITS) - 1)).astype(np.int32)
+        base, s, step = np.arange(len(k)) * (n + 1), np.zeros(len(k), np.int64), 1 << (n - 1).bit_length() - 1
+        while step:  # the last symbol that starts at or below the target
+            there = np.minimum(s + step, n)
+            s = np.where(cum.take(base + there) <= target, there, s)
+            step >>= 1
+        self._take(k, code, r, cum.take(base + s), cum.take(base + s + 1))
+        return s
+
+    def bits(self, k: np.ndarray, width: np.ndarray) -> np.ndarray:
+        code, r, left = self.code[k], self.rng[k] >> _SB, _BITS - width
+        value = np.minimum(code // r, np.uint64((1 << _BITS) - 1)).astype(np.int64) >> left
+        self._take(k, code, r, value << left, (value + 1) << left)
+        return value
+
+    def _take(self, k: np.ndarray, code: np.ndarray, r: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
+        code, rng = code - r * lo.astype(np.uint64), r * (hi - lo).astype(np.uint64)
+        full = rng < _TOP
+        i = k[full]
+        if len(i):
+            code[full] = (code[full] << _S16) | self.flat[self.at[i]]
+            self.at[i] += 1
+            rng[full] <<= _S16
+        self.code[k], self.rng[k] = code, rng
+
+
+def _learn(table: np.ndarray, at: np.ndarray, old: np.ndarray, pull: np.ndarray, rate: int) -> None:
+    table[at] = old + ((pull - old) >> rate)
+
+
+def _span(cum: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.arange(len(s)) * cum.shape[1] + s
+    return cum.take(at), cum.take(at + 1)
+
+
+def _write_place(model: _Model, writer: _Writer, k: np.ndarray, s: np.ndarray, ids: np.ndarray) -> None:
+    """The order-0 part of the ids of lanes ``k``, which lie in ranges ``s``."""
+    place, width, second = ids - _FLOOR[s], _WIDTH[s], _SECOND[s]
+    one, two = place >> (width - 4), (place >> _REST[s]) & ((np.uint32(1) << second) - np.uint32(1))
+    at = k * _SYMBOLS + s
+    for table, i, digit, rate in ((model.digit1, at, one, 5), (model.digit2, at * _DIGITS + one, two, 4)):
+        old = table.take(i, 0)
+        writer.put(k, *_span(old, digit))
+        _learn(table, i, old, _PULL_DIGIT.take(digit, 0), rate)
+    deep = np.nonzero(_REST[s])[0]
+    if len(deep):
+        k, s, ids, at = k[deep], s[deep], ids[deep], at[deep]
+        slot = (at * _DIGITS + one[deep]) * _DIGITS + two[deep]
+        new = (model.seen[slot] != ids).astype(np.int64)
+        old = model.again.take(at, 0)
+        writer.put(k, *_span(old, new))
+        _learn(model.again, at, old, _PULL_FLAG.take(new, 0), 5)
+        model.seen[slot] = ids
+        other = np.nonzero(new)[0]
+        rest = _REST[s[other]].astype(np.int64)
+        value, left = place[deep][other] & ((1 << rest) - 1), _BITS - rest
+        writer.put(k[other], value << left, (value + 1) << left)
+
+
+def _read_place(model: _Model, reader: _Reader, k: np.ndarray, s: np.ndarray) -> np.ndarray:
+    at, digits = k * _SYMBOLS + s, []
+    i = at
+    for table, rate in ((model.digit1, 5), (model.digit2, 4)):
+        old = table.take(i, 0)
+        digits.append(reader.get(k, old))
+        _learn(table, i, old, _PULL_DIGIT.take(digits[-1], 0), rate)
+        i = at * _DIGITS + digits[-1]
+    one, two = digits
+    rest = _REST[s].astype(np.int64)
+    ids = _FLOOR[s] + (one << (_WIDTH[s].astype(np.int64) - 4)) + (two << rest)
+    deep = np.nonzero(rest)[0]
+    if len(deep):
+        k, at, rest = k[deep], at[deep], rest[deep]
+        slot = (at * _DIGITS + one[deep]) * _DIGITS + two[deep]
+        old = model.again.take(at, 0)
+        new = reader.get(k, old)
+        _learn(model.again, at, old, _PULL_FLAG.take(new, 0), 5)
+        found = model.seen[slot].astype(np.int64)
+        other = np.nonzero(new)[0]
+        found[other] = ids[deep][other] + reader.bits(k[other], rest[other])
+        model.seen[slot] = found
+        ids[deep] = found
+    return ids.astype(np.uint32)
 
 
 def _encode_lanes(ids: np.ndarray) -> list[bytes]:
     lanes, n = ids.shape
-    model = _Model(lanes)
-    low, rng = np.zeros(lanes, np.uint64), np.full(lanes, _RANGE)
-    out, at = np.zeros((lanes, n + 4), np.uint32), np.zeros(lanes, np.int64)
-    symbols = np.empty((n, lanes), np.int64)
+    model, writer = _Model(lanes), _Writer(lanes, n)
     columns = np.ascontiguousarray(ids.T.astype(np.uint32))
     plain = np.searchsorted(_LOW, columns, "right") + 1
     for t in range(n):
         x = columns[t]
         cum = model.predict()
         s = np.where(model.p2 == x, 0, np.where(model.p1 == x, 1, plain[t]))
-        symbols[t] = s
-        lo, hi = cum.take(model.cell + s), cum.take(model.cell + s + 1)
-        r = rng >> _SB
-        low += r * lo.astype(np.uint64)
-        rng = r * (hi - lo).astype(np.uint64)
-        k = np.nonzero(rng < _TOP)[0]
+        writer.put(model.lane, *_span(cum, s))
+        k = np.nonzero(s > 1)[0]
         if len(k):
-            out[k, at[k]] = low[k] >> _S32  # 17 bits: a carry is passed on at the end
-            at[k] += 1
-            low[k] = (low[k] & _MASK32) << _S16
-            rng[k] <<= _S16
+            _write_place(model, writer, k, s[k], x[k])
         model.update(s, x)
-    for _ in range(3):
-        out[model.lane, at] = low >> _S32
-        at += 1
-        low = (low & _MASK32) << _S16
-    for j in range(out.shape[1] - 1, 0, -1):
-        out[:, j - 1] += out[:, j] >> 16
-    words = out.astype(np.uint16)
-    # The low bits, one after another, first bit first.
-    result = []
-    for lane in range(lanes):
-        symbol = symbols[:, lane]
-        rest = (columns[:, lane] - _FLOOR[symbol]).astype(">u2")  # literals only use it
-        bits = np.unpackbits(rest.view(np.uint8).reshape(-1, 2), axis=1)
-        raw = np.packbits(bits[_TAKEN[symbol]]).tobytes()
-        coded = words[lane, : at[lane]].astype("<u2").tobytes()
-        result.append(len(coded).to_bytes(4, "little") + coded + raw)
-    return result
+    return writer.bodies()
 
 
 def _decode_lanes(bodies: list[bytes], n: int) -> np.ndarray:
-    lanes = len(bodies)
-    model = _Model(lanes)
-    size = [int.from_bytes(x[:4], "little") for x in bodies]
-    words = np.zeros((lanes, max(size) // 2 + 4), np.uint64)
-    raw = np.zeros((lanes, max(len(x) - 4 - k for x, k in zip(bodies, size, strict=True)) + 8), np.uint8)
-    for i, (x, k) in enumerate(zip(bodies, size, strict=True)):
-        words[i, : k // 2] = np.frombuffer(x, "<u2", k // 2, 4)
-        raw[i, : len(x) - 4 - k] = np.frombuffer(x, np.uint8, len(x) - 4 - k, 4 + k)
-    stride = raw.shape[1]
-    three = (raw.astype(np.uint32) << 16) | (np.roll(raw, -1, 1).astype(np.uint32) << 8) | np.roll(raw, -2, 1)
-    three, raw_base = three.ravel(), model.lane * stride
-    stride_w, flat = words.shape[1], words.ravel()
-    code = (words[:, 0] << _S32) | (words[:, 1] << _S16) | words[:, 2]
-    at, bit = model.lane * stride_w + 3, np.zeros(lanes, np.int64)
-    rng = np.full(lanes, _RANGE)
-    out = np.empty((n, lanes), np.uint32)
+    model, reader = _Model(len(bodies)), _Reader(bodies)
+    out = np.empty((n, len(bodies)), np.uint32)
     for t in range(n):
-        cum = model.predict()
-        r = rng >> _SB
-        target = np.minimum(code // r, np.uint64((1 << _BITS) - 1)).astype(np.int32)
-        s = np.zeros(lanes, np.int64)
-        for step in (8, 4, 2, 1):  # the last symbol that starts at or below the target
-            k = np.minimum(s + step, _SYMBOLS)
-            s = np.where(cum.take(model.cell + k) <= target, k, s)
-        lo, hi = cum.take(model.cell + s), cum.take(model.cell + s + 1)
-        code -= r * lo.astype(np.uint64)
-        rng = r * (hi - lo).astype(np.uint64)
-        k = np.nonzero(rng < _TOP)[0]
+        s = reader.get(model.lane, model.predict())
+        x = np.where(s == 0, model.p2, model.p1)
+        k = np.nonzero(s > 1)[0]
         if len(k):
-            code[k] = (code[k] << _S16) | flat[at[k]]
-            at[k] += 1
-            rng[k] <<= _S16
-        width = _WIDTH[s]
-        rest = (three[raw_base + (bit >> 3)] >> (np.uint32(24) - (bit & 7).astype(np.uint32) - width)) & ((np.uint32(1) << width) - np.uint32(1))
-        bit += width
-        x = np.where(s == 0, model.p2, np.where(s == 1, model.p1, _FLOOR[s] + rest))
+            x[k] = _read_place(model, reader, k, s[k])
         out[t] = x
         model.update(s, x)
     return out.T
 
 
-def encode_blocks(ids: np.ndarray) -> list[bytes]:
-    """``ids`` (below 65,536) as blocks: magic, count, crc32 of the ids as little-endian uint32, body."""
-    if len(ids) and int(ids.max()) >= 1 << 16:
-        raise ValueError("ids of 65,536 and above have no code")
-    parts = [ids[k : k + BLOCK] for k in range(0, len(ids), BLOCK)]
-    out = [b""] * len(parts)
-    for own in _grouped(np.array([len(x) for x in parts])):
+def _code(parts: list[np.ndarray]) -> list[bytes]:
+    bodies = [b""] * len(parts)
+    for own in _grouped(np.array([len(x) for x in parts], np.int64)):
         for i, body in zip(own, _encode_lanes(np.stack([parts[i] for i in own])), strict=True):
-            out[i] = MAGIC + len(parts[i]).to_bytes(4, "little") + zlib.crc32(parts[i].astype("<u4").tobytes()).to_bytes(4, "little") + body
+            bodies[i] = body
+    return bodies
+
+
+def _decode(bodies: list[bytes], n: np.ndarray) -> list[np.ndarray]:
+    out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(bodies)
+    for own in _grouped(n):
+        for i, ids in zip(own, _decode_lanes([bodies[i] for i in own], int(n[own[0]])), strict=True):
+            out[i] = np.ascontiguousarray(ids)
     return out
 
 
+def encode_blocks(ids: np.ndarray) -> list[bytes]:
+    """``ids`` (below 2^32) as blocks: magic, count, crc32 of the ids as little-endian uint32, body.
+
+    The body of ids above 65,535 is the length of the body of their low halves, that body, and the body of their high halves.
+    """
+    parts = [ids[k : k + BLOCK].astype(np.uint32) for k in range(0, len(ids), BLOCK)]
+    wide = [i for i, x in enumerate(parts) if int(x.max()) >= 1 << 16]
+    bodies = _code([x & np.uint32(0xFFFF) for x in parts])
+    for i, high in zip(wide, _code([parts[i] >> np.uint32(16) for i in wide]), strict=True):
+        bodies[i] = len(bodies[i]).to_bytes(4, "little") + bodies[i] + high
+    magic = [MAGIC] * len(parts)
+    for i in wide:
+        magic[i] = MAGIC_HALVES
+    return [m + len(x).to_bytes(4, "little") + zlib.crc32(x.astype("<u4").tobytes()).to_bytes(4, "little") + body for m, x, body in zip(magic, parts, bodies, strict=True)]
+
+
 def decode_blocks(blocks: list[bytes]) -> list[np.ndarray]:
     """The ids of each block; a block whose magic or crc32 is wrong is refused."""
-    if any(x[:4] != MAGIC for x in blocks):
+    if any(x[:4] not in (MAGIC, MAGIC_HALVES) for x in blocks):
         raise ValueError("not a block of token ids")
-    n = np.array([int.from_bytes(x[4:8], "little") for x in blocks])
-    out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(blocks)
-    for own in _grouped(n):
-        for i, ids in zip(own, _decode_lanes([blocks[i][12:] for i in own], int(n[own[0]])), strict=True):
-            out[i] = np.ascontiguousarray(ids)
-            if zlib.crc32(out[i].astype("<u4").tobytes()) != int.from_bytes(blocks[i][8:12], "little"):
-                raise ValueError("a block of token ids is damaged")
+    n = np.array([int.from_bytes(x[4:8], "little") for x in blocks], np.int64)
+    bodies = [x[12:] for x in blocks]
+    wide = [i for i, x in enumerate(blocks) if x[:4] == MAGIC_HALVES]
+    high = []
+    for i in wide:
+        cut = 4 + int.from_bytes(bodies[i][:4], "little")
+        high.append(bodies[i][cut:])
+        bodies[i] = bodies[i][4:cut]
+    out = _decode(bodies, n)
+    for i, top in zip(wide, _decode(high, n[wide]), strict=True):
+        out[i] = out[i] | (top << np.uint32(16))
+    for x, ids in zip(blocks, out, strict=True):
+        if zlib.crc32(ids.astype("<u4").tobytes()) != int.from_bytes(x[8:12], "little"):
+            raise ValueError("a block of token ids is damaged")
     return out

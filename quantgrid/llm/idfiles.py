@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from quantgrid.llm.common import documents, fields, offsets_by_partition, sorted_by_id
-from quantgrid.llm.idcoder import SEGMENT, decode_blocks, encode_blocks
+from quantgrid.llm.idcoder import LANES, SEGMENT, decode_blocks, encode_blocks
 from quantgrid.llm.tokens import encoder, vocabulary
 from quantgrid.session import shared_dir
 
@@ -54,15 +54,28 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int = 0, id_col:
     sorted_by_id(fields(docs, id_col, text_col)).mapInArrow(run, SEGMENTS).write.parquet(folder)
 
 
+def _in_step(batches):
+    """Rows of whole segments, as few as hold ``LANES`` blocks: what is decoded at a time doesn't grow with a batch."""
+    held, size = [], 0
+    for batch in batches:
+        for i in range(batch.num_rows):
+            held.extend(batch.slice(i, 1).to_pylist())
+            size += len(held[-1]["blocks"])
+            if size >= LANES:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
 def read_ids(spark: SparkSession, folder: str, digest: bool = False) -> DataFrame:
     """Per document: doc_id, start (ids of all documents before it), n_tokens and its ids, or their crc32."""
     before = offsets_by_partition(spark.read.schema(SEGMENTS).parquet(folder).select("pid", "total"))
     schema = "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids array<int>")
 
     def run(batches):
-        for batch in batches:
-            rows = batch.to_pylist()
-            decoded = iter(decode_blocks([b for r in rows for b in r["blocks"]]))  # all blocks of a batch in step
+        for rows in _in_step(batches):
+            decoded = iter(decode_blocks([b for r in rows for b in r["blocks"]]))
             for r in rows:
                 ids = np.concatenate([next(decoded) for _ in r["blocks"]]).astype("<u4")
                 ends = np.cumsum(r["lengths"])

@@ -54,16 +54,28 @@ def test_id_blocks(n):
         assert np.array_equal(np.concatenate(back) if back else np.empty(0), ids)
 
 
-def test_id_blocks_refuse_damage_and_large_ids():
+def test_id_blocks_refuse_damage():
     block = bytearray(idcoder.encode_blocks(np.arange(500, dtype=np.uint32))[0])
     block[40] ^= 1
     with pytest.raises((ValueError, IndexError)):
         idcoder.decode_blocks([bytes(block)])
-    with pytest.raises(ValueError):
-        idcoder.encode_blocks(np.array([1 << 16], np.uint32))
     assert len(idcoder.encode_blocks(np.zeros(4096, np.uint32))[0]) < 300
 
 
+def test_id_blocks_of_large_ids():
+    rng = np.random.default_rng(5)
+    for ids in (rng.integers(0, 1 << 32, 9000, dtype=np.uint32), np.array([65_535, 65_536, 7, (1 << 32) - 1] * 2000, np.uint32)):
+        assert np.array_equal(np.concatenate(idcoder.decode_blocks(idcoder.encode_blocks(ids))), ids)
+
+
+def test_id_blocks_are_smaller_than_deflated_ones(spark, sf):
+    e = encoder(BYTE)
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()
+    ids = np.frombuffer(b"".join(e.ids(r.text) for r in rows), "<u4")
+    deflated = [len(zlib.compress(ids[i : i + idcoder.BLOCK].astype("<u2").tobytes(), 9)) for i in range(0, len(ids), idcoder.BLOCK)]
+    assert sum(map(len, idcoder.encode_blocks(ids))) < 0.9 * sum(deflated)
+
+
 def test_id_files(spark, compare, odd):
     made = iter(range(100))
 
