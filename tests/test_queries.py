@@ -12,7 +12,7 @@ from quantgrid.catalog import ORACLES, QUERIES
 CHOSEN = (
     "median_cv", "missing_filter", "impute_knn", "state_pipeline", "association", "run_order_stratified", "sample_correlation",
     "dynamic_range", "ols_paired", "benjamini_hochberg", "welch_statistic", "discordance_by_class", "ratio_index", "slope_estimates",
-    "detection_classes", "sharing_partners", "decompose_mass", "label_scores", "scan_feature_table", "reconcile_report",
+    "detection_classes", "sharing_partners", "decompose_mass", "label_scores", "scan_feature_table", "reconcile_report", "independent_permutation_null", "combat_masked", "no_value_reasons", "child_summary",
 )
 
 
