@@ -41,6 +41,9 @@ from quantgrid.session import materialise
 FEATURE_KEY = [STUDY, FEATURE]
 SAMPLE_KEY = [STUDY, SAMPLE]
 PERMUTATION_RUNS = 8
+FLIPPED_PAIRS = 24
+#: Seeded orders or sign patterns where there are too many to enumerate.
+NULL_DRAWS = 100_000
 TOLERANCE = 1e-12
 #: Factor and addend of the sequence of numbers drawn from one hash.
 _STEP_A, _STEP_C = 1664525, 1013904223
@@ -659,11 +662,12 @@ def _all_orders(zx: np.ndarray, zy: np.ndarray, first: np.ndarray, left: np.ndar
     return (a[:, :, None] + b[:, left, :]) / zx.shape[1]
 
 
-def perm_null_shared(df: DataFrame, x: str, y: str, method: str = "pearson") -> DataFrame:
+def perm_null_shared(df: DataFrame, x: str, y: str, method: str = "pearson", draws: int = NULL_DRAWS, seed: int = 0) -> DataFrame:
     """Null of the mean row correlation when all features share one run order.
 
     The mean correlation of an order is a sum over the run-by-run cross matrix, so the
-    features enter once, as that matrix; orders are then enumerated per study.
+    features enter once, as that matrix; orders are then enumerated per study. Above 8 runs ``draws``
+    seeded orders stand for all, the order as it is among them, and ``p_error`` is the standard error of p.
     Returns one row per study: observed mean, null quantiles and p values.
     """
     vectors = _row_scores(df, x, y, method).where("zx is not null and zy is not null")
@@ -675,9 +679,16 @@ def perm_null_shared(df: DataFrame, x: str, y: str, method: str = "pearson") ->
     def enumerate_orders(pdf: pd.DataFrame) -> pd.DataFrame:
         m = pdf.pivot(index="sample_a", columns="sample_b", values="sxy").sort_index().sort_index(axis=1).to_numpy()
         k = len(m)
-        if k > PERMUTATION_RUNS:
-            raise ValueError(f"exact permutation needs at most {PERMUTATION_RUNS} runs")
         count = float(pdf["n_features"].iloc[0])
+        if k > PERMUTATION_RUNS:
+            rng = np.random.default_rng(seed)
+            size = max(1, (1 << 20) // k)
+            parts = [np.array([np.trace(m)])]
+            for start in range(0, draws, size):
+                orders = np.argsort(rng.random((min(size, draws - start), k)), axis=1)
+                parts.append(m[np.arange(k), orders].sum(axis=1))
+            null = np.concatenate(parts) / (k * count)
+            return pd.DataFrame([_null_summary(pdf[STUDY].iloc[0], count, null[0], null, drawn=True)])
         # One run after the other takes a partner that is still free; the first sum is that of the order as it is.
         sums, taken = np.zeros(1), np.zeros(1, dtype=np.int64)
         for run in range(k):
@@ -691,16 +702,18 @@ def perm_null_shared(df: DataFrame, x: str, y: str, method: str = "pearson") ->
 
 _NULL = (
     f"{STUDY} string, n_features long, mean_r double, null_mean double, null_q025 double, null_q975 double, "
-    "p_one_sided double, p_two_sided double, n_null long"
+    "p_one_sided double, p_two_sided double, n_null long, p_error double"
 )
 
 
-def _null_summary(study: str, count: float, observed: float, null: np.ndarray) -> dict:
+def _null_summary(study: str, count: float, observed: float, null: np.ndarray, drawn: bool = False) -> dict:
+    """``p_error`` is the standard error of the two-sided p of a drawn null, 0 for an enumerated one."""
+    p = float((np.abs(null) >= abs(observed) - TOLERANCE).mean())
     return {
         STUDY: study, "n_features": int(round(count)), "mean_r": float(observed), "null_mean": float(null.mean()),
         "null_q025": float(np.quantile(null, 0.025)), "null_q975": float(np.quantile(null, 0.975)),
-        "p_one_sided": float((null >= observed - TOLERANCE).mean()),
-        "p_two_sided": float((np.abs(null) >= abs(observed) - TOLERANCE).mean()), "n_null": len(null),
+        "p_one_sided": float((null >= observed - TOLERANCE).mean()), "p_two_sided": p, "n_null": len(null),
+        "p_error": math.sqrt(p * (1 - p) / len(null)) if drawn else 0.0,
     }
 
 
@@ -823,11 +836,12 @@ def within_pair_corr(diffs: DataFrame) -> DataFrame:
     return s.select(*FEATURE_KEY, "n_pairs", F.when(norm > 0, F.col("xy") / norm).alias("r"))
 
 
-def signflip_null(diffs: DataFrame) -> DataFrame:
+def signflip_null(diffs: DataFrame, draws: int = NULL_DRAWS, seed: int = 0) -> DataFrame:
     """Null of the mean within-pair correlation over all shared sign patterns of the pairs.
 
     A pattern's mean is the signed sum of per-pair contributions, so features reduce to one
-    number per pair and only those are flipped: 2^pairs sums per study.
+    number per pair and only those are flipped: 2^pairs sums per study, or above 24 pairs
+    ``draws`` seeded patterns and the one as it is, with the standard error of p.
     """
     w = Window.partitionBy(*FEATURE_KEY)
     norm = F.sqrt(F.sum(F.col("dx") * F.col("dx")).over(w) * F.sum(F.col("dy") * F.col("dy")).over(w))
@@ -837,8 +851,12 @@ def signflip_null(diffs: DataFrame) -> DataFrame:
 
     def flip(pdf: pd.DataFrame) -> pd.DataFrame:
         c = pdf.sort_values("pair_id")["c"].to_numpy() / float(pdf["n_features"].iloc[0])
-        if len(c) > 24:
-            raise ValueError("sign-flip enumeration needs at most 24 pairs")
+        if len(c) > FLIPPED_PAIRS:
+            rng = np.random.default_rng(seed)
+            size = max(1, (1 << 20) // len(c))
+            parts = [rng.choice([-1.0, 1.0], (min(size, draws - i), len(c))) @ c for i in range(0, draws, size)]
+            null = np.concatenate([[c.sum()], *parts])
+            return pd.DataFrame([_null_summary(pdf[STUDY].iloc[0], float(pdf["n_features"].iloc[0]), null[0], null, drawn=True)])
         null = np.zeros(1)
         for v in c:
             null = np.concatenate([null + v, null - v])
