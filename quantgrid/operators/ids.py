@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quantgrid.model import FEATURE, SAMPLE, STUDY
 from quantgrid.operators.checks import check_bijection
+from quantgrid.operators.matrix import match_counts
 
 # Id patterns.
 PROTEIN_ID = r"^psvid_(\d+)_sp\|([^|]*)\|([^|]*)$"
@@ -130,17 +131,12 @@ def label_scores(unlabelled: DataFrame, reference: DataFrame, rtol: float = 1e-6
     """Share of features whose labelled value equals a sample's value at 3 figures.
 
     ``unlabelled``: study, feature, ``label``, value; ``reference``: cells where a true zero
-    is kept as 0. Per feature the labels meet the samples of the same feature, so the join
-    is on the feature and its fan-out is bounded by the number of runs.
+    is kept as 0. Each feature's values look themselves up among its sorted references inside a task; only counts for
+    label and sample are shuffled beside the cells.
     """
-    ref = reference.select(STUDY, FEATURE, SAMPLE, sig_figs(F.col("value")).alias("_ref"))
-    pairs = unlabelled.where(F.col("value").isNotNull()).select(
-        STUDY, FEATURE, "label", F.col("value").alias("_val")
-    ).join(ref, [STUDY, FEATURE])
-    match = F.coalesce(F.abs(F.col("_val") - F.col("_ref")) <= 1e-8 + rtol * F.abs(F.col("_ref")), F.lit(False))
-    return pairs.groupBy(STUDY, "label", SAMPLE).agg(
-        F.avg(match.cast("double")).alias("match_fraction"), F.count(F.lit(1)).alias("n")
-    )
+    ref = reference.select(STUDY, FEATURE, SAMPLE, sig_figs(F.col("value")).alias("value"))
+    counts = match_counts(unlabelled, ref, "label", 1e-8, rtol)
+    return counts.select(STUDY, "label", SAMPLE, (F.col("n_match") / F.col("n")).alias("match_fraction"), "n")
 
 
 def resolve_labels(unlabelled: DataFrame, reference: DataFrame, accept: float = 0.999, rival: float = 0.9) -> DataFrame:

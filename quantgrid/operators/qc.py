@@ -376,7 +376,7 @@ def pca(cells: DataFrame, k: int = 2, standardize: bool = False) -> DataFrame:
     gram = cross_moments(cells, centre=True, scale=standardize).select(STUDY, "sample_a", "sample_b", "sxy")
 
     def decompose(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf.pivot(index="sample_a", columns="sample_b", values="sxy").sort_index().sort_index(axis=1)
+        m = pdf.pivot(index="sample_a", columns="sample_b", values="sxy").sort_index().sort_index(axis=1).fillna(0.0)
         w, v = np.linalg.eigh(m.to_numpy())
         order = np.argsort(w)[::-1]
         w, v = np.clip(w[order], 0, None), v[:, order]
