@@ -118,14 +118,39 @@ def bootstrap_spread(spark, d):
     return percentile_ci(bootstrap_sd(cells(spark, d), [STUDY], FEATURE, "y", DRAWS, 3), [STUDY]).select(STUDY, rd("ci_low"), rd("ci_high"))
 
 
-@query("relative_length")
+_SHOWN = "CASE WHEN fraction < 1e-3 THEN round_even(fraction * 10 ^ (2 - floor(log10(fraction))), 0) / 10 ^ (2 - floor(log10(fraction))) ELSE round_even(fraction, 3) END"
+_FIT_ROUNDS = 100
+
+
+def _fit_sql() -> str:
+    """``o<n>``: offsets after round n. A settled study stays as it is in the rounds that follow."""
+    out = f""", sn AS MATERIALIZED (SELECT *, log2(n / q) AS y, q < 1e-3 AS precise FROM (SELECT study_id, feature_id, sample_id, cast(count AS double) AS n, {_SHOWN} AS q FROM frac WHERE fraction > 0)),
+o0 AS (SELECT DISTINCT study_id, sample_id, cast(0 AS double) AS c FROM sn)"""
+    for i in range(1, _FIT_ROUNDS + 1):
+        out += f""",
+a{i} AS MATERIALIZED (SELECT study_id, feature_id, median(y - c) AS a FROM sn JOIN o{i - 1} USING (study_id, sample_id) WHERE precise GROUP BY ALL),
+o{i} AS MATERIALIZED (SELECT study_id, sample_id, v - avg(v) OVER (PARTITION BY study_id) AS c FROM (SELECT study_id, sample_id, coalesce(m, c) AS v FROM o{i - 1} LEFT JOIN (
+  SELECT study_id, sample_id, median(y - a) AS m FROM sn JOIN a{i} USING (study_id, feature_id) WHERE precise GROUP BY ALL) USING (study_id, sample_id)))"""
+    return out
+
+
+_LENGTH = f""",
+fe AS (SELECT study_id, feature_id, median(y - c) FILTER (precise) AS a, count(*) FILTER (precise) AS n_precise_cells, max(log2(n) - c - log2(q + 5e-4)) FILTER (NOT precise) AS lo,
+  min(log2(n) - c - log2(greatest(q - 5e-4, 1e-3))) FILTER (NOT precise) AS hi, median(log2(n) - c - (log2(q + 5e-4) + log2(greatest(q - 5e-4, 1e-3))) / 2) FILTER (NOT precise) AS mid
+  FROM sn JOIN o{_FIT_ROUNDS} USING (study_id, sample_id) GROUP BY ALL),
+fv AS (SELECT *, CASE WHEN n_precise_cells > 0 THEN 'precise' WHEN lo <= hi THEN 'interval' ELSE 'interval_empty' END AS length_method, CASE WHEN n_precise_cells > 0 THEN a WHEN lo <= hi THEN (lo + hi) / 2 ELSE mid END AS v FROM fe),
+cv AS (SELECT study_id, max(abs(x.c - w.c)) < 1e-12 AS converged FROM o{_FIT_ROUNDS} x JOIN o{_FIT_ROUNDS - 1} w USING (study_id, sample_id) GROUP BY ALL)
+SELECT study_id, feature_id, {R('v - median(v) OVER (PARTITION BY study_id)')} AS log2_length, length_method, n_precise_cells, converged FROM fv JOIN cv USING (study_id)"""
+
+
+@query("relative_length", "WITH " + with_sql("one", "", False)[5:] + FRACTION + _fit_sql() + _LENGTH)
 def relative_length(spark, d):
     c = _fractions(spark, d).select(*CELL_KEY, F.col("count").alias("psm"), round_fraction(F.col("value")).alias("nsaf"))
-    t, _ = sm.two_way_median_fit(c)
-    return t.select(STUDY, FEATURE, rd("log2_length"), "length_method", "n_precise_cells")
+    t, _ = sm.two_way_median_fit(c, rounds=_FIT_ROUNDS)
+    return t.select(STUDY, FEATURE, rd("log2_length"), "length_method", "n_precise_cells", "converged")
 
 
-@query("fraction_rounding", "WITH " + with_sql("one", "", False)[5:] + FRACTION + f""" SELECT study_id, feature_id, sample_id, {R('CASE WHEN fraction < 1e-3 THEN round_even(fraction * 10 ^ (2 - floor(log10(fraction))), 0) / 10 ^ (2 - floor(log10(fraction))) ELSE round_even(fraction, 3) END', 9)} AS shown FROM frac""")
+@query("fraction_rounding", "WITH " + with_sql("one", "", False)[5:] + FRACTION + f""" SELECT study_id, feature_id, sample_id, {R(_SHOWN, 9)} AS shown FROM frac""")
 def fraction_rounding(spark, d):
     return _fractions(spark, d).where("value is not null").select(*CELL_KEY, rd(round_fraction(F.col("value")), 9, "shown"))
 
@@ -509,15 +534,40 @@ def tracking_bins(spark, d):
     return b.select(STUDY, "variant", "method", "mean_count_bin", "n_features", rd("mean_r"), rd("median_r"))
 
 
-@query("median_polish")
+_POLISH_ROUNDS = 20
+
+
+def _polish_sql() -> str:
+    """``p<n>``: level and overall of each parent and sample after round n."""
+    key = "study_id, parent_id"
+    out = f""", kd AS MATERIALIZED (SELECT study_id, members[1] AS parent_id, feature_id, sample_id, log2(value) AS v, value AS raw FROM ch WHERE len(members) = 1),
+p0 AS (SELECT DISTINCT {key}, sample_id, cast(0 AS double) AS lv FROM kd)"""
+    for i in range(1, _POLISH_ROUNDS + 1):
+        out += f""",
+e{i} AS MATERIALIZED (SELECT {key}, feature_id, median(v - lv) AS e FROM kd JOIN p{i - 1} USING ({key}, sample_id) GROUP BY ALL),
+p{i} AS MATERIALIZED (SELECT {key}, sample_id, m + c AS lv, b + c AS ov FROM (SELECT {key}, sample_id, median(v - e) AS m FROM kd JOIN e{i} USING ({key}, feature_id) GROUP BY ALL)
+  JOIN (SELECT {key}, median(e) AS c FROM e{i} GROUP BY ALL) USING ({key}) JOIN (SELECT {key}, median(lv) AS b FROM p{i - 1} GROUP BY ALL) USING ({key}))"""
+    return out + f""",
+nk AS (SELECT {key}, count(DISTINCT feature_id) AS n_children FROM kd GROUP BY ALL),
+mp AS (SELECT x.*, n_children, bool_and(abs(x.lv - w.lv) <= 1e-12) OVER (PARTITION BY x.study_id, x.parent_id) AS converged
+  FROM p{_POLISH_ROUNDS} x JOIN p{_POLISH_ROUNDS - 1} w USING ({key}, sample_id) JOIN nk USING ({key}))"""
+
+
+def _unique_children(spark, d):
+    c = _children(spark, d).where(F.size("members") == 1)
+    return c.select(STUDY, FEATURE, F.col("members")[0].alias("parent_id"), SAMPLE, F.log2("value").alias("value"), F.col("value").alias("raw"))
+
+
+@query("median_polish", _KID + _polish_sql() + f" SELECT study_id, parent_id, sample_id, {R('ov')} AS overall, {R('lv - ov')} AS column_effect, n_children, converged FROM mp")
 def median_polish(spark, d):
-    c = _children(spark, d).where(F.size("members") == 1).select(STUDY, FEATURE, F.col("members")[0].alias("parent_id"), SAMPLE, F.log2("value").alias("value"))
-    return sm.median_polish(c).select(STUDY, "parent_id", SAMPLE, rd("overall"), rd("column_effect"), "n_children")
+    fit = sm.median_polish(_unique_children(spark, d), rounds=_POLISH_ROUNDS)
+    return fit.select(STUDY, "parent_id", SAMPLE, rd("overall"), rd("column_effect"), "n_children", "converged")
 
 
-@query("rollup_check")
+@query("rollup_check", _KID + _polish_sql() + f""" SELECT study_id, parent_id, max(n_children) AS n_children, {R('stddev_pop(p - (lv - ov))')} AS profile_dev_sd, {R('avg(p - lv)')} AS offset
+FROM mp JOIN (SELECT study_id, parent_id, sample_id, log2(sum(raw)) AS p FROM kd GROUP BY ALL) USING (study_id, parent_id, sample_id) GROUP BY ALL""")
 def rollup_check(spark, d):
-    c = _children(spark, d).where(F.size("members") == 1).select(STUDY, FEATURE, F.col("members")[0].alias("parent_id"), SAMPLE, F.log2("value").alias("value"), F.col("value").alias("raw"))
+    c = _unique_children(spark, d)
     parents = c.groupBy(STUDY, "parent_id", SAMPLE).agg(F.log2(F.sum("raw")).alias("value")).withColumnRenamed("parent_id", FEATURE)
     return ag.rollup_check(c, parents).select(STUDY, "parent_id", "n_children", rd("profile_dev_sd"), rd("offset"))
 

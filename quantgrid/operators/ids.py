@@ -324,7 +324,7 @@ def join_by_composition(rows: DataFrame, features: DataFrame, key: str = "key")
 def aggregate_isoforms(joined: DataFrame, keys: Sequence[str] = (STUDY, FEATURE)) -> DataFrame:
     """Texts of a feature's localized rows, its adducted residues and whether it is unique."""
     collect = lambda c: F.array_join(F.array_sort(F.collect_set(F.nullif(F.col(c), F.lit("")))), " | ")
-    letters = F.split(F.array_join(F.collect_list("adduct_residues"), ""), "")
+    letters = F.flatten(F.collect_set(F.array_sort(F.array_distinct(F.split("adduct_residues", "")))))  # sets of letters, not rows
     flat = F.array_join(F.array_sort(F.array_distinct(F.filter(letters, lambda x: x != ""))), "")
     return joined.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_isoforms"),

@@ -55,7 +55,8 @@ def fit_vsn(cells: DataFrame, max_rounds: int = 25, tol: float = 1e-6) -> DataFr
     is one aggregation over the cells: the profile likelihood's gradient and a 2 x 2
     Gauss-Newton block per sample. The parameter table has one row per sample; it is
     written out each round, so lineage stays flat. A step that lowers a study's likelihood
-    is taken back and halved.
+    is taken back and halved. A study leaves the rounds once no parameter of it moves by ``tol``; ``converged`` is
+    false for one that still moved in the last of ``max_rounds``.
     """
     cells = materialise(cells.where(F.col(VALUE).isNotNull()).select(*CELL_KEY, VALUE))
     # Each sample starts with its mean at 1 on the arsinh axis.
@@ -63,14 +64,15 @@ def fit_vsn(cells: DataFrame, max_rounds: int = 25, tol: float = 1e-6) -> DataFr
         cells.groupBy(*SAMPLE_KEY).agg(
             F.lit(0.0).alias("a"), (-F.log(F.avg(VALUE))).alias("log_b")
         ).select("*", F.lit(1.0).alias("damp"), F.lit(None).cast("double").alias("best"),
-                 F.col("a").alias("a0"), F.col("log_b").alias("log_b0"), F.lit(None).cast("double").alias("moved"))
+                 F.col("a").alias("a0"), F.col("log_b").alias("log_b0"), F.lit(None).cast("double").alias("moved"), F.lit(True).alias("on"))
     )
+    still = F.coalesce(F.max("moved").over(Window.partitionBy(STUDY)) >= tol, F.lit(True))
     for _ in range(max_rounds):
-        params = materialise(_vsn_round(cells, params))
-        largest = params.agg(F.max("moved")).first()[0]
-        if largest is not None and largest < tol:
+        fresh = _vsn_round(cells, params.where("on").drop("on")).withColumn("on", still)
+        params = materialise(fresh.unionByName(params.where("not on")))
+        if not params.where("on").take(1):
             break
-    return params.select(*SAMPLE_KEY, F.col("a0").alias("a"), F.col("log_b0").alias("log_b"))
+    return params.select(*SAMPLE_KEY, F.col("a0").alias("a"), F.col("log_b0").alias("log_b"), (~F.col("on")).alias("converged"))
 
 
 def _vsn_round(cells: DataFrame, params: DataFrame) -> DataFrame:
@@ -143,7 +145,7 @@ def _vsn_round(cells: DataFrame, params: DataFrame) -> DataFrame:
 
 def apply_vsn(cells: DataFrame, params: DataFrame) -> DataFrame:
     """glog2 values; the study's mean factor is taken out so large values read as log2."""
-    shifted = materialise(params.withColumn("_ref", F.avg("log_b").over(Window.partitionBy(STUDY))))
+    shifted = materialise(params.select(*SAMPLE_KEY, "a", "log_b").withColumn("_ref", F.avg("log_b").over(Window.partitionBy(STUDY))))
     u = F.asinh(F.col("a") + F.exp("log_b") * F.col(VALUE))
     out = cells.join(shifted, SAMPLE_KEY).withColumn(VALUE, (u - F.col("_ref")) / math.log(2) - 1)
     return tag_scale(out.drop("a", "log_b", "_ref"), "glog2")
