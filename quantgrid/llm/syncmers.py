@@ -137,18 +137,22 @@ def _compared(doc_id: int | None, text: str, own: list[Part], after: str, after_
     return doc_id, n, hashlib.sha256(edited.encode()).hexdigest(), _shown(own), _shown(edited_print), near, _alike(own, after_print)[0], shift
 
 
-def _ranges(docs: DataFrame, n: int) -> tuple[DataFrame, dict[int, str]]:
-    """The documents with ``pid``, the range of doc_id a row falls in, at most ``n`` of them; and the first text of each range that has rows."""
+def _ranges(docs: DataFrame, n: int) -> DataFrame:
+    """The documents with ``pid``, the range of doc_id a row falls in, at most ``n`` of them; and once more, with ``ends``, the first text of each range as the last row of the range before.
+
+    Only a key a range comes to the driver; texts stay in the tasks.
+    """
     keyed = docs.withColumn("_key", key_of("doc_id"))
     cuts = keyed.agg(F.percentile_approx("_key", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
     edges = F.array(*[F.lit(x).cast("long") for x in sorted(set(cuts))])
     steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))])  # a bisection
     pid = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(edges, at + step - 1) <= F.col("_key"), step).otherwise(0)) if cuts else F.lit(0)
-    keyed = keyed.withColumn("pid", pid)
-    firsts = keyed.groupBy("pid").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "_key")).alias("_first")).collect()
-    starts = docs.sparkSession.createDataFrame([(r.pid, r["_first"].known, r["_first"]["_key"]) for r in firsts], "pid int, known boolean, _key long")
-    found = keyed.drop("pid").withColumn("known", F.col("doc_id").isNotNull()).join(F.broadcast(starts), ["known", "_key"]).groupBy("pid").agg(F.min("text").alias("text"))
-    return keyed.drop("_key"), {r.pid: r.text for r in found.collect()}
+    keyed = keyed.withColumn("known", F.col("doc_id").isNotNull()).withColumn("pid", pid)
+    firsts = sorted((r.pid, r["_first"].known, r["_first"]["_key"]) for r in keyed.groupBy("pid").agg(F.min(F.struct("known", "_key")).alias("_first")).collect())
+    starts = docs.sparkSession.createDataFrame([(firsts[i - 1][0], known, key) for i, (_, known, key) in enumerate(firsts)], "pid int, known boolean, _key long")
+    found = keyed.drop("pid").join(F.broadcast(starts), ["known", "_key"]).groupBy("pid").agg(F.min("text").alias("text"))
+    rows = keyed.select("pid", "doc_id", "text", F.lit(False).alias("ends"))
+    return rows.unionByName(found.select("pid", F.lit(None).cast("long").alias("doc_id"), "text", F.lit(True).alias("ends")))
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,34 +164,27 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     gives no rows; other columns are left out.
 
     Texts are dealt once, in ranges of doc_id, and a task pairs the texts that follow each other there. The first text of
-    each range is known before, so that a range's last text finds its next one without a second pass.
+    each range is dealt to the range before it too, as its last row, so that all texts meet their next one there.
     """
-    dealt, firsts = _ranges(fields(docs, id_col, text_col), n := int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    pids = sorted(firsts)
-    follows = {p: firsts[pids[(i + 1) % len(pids)]] for i, p in enumerate(pids)}
+    dealt = _ranges(fields(docs, id_col, text_col), n := int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches):
         held, out, size = None, [], 0
         for batch in batches:
-            for pid, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc_id, text, ends in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = _printed(text)
                 if held:
-                    before, *row = held
-                    after = (text, own) if before == pid else (follows[before], _printed(follows[before]))
-                    out.append(_compared(*row, *after))
-                    size += len(row[1])
-                held = pid, doc_id, text, own
+                    out.append(_compared(*held, text, own))
+                    size += len(held[1])
+                held = None if ends else (doc_id, text, own)
                 if len(out) >= 2000 or size > 4_000_000:
                     yield batch_of(out, _RESULT)
                     out, size = [], 0
-        if held:
-            before, *row = held
-            out.append(_compared(*row, follows[before], _printed(follows[before])))
         if out:
             yield batch_of(out, _RESULT)
 
-    ordered = dealt.repartitionById(n, "pid").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return ordered.select("pid", "doc_id", "text").mapInArrow(run, _RESULT)
+    ordered = dealt.repartitionById(n, "pid").sortWithinPartitions("ends", F.col("doc_id").asc_nulls_first(), "text")
+    return ordered.select("doc_id", "text", "ends").mapInArrow(run, _RESULT)
 
 
 def op1_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
