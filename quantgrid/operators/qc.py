@@ -225,6 +225,7 @@ def ntile_median(df: DataFrame, keys: Sequence[str], x: str, y: str, bins: int,
 
 def _bin_medians(binned: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     by = [*keys, "bin"]
+    binned = materialise(binned.select(*by, x, y))
     n = binned.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     return n.join(group_median(binned, by, x, "x_median"), by).join(group_median(binned, by, y, "y_median"), by)
 
