@@ -1,13 +1,13 @@
-"""Token ids as compressed binary blocks: adaptive context mixing drives a range coder.
-
-Each block of ``BLOCK`` ids is coded on its own. An order-2 and an order-1 context each predict the
-next id, with a confidence; a symbol says which of them is right or, failing that, in which of eleven
-ranges of ids the id lies. Two adaptive distributions of that symbol, one by the confidences and one
-by the previous symbol, are mixed by a weight that follows the better one. The id's place in its range
-is the order-0 part: two adaptive digits, the second in the context of the first, then whether the id is
-the one last seen with these digits, and only if not its last bits, evenly. Blocks share no state, so many of them
-are coded in step, as lanes of numpy arrays, and any of them can be read alone. A block carries its
-crc32. A block with ids of 65,536 and above is coded as two of halves of ids.
+"""Token ids as compressed binary blocks: adaptive context mixing drives an entropy coder.
+
+The ids of a block are cut into lanes that are coded in step as numpy arrays and share one model, so all
+lanes learn from each other. An order-2 and an order-1 context each predict the next id, with a confidence; a
+symbol says which of them is right, or that neither is. Two adaptive distributions of that symbol, one by the
+confidences and one by the previous two symbols, are mixed by a weight that follows the better one. An id that neither
+predicts is coded by order 0: an adaptive distribution of all such ids. The contexts learn after each step, the
+distributions whenever the ids seen have grown by half. Symbol and id are one interval for
+a lane's coder (range asymmetric numeral systems), and all lanes share one stream of words. A block carries its
+crc32 and can be read alone. A block with ids of 65,536 and above is coded as two of halves of ids.
 """
 
 from __future__ import annotations
@@ -16,268 +16,145 @@ import zlib
 
 import numpy as np
 
+#: Ids in the smallest unit that is worth lanes of its own, and ids of a block.
 BLOCK = 4096
-MAGIC, MAGIC_HALVES = b"QGI2", b"QGH2"
-#: Blocks coded in step.
-LANES = 1024
-#: Ids per row of the file, unless one document has more.
 SEGMENT = 1 << 22
+MAGIC, MAGIC_HALVES = b"QGI3", b"QGH3"
+#: Most lanes coded in step, and the ids that a lane has at least.
+LANES, RUN = 4096, 256
 
-_SLOTS2, _SLOTS1 = 1024, 1024
-_SYMBOLS, _WIDE = 13, 14
-_BITS = 15
-#: Low end and bits of the ranges of ids, symbols 2 and on.
-_LOW = np.array([0, 64, 128, 256, 512, 1024, 2048, 4096, 8192, 16384, 32768], np.uint32)
-_WIDTH = np.array([0, 0, 6, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15], np.uint32)
-_FLOOR = np.concatenate([np.zeros(2, np.uint32), _LOW])
-#: Of an id's place in its range: bits of the first digit (4), of the second, and of the rest.
-_SECOND, _REST = np.minimum(_WIDTH - np.minimum(_WIDTH, 4), 4), np.maximum(_WIDTH, 8) - 8
-_DIGITS = 16
-
-
-def _pull(n: int) -> np.ndarray:
-    """Where each of ``n`` symbols pulls the cumulative distribution; 4 units a symbol stay for the rest."""
-    ends = np.arange(n + 1)
-    return np.where(ends[None, :] > np.arange(n)[:, None], (1 << _BITS) - 4 * (n - ends)[None, :], 4 * ends[None, :]).astype(np.int32)
+_SLOTS2 = 1 << 17
+#: Bits of the symbol's distribution and of order 0; a symbol keeps ``_LEAST`` units.
+_BITS, _BITS0, _LEAST = 11, 19, 8
+_UNITS, _UNITS0 = 1 << _BITS, 1 << _BITS0
+_SHIFT = _BITS + _BITS0
+_MASK, _LIMIT = (1 << _SHIFT) - 1, 1 << 31
+#: A state takes words of 32 bits once it would leave 2^31 .. 2^63.
+_ROOM = 63 - _SHIFT
 
 
-def _even(n: int, used: int) -> np.ndarray:
-    """A cumulative distribution of ``n`` symbols, even over the first ``used``."""
-    ends = np.minimum(np.arange(n + 1), used)
-    return (ends * ((1 << _BITS) - 4 * (n - used)) // used + 4 * (np.arange(n + 1) - ends)).astype(np.int32)
-
-
-_PULL, _PULL_DIGIT, _PULL_FLAG = _pull(_SYMBOLS), _pull(_DIGITS), _pull(2)
-_RANGE, _TOP = np.uint64(1 << 48), np.uint64(1 << 32)
-_MASK32, _S16, _S32, _SB = np.uint64(0xFFFFFFFF), np.uint64(16), np.uint64(32), np.uint64(_BITS)
+def _units(counts: np.ndarray) -> np.ndarray:
+    """Counts of the three symbols by context as units of the distribution."""
+    counts = counts + 1
+    two = _LEAST + (_UNITS - 3 * _LEAST) * counts[:, :2] // counts.sum(1, keepdims=True)
+    return np.concatenate([two, _UNITS - two.sum(1, keepdims=True)], 1)
 
 
 class _Model:
-    """What encoder and decoder know before each id, for ``lanes`` blocks."""
-
-    def __init__(self, lanes: int) -> None:
-        self.lane = np.arange(lanes)
-        self.base2, self.base1 = self.lane * _SLOTS2, self.lane * _SLOTS1
-        self.t2, self.t1 = np.zeros(lanes * _SLOTS2, np.uint32), np.zeros(lanes * _SLOTS1, np.uint32)
-        start = _even(_SYMBOLS, _SYMBOLS)
-        # The order-0 part: digits by range, digits by range and digit, the id last seen by both, and how often it is the id again.
-        self.digit1 = np.tile(_even(_DIGITS, _DIGITS), (lanes * _SYMBOLS, 1))
-        self.digit2 = np.tile(np.repeat(np.stack([_even(_DIGITS, 1 << int(k)) for k in _SECOND]), _DIGITS, axis=0), (lanes, 1))
-        self.seen = np.zeros(lanes * _SYMBOLS * _DIGITS * _DIGITS, np.uint16)
-        self.again = np.tile(_even(2, 2), (lanes * _SYMBOLS, 1))
-        self.a, self.b = np.tile(start, (lanes * 16, 1)), np.tile(start, (lanes * 16, 1))
-        self.rows = [x.view(f"V{4 * _WIDE}").ravel() for x in (self.a, self.b)]
-        self.cell = self.lane * _WIDE
-        self.base = self.lane * 16
-        self.weight = np.full(lanes, 8, np.int32)
-        self.last, self.before = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-        self.symbol = np.zeros(lanes, np.int64)
-
-    def predict(self) -> np.ndarray:
-        """The mixed cumulative distribution of the symbol."""
-        self.i2 = self.base2 + (((self.last * np.uint32(40503)) ^ (self.before * np.uint32(40093)) ^ (self.last >> np.uint32(5))) & np.uint32(_SLOTS2 - 1))
-        self.i1 = self.base1 + (self.last & np.uint32(_SLOTS1 - 1))
-        self.e2, self.e1 = self.t2.take(self.i2), self.t1.take(self.i1)
-        self.p2, self.p1 = self.e2 >> np.uint32(2), self.e1 >> np.uint32(2)
-        self.c2, self.c1 = self.e2 & np.uint32(3), self.e1 & np.uint32(3)
-        self.ia, self.ib = self.base + (self.c2 * np.uint32(4) + self.c1), self.base + self.symbol
-        self.ra, self.rb = self.a.take(self.ia, 0), self.b.take(self.ib, 0)
-        return self.rb + (((self.ra - self.rb) * self.weight[:, None]) >> 4)
-
-    def update(self, symbol: np.ndarray, ids: np.ndarray) -> None:
-        at = self.cell + symbol
-        gain = (self.ra.take(at + 1) - self.ra.take(at)) - (self.rb.take(at + 1) - self.rb.take(at))
-        self.weight = np.minimum(np.maximum(self.weight + (gain > 0) - (gain < 0), 1), 15).astype(np.int32)
-        pull = _PULL.take(symbol, 0)
-        for rows, k, old in ((self.rows[0], self.ia, self.ra), (self.rows[1], self.ib, self.rb)):
-            rows[k] = (old + ((pull - old) >> 5)).view(rows.dtype).ravel()
-        for table, at, entry, guess, sure in ((self.t2, self.i2, self.e2, self.p2, self.c2), (self.t1, self.i1, self.e1, self.p1, self.c1)):
-            right = guess == ids
-            table[at] = np.where(right, entry + (sure < 3), np.where(sure > 0, entry - np.uint32(1), ids << np.uint32(2)))
-        self.before, self.last, self.symbol = self.last, ids, symbol
-
-
-def _grouped(n: np.ndarray) -> list[np.ndarray]:
-    """Blocks of one length are coded in step: the full ones together, each shorter one alone or with its equals."""
-    return [own[i : i + LANES] for k in np.unique(n) for own in [np.nonzero(n == k)[0]] for i in range(0, len(own), LANES)]
-
-
-class _Writer:
-    """One arithmetic coder a lane; 16 bits leave at a time."""
-
-    def __init__(self, lanes: int, n: int) -> None:
-        self.low, self.rng = np.zeros(lanes, np.uint64), np.full(lanes, _RANGE)
-        self.out, self.at = np.zeros((lanes, 4 * n + 4), np.uint32), np.zeros(lanes, np.int64)  # pages that stay zero cost nothing
-
-    def put(self, k: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
-        r = self.rng[k] >> _SB
-        low, rng = self.low[k] + r * lo.astype(np.uint64), r * (hi - lo).astype(np.uint64)
-        full = rng < _TOP
-        i = k[full]
-        if len(i):
-            self.out[i, self.at[i]] = low[full] >> _S32  # 17 bits: a carry is passed on at the end
-            self.at[i] += 1
-            low[full] = (low[full] & _MASK32) << _S16
-            rng[full] <<= _S16
-        self.low[k], self.rng[k] = low, rng
-
-    def bodies(self) -> list[bytes]:
-        lane = np.arange(len(self.at))
-        for _ in range(3):
-            self.out[lane, self.at] = self.low >> _S32
-            self.at += 1
-            self.low = (self.low & _MASK32) << _S16
-        out = self.out[:, : int(self.at.max())]
-        for j in range(out.shape[1] - 1, 0, -1):
-            out[:, j - 1] += out[:, j] >> 16
-        words = out.astype("<u2")
-        return [words[i, : self.at[i]].tobytes() for i in lane]
-
-
-class _Reader:
-    def __init__(self, bodies: list[bytes]) -> None:
-        words = np.zeros((len(bodies), max(map(len, bodies)) // 2 + 4), np.uint16)
-        for i, x in enumerate(bodies):
-            words[i, : len(x) // 2] = np.frombuffer(x, "<u2")
-        first = words[:, :3].astype(np.uint64)
-        self.code = (first[:, 0] << _S32) | (first[:, 1] << _S16) | first[:, 2]
-        self.at, self.flat = np.arange(len(bodies)) * words.shape[1] + 3, words.ravel()
-        self.rng = np.full(len(bodies), _RANGE)
-
-    def get(self, k: np.ndarray, cum: np.ndarray) -> np.ndarray:
-        """The symbols of lanes ``k`` by their distributions, one a row."""
-        n = cum.shape[1] - 1
-        code, r = self.code[k], self.rng[k] >> _SB
-        target = np.minimum(code // r, np.uint64((1 << _BITS) - 1)).astype(np.int32)
-        base, s, step = np.arange(len(k)) * (n + 1), np.zeros(len(k), np.int64), 1 << (n - 1).bit_length() - 1
-        while step:  # the last symbol that starts at or below the target
-            there = np.minimum(s + step, n)
-            s = np.where(cum.take(base + there) <= target, there, s)
-            step >>= 1
-        self._take(k, code, r, cum.take(base + s), cum.take(base + s + 1))
-        return s
-
-    def bits(self, k: np.ndarray, width: np.ndarray) -> np.ndarray:
-        code, r, left = self.code[k], self.rng[k] >> _SB, _BITS - width
-        value = np.minimum(code // r, np.uint64((1 << _BITS) - 1)).astype(np.int64) >> left
-        self._take(k, code, r, value << left, (value + 1) << left)
-        return value
-
-    def _take(self, k: np.ndarray, code: np.ndarray, r: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
-        code, rng = code - r * lo.astype(np.uint64), r * (hi - lo).astype(np.uint64)
-        full = rng < _TOP
-        i = k[full]
-        if len(i):
-            code[full] = (code[full] << _S16) | self.flat[self.at[i]]
-            self.at[i] += 1
-            rng[full] <<= _S16
-        self.code[k], self.rng[k] = code, rng
-
-
-def _learn(table: np.ndarray, at: np.ndarray, old: np.ndarray, pull: np.ndarray, rate: int) -> None:
-    table[at] = old + ((pull - old) >> rate)
-
-
-def _span(cum: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.arange(len(s)) * cum.shape[1] + s
-    return cum.take(at), cum.take(at + 1)
-
-
-def _write_place(model: _Model, writer: _Writer, k: np.ndarray, s: np.ndarray, ids: np.ndarray) -> None:
-    """The order-0 part of the ids of lanes ``k``, which lie in ranges ``s``."""
-    place, width, second = ids - _FLOOR[s], _WIDTH[s], _SECOND[s]
-    one, two = place >> (width - 4), (place >> _REST[s]) & ((np.uint32(1) << second) - np.uint32(1))
-    at = k * _SYMBOLS + s
-    for table, i, digit, rate in ((model.digit1, at, one, 5), (model.digit2, at * _DIGITS + one, two, 4)):
-        old = table.take(i, 0)
-        writer.put(k, *_span(old, digit))
-        _learn(table, i, old, _PULL_DIGIT.take(digit, 0), rate)
-    deep = np.nonzero(_REST[s])[0]
-    if len(deep):
-        k, s, ids, at = k[deep], s[deep], ids[deep], at[deep]
-        slot = (at * _DIGITS + one[deep]) * _DIGITS + two[deep]
-        new = (model.seen[slot] != ids).astype(np.int64)
-        old = model.again.take(at, 0)
-        writer.put(k, *_span(old, new))
-        _learn(model.again, at, old, _PULL_FLAG.take(new, 0), 5)
-        model.seen[slot] = ids
-        other = np.nonzero(new)[0]
-        rest = _REST[s[other]].astype(np.int64)
-        value, left = place[deep][other] & ((1 << rest) - 1), _BITS - rest
-        writer.put(k[other], value << left, (value + 1) << left)
-
-
-def _read_place(model: _Model, reader: _Reader, k: np.ndarray, s: np.ndarray) -> np.ndarray:
-    at, digits = k * _SYMBOLS + s, []
-    i = at
-    for table, rate in ((model.digit1, 5), (model.digit2, 4)):
-        old = table.take(i, 0)
-        digits.append(reader.get(k, old))
-        _learn(table, i, old, _PULL_DIGIT.take(digits[-1], 0), rate)
-        i = at * _DIGITS + digits[-1]
-    one, two = digits
-    rest = _REST[s].astype(np.int64)
-    ids = _FLOOR[s] + (one << (_WIDTH[s].astype(np.int64) - 4)) + (two << rest)
-    deep = np.nonzero(rest)[0]
-    if len(deep):
-        k, at, rest = k[deep], at[deep], rest[deep]
-        slot = (at * _DIGITS + one[deep]) * _DIGITS + two[deep]
-        old = model.again.take(at, 0)
-        new = reader.get(k, old)
-        _learn(model.again, at, old, _PULL_FLAG.take(new, 0), 5)
-        found = model.seen[slot].astype(np.int64)
-        other = np.nonzero(new)[0]
-        found[other] = ids[deep][other] + reader.bits(k[other], rest[other])
-        model.seen[slot] = found
-        ids[deep] = found
-    return ids.astype(np.uint32)
-
-
-def _encode_lanes(ids: np.ndarray) -> list[bytes]:
-    lanes, n = ids.shape
-    model, writer = _Model(lanes), _Writer(lanes, n)
-    columns = np.ascontiguousarray(ids.T.astype(np.uint32))
-    plain = np.searchsorted(_LOW, columns, "right") + 1
-    for t in range(n):
-        x = columns[t]
-        cum = model.predict()
-        s = np.where(model.p2 == x, 0, np.where(model.p1 == x, 1, plain[t]))
-        writer.put(model.lane, *_span(cum, s))
-        k = np.nonzero(s > 1)[0]
-        if len(k):
-            _write_place(model, writer, k, s[k], x[k])
-        model.update(s, x)
-    return writer.bodies()
-
-
-def _decode_lanes(bodies: list[bytes], n: int) -> np.ndarray:
-    model, reader = _Model(len(bodies)), _Reader(bodies)
-    out = np.empty((n, len(bodies)), np.uint32)
-    for t in range(n):
-        s = reader.get(model.lane, model.predict())
-        x = np.where(s == 0, model.p2, model.p1)
-        k = np.nonzero(s > 1)[0]
-        if len(k):
-            x[k] = _read_place(model, reader, k, s[k])
-        out[t] = x
-        model.update(s, x)
-    return out.T
-
-
-def _code(parts: list[np.ndarray]) -> list[bytes]:
-    bodies = [b""] * len(parts)
-    for own in _grouped(np.array([len(x) for x in parts], np.int64)):
-        for i, body in zip(own, _encode_lanes(np.stack([parts[i] for i in own])), strict=True):
-            bodies[i] = body
-    return bodies
-
-
-def _decode(bodies: list[bytes], n: np.ndarray) -> list[np.ndarray]:
-    out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(bodies)
-    for own in _grouped(n):
-        for i, ids in zip(own, _decode_lanes([bodies[i] for i in own], int(n[own[0]])), strict=True):
-            out[i] = np.ascontiguousarray(ids)
-    return out
+    """What encoder and decoder know before each id; integers only, so both know the same."""
+
+    def __init__(self, alphabet: int, lanes: int, lookup: bool) -> None:
+        # The id last seen in a context, and in the lowest two bits how often in a row it was (3 at most).
+        self.t2, self.t1 = np.zeros(_SLOTS2, np.int32), np.zeros(1 << 16, np.int32)
+        self.last, self.mixed, self.past, self.symbol = (np.zeros(lanes, np.int64) for _ in range(4))
+        self.by_sure, self.by_past, self.weight = np.zeros((16, 3), np.int64), np.zeros((9, 3), np.int64), 8
+        self.order0, self.lookup = np.zeros(alphabet, np.int64), lookup
+        self.held: list[np.ndarray] = []
+        self.escaped: list[np.ndarray] = []
+        self.steps, self.due = 0, 1
+        self.learn()
+
+    def learn(self) -> None:
+        """Take what the steps since the last call have shown into the distributions."""
+        if self.held:
+            shown = np.bincount(np.concatenate(self.held), minlength=432).reshape(16, 9, 3)
+            gain = (shown * np.sign(_units(self.by_sure)[:, None, :] - _units(self.by_past)[None, :, :])).sum()
+            self.weight = min(15, max(1, self.weight + 2 * int(np.sign(gain))))
+            self.by_sure += shown.sum(1)
+            self.by_past += shown.sum(0)
+            self.order0 += np.bincount(np.concatenate(self.escaped), minlength=len(self.order0))
+            self.held, self.escaped = [], []
+        mixed = (_units(self.by_sure)[:, None, :] * self.weight + _units(self.by_past)[None, :, :] * (16 - self.weight)) >> 4
+        mixed[:, :, 2] = _UNITS - mixed[:, :, 0] - mixed[:, :, 1]
+        mixed = mixed.reshape(-1, 3) << _BITS0
+        self.size, self.low = mixed.ravel(), (np.cumsum(mixed, 1) - mixed).ravel()
+        self.one, self.none = self.low[1::3].copy(), self.low[2::3].copy()
+        n, total = len(self.order0), int(self.order0.sum())
+        self.size0 = 1 + (_UNITS0 - n) * self.order0 // total if total else np.full(n, _UNITS0 // n)
+        self.low0 = np.cumsum(self.size0) - self.size0
+        if self.lookup:
+            self.id_at = np.full(_UNITS0, n - 1, np.uint16)
+            self.id_at[: int(self.size0.sum())] = np.repeat(np.arange(n, dtype=np.uint16), self.size0)
+
+    def predict(self) -> tuple[np.ndarray, np.ndarray]:
+        """What order 2 and order 1 expect."""
+        self.mixed, before = self.last * 40503, self.mixed
+        self.i2 = (self.mixed ^ (before >> 3)) & (_SLOTS2 - 1)
+        e2, e1 = self.t2.take(self.i2), self.t1.take(self.last)
+        self.sure2, self.sure1 = e2 & 3, e1 & 3
+        self.context = self.sure2 * 36 + self.sure1 * 9 + self.past
+        return e2 >> 2, e1 >> 2
+
+    def update(self, ids: np.ndarray, symbol: np.ndarray, held: np.ndarray, right2: np.ndarray, right1: np.ndarray, escaped: np.ndarray) -> None:
+        fresh = ids << 2
+        self.t2[self.i2] = fresh + np.minimum(self.sure2 + 1, 3) * right2
+        self.t1[self.last] = fresh + np.minimum(self.sure1 + 1, 3) * right1
+        self.held.append(held)
+        self.escaped.append(escaped)
+        self.past, self.symbol = self.symbol * 3 + symbol, symbol
+        self.last = ids
+        self.steps += 1
+        if self.steps == self.due:
+            self.learn()
+            self.due += max(1, self.due // 2)
+
+
+def _lanes(n: int) -> int:
+    return max(1, min(LANES, n // RUN))
+
+
+def _encode(ids: np.ndarray) -> bytes:
+    """Ids below 65,536: the largest one, the lanes' states, words."""
+    lanes = _lanes(len(ids))
+    model, steps = _Model(int(ids.max()) + 1, lanes, False), -(-len(ids) // lanes)
+    padded = np.concatenate([ids, np.zeros(steps * lanes - len(ids), np.uint32)])
+    parts = []
+    for x in np.ascontiguousarray(padded.reshape(lanes, steps).T):
+        x = x.astype(np.int64)
+        p2, p1 = model.predict()
+        right2, right1 = p2 == x, p1 == x
+        symbol = (2 - right1) * ~right2
+        held = model.context * 3 + symbol
+        low, size, k = model.low.take(held), model.size.take(held), np.flatnonzero(symbol == 2)
+        y, wide = x.take(k), size.take(k) >> _BITS0
+        low[k] += wide * model.low0.take(y)
+        size[k] = wide * model.size0.take(y)
+        parts.append((low.astype(np.uint32), size.astype(np.uint32)))
+        model.update(x, symbol, held, right2, right1, y)
+    state, words = np.full(lanes, _LIMIT, np.int64), []
+    for low, size in reversed(parts):  # the last id goes in first
+        size = size.astype(np.int64)
+        k = np.flatnonzero((state >> _ROOM) >= size)
+        full = state.take(k)
+        words.append(full.astype(np.uint32))
+        state[k] = full >> 32
+        whole = state // size
+        state = (whole << _SHIFT) + (state - whole * size) + low
+    return int(ids.max()).to_bytes(2, "little") + state.astype("<u8").tobytes() + np.concatenate(words[::-1]).astype("<u4").tobytes()
+
+
+def _decode(body: bytes, n: int) -> np.ndarray:
+    lanes = _lanes(n)
+    model, steps = _Model(int.from_bytes(body[:2], "little") + 1, lanes, True), -(-n // lanes)
+    state = np.frombuffer(body, "<u8", lanes, 2).astype(np.int64)
+    words, read, out = np.frombuffer(body, "<u4", offset=2 + 8 * lanes).astype(np.int64), 0, np.empty((steps, lanes), np.uint32)
+    for t in range(steps):
+        p2, p1 = model.predict()
+        slot = state & _MASK
+        after, other = slot >= model.one.take(model.context), slot >= model.none.take(model.context)
+        ids, symbol = np.where(after, p1, p2).astype(np.int64), after.astype(np.int64) + other
+        held, k = model.context * 3 + symbol, np.flatnonzero(other)
+        low, size = model.low.take(held), model.size.take(held)
+        start, wide = low.take(k), size.take(k) >> _BITS0
+        y = model.id_at.take((slot.take(k) - start) // wide).astype(np.int64)
+        low[k], size[k], ids[k] = start + wide * model.low0.take(y), wide * model.size0.take(y), y
+        state = size * (state >> _SHIFT) + (slot - low)
+        k = np.flatnonzero(state < _LIMIT)
+        state[k] = (state.take(k) << 32) | words[read : read + len(k)]
+        read += len(k)
+        out[t] = ids
+        model.update(ids, symbol, held, p2 == ids, p1 == ids, y)
+    return np.ascontiguousarray(out.T).ravel()[:n]
 
 
 def encode_blocks(ids: np.ndarray) -> list[bytes]:
@@ -285,33 +162,30 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
 
     The body of ids above 65,535 is the length of the body of their low halves, that body, and the body of their high halves.
     """
-    parts = [ids[k : k + BLOCK].astype(np.uint32) for k in range(0, len(ids), BLOCK)]
-    wide = [i for i, x in enumerate(parts) if int(x.max()) >= 1 << 16]
-    bodies = _code([x & np.uint32(0xFFFF) for x in parts])
-    for i, high in zip(wide, _code([parts[i] >> np.uint32(16) for i in wide]), strict=True):
-        bodies[i] = len(bodies[i]).to_bytes(4, "little") + bodies[i] + high
-    magic = [MAGIC] * len(parts)
-    for i in wide:
-        magic[i] = MAGIC_HALVES
-    return [m + len(x).to_bytes(4, "little") + zlib.crc32(x.astype("<u4").tobytes()).to_bytes(4, "little") + body for m, x, body in zip(magic, parts, bodies, strict=True)]
+    out = []
+    for i in range(0, len(ids), SEGMENT):
+        part = ids[i : i + SEGMENT].astype(np.uint32)
+        magic, body = MAGIC, _encode(part & np.uint32(0xFFFF))
+        if int(part.max()) >= 1 << 16:
+            magic, body = MAGIC_HALVES, len(body).to_bytes(4, "little") + body + _encode(part >> np.uint32(16))
+        out.append(magic + len(part).to_bytes(4, "little") + zlib.crc32(part.astype("<u4").tobytes()).to_bytes(4, "little") + body)
+    return out
 
 
-def decode_blocks(blocks: list[bytes]) -> list[np.ndarray]:
-    """The ids of each block; a block whose magic or crc32 is wrong is refused."""
-    if any(x[:4] not in (MAGIC, MAGIC_HALVES) for x in blocks):
+def decode_block(block: bytes) -> np.ndarray:
+    """The ids of a block; one whose magic or crc32 is wrong is refused."""
+    if block[:4] not in (MAGIC, MAGIC_HALVES):
         raise ValueError("not a block of token ids")
-    n = np.array([int.from_bytes(x[4:8], "little") for x in blocks], np.int64)
-    bodies = [x[12:] for x in blocks]
-    wide = [i for i, x in enumerate(blocks) if x[:4] == MAGIC_HALVES]
-    high = []
-    for i in wide:
-        cut = 4 + int.from_bytes(bodies[i][:4], "little")
-        high.append(bodies[i][cut:])
-        bodies[i] = bodies[i][4:cut]
-    out = _decode(bodies, n)
-    for i, top in zip(wide, _decode(high, n[wide]), strict=True):
-        out[i] = out[i] | (top << np.uint32(16))
-    for x, ids in zip(blocks, out, strict=True):
-        if zlib.crc32(ids.astype("<u4").tobytes()) != int.from_bytes(x[8:12], "little"):
-            raise ValueError("a block of token ids is damaged")
-    return out
+    n, body = int.from_bytes(block[4:8], "little"), block[12:]
+    if block[:4] == MAGIC:
+        ids = _decode(body, n)
+    else:
+        cut = 4 + int.from_bytes(body[:4], "little")
+        ids = _decode(body[4:cut], n) | (_decode(body[cut:], n) << np.uint32(16))
+    if zlib.crc32(ids.astype("<u4").tobytes()) != int.from_bytes(block[8:12], "little"):
+        raise ValueError("a block of token ids is damaged")
+    return ids
+
+
+def decode_blocks(blocks: list[bytes]) -> list[np.ndarray]:
+    return [decode_block(x) for x in blocks]

@@ -11,11 +11,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from quantgrid.llm.common import documents, fields, offsets_by_partition, sorted_by_id
-from quantgrid.llm.idcoder import LANES, SEGMENT, decode_blocks, encode_blocks
+from quantgrid.llm.idcoder import SEGMENT, decode_blocks, encode_blocks
 from quantgrid.llm.tokens import encoder, vocabulary
 from quantgrid.session import shared_dir
 
-#: A row is a segment: whole documents, and their ids one after another in independent blocks.
+#: A row is a segment: whole documents, and their ids one after another in blocks, which can be read alone.
 SEGMENTS = "pid int, first long, total long, doc_ids array<long>, lengths array<long>, blocks array<binary>"
 
 
@@ -27,57 +27,52 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int = 0, id_col:
     gives an empty folder. Documents are dealt in ranges of doc_id, one file a range, so the order is
     that of ``pid`` and, within it, ``first``.
     """
-    tail = np.array([end_id], "<u4").tobytes()
-
     def run(batches):
-        ids_of, pid = encoder(path).ids, TaskContext.get().partitionId()
-        first, held, size, names = 0, [], 0, []
+        encode, pid = encoder(path).ids_of, TaskContext.get().partitionId()
+        first, held, lengths, names = 0, [], [], []
 
         def segment():
-            ids = np.frombuffer(b"".join(held), "<u4")
-            row = [[pid], [first], [len(ids)], [names], [[len(x) // 4 for x in held]], [encode_blocks(ids)]]
+            ids = np.concatenate(held)
+            row = [[pid], [first], [len(ids)], [names], [lengths], [encode_blocks(ids)]]
             types = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary())]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], names=[x.split()[0] for x in SEGMENTS.split(", ")])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = ids_of(text) + tail
-                if held and size + len(ids) // 4 > SEGMENT:
+            ids, n = encode(batch.column(1))
+            ends = np.cumsum(n)
+            ids, n = np.insert(ids, ends, end_id), n + 1
+            ends += np.arange(1, len(n) + 1)
+            doc_ids, begin = batch.column(0).to_pylist(), 0
+            while begin < len(n):
+                # As many documents as the segment has room for, one at least.
+                done = int(ends[begin] - n[begin])
+                stop = int(np.searchsorted(ends, done + SEGMENT - sum(lengths), "right"))
+                if stop <= begin and not held:
+                    stop = begin + 1
+                if stop > begin:
+                    held.append(ids[done : int(ends[stop - 1])])
+                    names += doc_ids[begin:stop]
+                    lengths += n[begin:stop].tolist()
+                    begin = stop
+                if begin < len(n):
                     yield segment()
-                    first, held, size, names = first + size, [], 0, []
-                held.append(ids)
-                names.append(doc_id)
-                size += len(ids) // 4
+                    first, held, lengths, names = first + sum(lengths), [], [], []
         if held:
             yield segment()
 
     sorted_by_id(fields(docs, id_col, text_col)).mapInArrow(run, SEGMENTS).write.parquet(folder)
 
 
-def _in_step(batches):
-    """Rows of whole segments, as few as hold ``LANES`` blocks: what is decoded at a time doesn't grow with a batch."""
-    held, size = [], 0
-    for batch in batches:
-        for i in range(batch.num_rows):
-            held.extend(batch.slice(i, 1).to_pylist())
-            size += len(held[-1]["blocks"])
-            if size >= LANES:
-                yield held
-                held, size = [], 0
-    if held:
-        yield held
-
-
 def read_ids(spark: SparkSession, folder: str, digest: bool = False) -> DataFrame:
     """Per document: doc_id, start (ids of all documents before it), n_tokens and its ids, or their crc32."""
     before = offsets_by_partition(spark.read.schema(SEGMENTS).parquet(folder).select("pid", "total"))
     schema = "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids array<int>")
 
     def run(batches):
-        for rows in _in_step(batches):
-            decoded = iter(decode_blocks([b for r in rows for b in r["blocks"]]))
-            for r in rows:
-                ids = np.concatenate([next(decoded) for _ in r["blocks"]]).astype("<u4")
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
+                ids = np.concatenate(decode_blocks(r["blocks"])).astype("<u4")
                 ends = np.cumsum(r["lengths"])
                 parts = np.split(ids, ends[:-1])
                 what = pa.array([zlib.crc32(x.tobytes()) for x in parts], pa.int64()) if digest else pa.array([x.astype(np.int32) for x in parts], pa.list_(pa.int32()))

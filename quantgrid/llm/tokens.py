@@ -10,10 +10,17 @@ from __future__ import annotations
 import re
 from array import array
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Chunks remembered by one Python worker, and the longest one that is.
 MEMORY = 400_000
 LONGEST = 48
 
+#: Bytes of text whose chunks are told apart at a time.
+SLICE = 1 << 25
+
 #: A space between two white spaces, or a last one after a white space, is no safe cut.
 _UNSAFE = re.compile(r"\s (?:\s|\Z)")
 
@@ -50,9 +57,13 @@ class Chunks(dict):
         return value
 
 
+def stays_whole(text: str) -> bool:
+    return "<|" in text or _UNSAFE.search(text) is not None
+
+
 def byte_chunks(text: str) -> list[str] | None:
     """The first chunk and those that follow a space, or None if the text has to stay whole."""
-    return None if "<|" in text or _UNSAFE.search(text) else text.split(" ")
+    return None if stays_whole(text) else text.split(" ")
 
 
 class Encoder:
@@ -104,6 +115,42 @@ class Encoder:
             return self.whole(text)
         return self.head[chunks[0]] + b"".join(map(self.tail.__getitem__, chunks[1:]))
 
+    def ids_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and how many each has; equal chunks of a slice are looked up once."""
+        if not len(texts) or self.by_word:
+            found = [self.ids(x) for x in texts.to_pylist()]
+            return np.frombuffer(b"".join(found), "<u4"), np.array([len(x) // 4 for x in found], np.int64)
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        cuts = [0, *(1 + np.flatnonzero(np.diff(sizes // SLICE))), len(texts)]
+        found = [self._slice(texts.slice(a, b - a)) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+        return np.concatenate([x for x, _ in found]), np.concatenate([n for _, n in found])
+
+    def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        strings = texts.to_numpy(zero_copy_only=False)
+        whole = [i for i, x in enumerate(strings) if stays_whole(x)]
+        if whole:
+            held = set(whole)
+            texts = pa.array([None if i in held else x for i, x in enumerate(strings)], texts.type)
+        parts = pc.split_pattern(texts, " ")
+        n = pc.fill_null(pc.list_value_length(parts), 0).to_numpy().astype(np.int64)
+        own = parts.flatten().dictionary_encode()
+        known = len(own.dictionary)
+        values = [self.tail[x] for x in own.dictionary.to_numpy(zero_copy_only=False)]
+        code = own.indices.to_numpy().astype(np.int64)
+        # A first chunk follows no space, and a text that stays whole is one chunk.
+        start = np.cumsum(n) - n
+        cut = np.flatnonzero(n)
+        code[start[cut]] = known + np.arange(len(cut))
+        values += [self.head[strings[i].partition(" ")[0]] for i in cut] + [self.whole(strings[i]) for i in whole]
+        code = np.insert(code, start[whole], known + len(cut) + np.arange(len(whole)))
+        n[whole] = 1
+        size = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        k = size[code]
+        end = np.cumsum(k)
+        at = np.repeat((np.cumsum(size) - size)[code] - (end - k), k) + np.arange(int(end[-1]))
+        total = np.concatenate([[0], end])[np.cumsum(n)]
+        return np.frombuffer(b"".join(values), "<u4")[at], np.diff(total, prepend=0)
+
 
 def encoder(path: str) -> Encoder:
     """One encoder a worker and vocabulary file."""

@@ -5,9 +5,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from quantgrid.llm import bpe, idcoder, idfiles, packing
+from quantgrid.llm import bpe, idcoder, idfiles, packing, tokens
 from quantgrid.llm.tokens import encoder, vocabulary
 from quantgrid.session import shared_dir
 
@@ -28,6 +29,17 @@ def test_encoder_equals_library(path):
         assert e.ids(text) == e.whole(text), repr(text)
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_ids_of_many_texts_equal_library(path, monkeypatch):
+    e = encoder(path)
+    for size in (tokens.SLICE, 100):
+        monkeypatch.setattr(tokens, "SLICE", size)
+        for own in (texts(500), texts(500)[::-1], ["", ""], ["<|"], [" ", "<|", ""], []):
+            ids, n = e.ids_of(pa.array(own, pa.string()))
+            want = [e.whole(x) for x in own]
+            assert ids.tobytes() == b"".join(want) and n.tolist() == [len(x) // 4 for x in want]
+
+
 def test_prefix_encoding_equals_library():
     c, library = bpe.codec(BYTE), encoder(BYTE).tokenizer
     for text in texts(1500):
@@ -76,6 +88,28 @@ def test_id_blocks_are_smaller_than_deflated_ones(spark, sf):
     assert sum(map(len, idcoder.encode_blocks(ids))) < 0.9 * sum(deflated)
 
 
+def test_lanes_learn_from_each_other():
+    """Blocks of 4,096 ids that were coded alone took 13.0 bits an id here; the entropy is 9.6."""
+    rng = np.random.default_rng(8)
+    p = 1 / np.arange(5, 3005)
+    ids = rng.permutation(50_000)[rng.choice(3000, 200_000, p=p / p.sum())].astype(np.uint32)
+    blocks = idcoder.encode_blocks(ids)
+    assert np.array_equal(np.concatenate(idcoder.decode_blocks(blocks)), ids)
+    assert 8 * sum(map(len, blocks)) / len(ids) < 10.3
+
+
+def test_segments_hold_whole_documents(spark, monkeypatch):
+    monkeypatch.setattr(idfiles, "SEGMENT", 40)
+    own = [(i, "ab " * (i % 23)) for i in range(60)] + [(99, "word " * 500)]
+    folder = f"{shared_dir(spark)}/test-segments"
+    idfiles.write_ids(spark.createDataFrame(own, "doc_id long, text string"), folder, BYTE)
+    totals = [(r.total, len(r.doc_ids)) for r in spark.read.parquet(folder).collect()]
+    assert len(totals) > 10 and all(total <= 40 or n == 1 for total, n in totals)
+    library = encoder(BYTE).tokenizer
+    want = [(i, [*library.encode(x, add_special_tokens=False).ids, 0]) for i, x in own]
+    assert sorted((r.doc_id, list(r.ids)) for r in idfiles.read_ids(spark, folder).collect()) == want
+
+
 def test_id_files(spark, compare, odd):
     made = iter(range(100))
 
