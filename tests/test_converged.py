@@ -3,7 +3,9 @@
 import numpy as np
 import pandas as pd
 
-from quantgrid.operators import ids, normalize, smooth
+from pyspark.sql import functions as F
+
+from quantgrid.operators import ids, matrix, normalize, smooth
 
 _SCHEMA = "study_id string, parent_id string, feature_id string, sample_id string, value double"
 
@@ -52,6 +54,19 @@ def test_rounds_look_near_the_last_medians(spark, monkeypatch):
     assert np.abs(got.run_offset.to_numpy() - c).max() < 1e-9
 
 
+def test_vsn_rounds_do_not_shuffle_cells(spark):
+    rng = np.random.default_rng(6)
+    v = np.exp(rng.normal(6, 1, (60, 1))) * np.exp(rng.normal(0, 0.1, (60, 4))) + rng.normal(0, 20, (60, 4))
+    cells = spark.createDataFrame([("s", f"f{i}", f"r{j}", float(x)) for (i, j), x in np.ndenumerate(v) if (i + j) % 5], "study_id string, feature_id string, sample_id string, value double")
+    packed, places = matrix.packed_features(cells, "value")
+    assert packed.count() == 60 and places.count() == 4
+    p = normalize.fit_vsn(cells, max_rounds=1).toPandas().sort_values("sample_id")
+    start = -np.log([np.mean([x for (i, j), x in np.ndenumerate(v) if (i + j) % 5 and j == k]) for k in range(4)])
+    assert np.allclose(p.log_b, start) and (p.a == 0).all()
+    plan = normalize._vsn_round(packed, places.withColumns({c: F.lit(0.0) for c in ("a", "log_b", "damp", "best", "a0", "log_b0", "moved")}))._jdf.queryExecution().optimizedPlan().toString()
+    assert "feature_id" not in plan
+
+
 def test_vsn_tells_when_it_stopped_early(spark):
     rng = np.random.default_rng(6)
     v = np.exp(rng.normal(6, 1, (60, 1))) * np.exp(rng.normal(0, 0.1, (60, 4))) + rng.normal(0, 20, (60, 4))
