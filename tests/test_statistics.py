@@ -120,6 +120,21 @@ def test_grid_and_knn(spark):
         assert out[i, j] == pytest.approx(x[i, np.argsort(dist)[:2]].mean())
 
 
+def test_knn_lays_features_out_in_place(spark):
+    """Cells were joined to the grid and shuffled again by feature before; samples that the sheet lacks take no part."""
+    m = np.random.default_rng(3).normal(20, 1, (12, 8))
+    c = cells(spark, m)
+    features = c.select("study_id", "feature_id").distinct()
+    seen = c.where("not (feature_id = 'f00003' and sample_id = 'r2')")
+    stray = seen.select("study_id", "feature_id").distinct().selectExpr("study_id", "feature_id", "'zz' AS sample_id", "1e6 AS value")
+    out = missing.impute(seen.unionByName(stray), features, sheet(spark), "knn", k=3)
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = out.toPandas()
+    assert len(got) == 96 and got.value.max() < 1e3
+    near = np.argsort([np.sqrt(((np.delete(m, 3, 0)[:, 2] - np.delete(m, 3, 0)[:, j]) ** 2).sum()) if j != 2 else np.inf for j in range(8)])[:3]
+    assert got[(got.feature_id == "f00003") & (got.sample_id == "r2")].value.iloc[0] == pytest.approx(m[3, near].mean())
+
+
 def test_batch_correction_removes_a_shift(spark):
     rng = np.random.default_rng(2)
     m = rng.normal(20, 0.3, (300, 8)) + rng.normal(0, 2, 300)[:, None]
