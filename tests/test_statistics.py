@@ -189,6 +189,17 @@ def test_lowess_with_one_far_point(spark):
     assert (table.x < 10).sum() > 150 and np.ptp(table.fitted[table.x < 10]) > 1
 
 
+def test_trend_is_read_by_steps(spark):
+    """Rows carried an array of all knots before; ends are held, a null stays."""
+    fit = spark.createDataFrame([("a", [0.0, 0.001, 1.0, 50.0], [1.0, 3.0, 2.0, 7.0])], "k string, knots array<double>, at_knots array<double>")
+    xs = [-3.0, 0.0, 0.0005, 0.001, 0.4, 1.0, 30.0, 50.0, 99.0]
+    df = spark.createDataFrame([("a", x) for x in [*xs, None]], "k string, x double")
+    out = smooth.interpolated(df, fit, ["k"], "x", "t")
+    assert "knots" not in out._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[0]
+    got = {r.x: r.t for r in out.collect()}
+    assert got.pop(None) is None and np.allclose([got[x] for x in xs], np.interp(xs, [0, 0.001, 1, 50], [1, 3, 2, 7]))
+
+
 def test_two_way_fit_recovers_lengths(spark):
     rng = np.random.default_rng(7)
     length, run = rng.normal(0, 1, 200), rng.normal(0, 0.3, 8)
