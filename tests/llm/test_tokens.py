@@ -40,6 +40,39 @@ def test_ids_of_many_texts_equal_library(path, monkeypatch):
             assert ids.tobytes() == b"".join(want) and n.tolist() == [len(x) // 4 for x in want]
 
 
+def test_cuts_of_bytes_equal_library():
+    """Quotes, white space and characters of every kind side by side, in one array of bytes."""
+    rnd, e = random.Random(11), tokens.Encoder(BYTE)
+    parts = [*"aZ19 \n\t'\"<|.é×÷ªº²¼ÿŁɏɐʰ\x00\x1c\x85\xa0\u3000漢я🙂", "  ", "'s", "'ll", "'re", "'ve", "'d", "'S", " '", "\n'", "« »", "–", "ab ", " b"]
+    for k in range(60):
+        few = rnd.sample(parts, 8) if k % 2 else parts[:12]
+        own = ["".join(rnd.choices(few, k=rnd.randrange(14))) for _ in range(200)]
+        ids, n = e.ids_of(pa.array(own, pa.string()))
+        ends = np.cumsum(n)
+        for text, a, b in zip(own, ends - n, ends, strict=True):
+            assert ids[a:b].tobytes() == e.whole(text), repr(text)
+
+
+def test_equal_words_reach_the_library_once(monkeypatch):
+    """A word with other marks or line ends around it used to be cut and merged again, each word by a call of its own."""
+    e, calls = tokens.Encoder(BYTE), []
+    library = e.model_only
+
+    class Counted:
+        def encode_batch_fast(self, joined, **more):
+            calls.append([x for text in joined for x in text.split(" ")])
+            return library.encode_batch_fast(joined, **more)
+
+    e.model_only = Counted()
+    monkeypatch.setattr(e, "merge", None)
+    words = [chr(97 + i) + chr(97 + j) + "éx" for i in range(26) for j in range(26)]
+    own = [f"{w}. {w}, {w}!\n{w}; {w}\n ({w})" for w in words]
+    ids, n = e.ids_of(pa.array(own, pa.string()))
+    assert ids.tobytes() == b"".join(map(e.whole, own)) and n.sum() == len(ids)
+    given = [x for part in calls for x in part]
+    assert len(calls) <= 2 and len(given) == len(set(given)) < 2.1 * len(words)
+
+
 def test_prefix_encoding_equals_library():
     c, library = bpe.codec(BYTE), encoder(BYTE).tokenizer
     for text in texts(1500):
