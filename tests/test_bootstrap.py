@@ -1,8 +1,10 @@
 """Draws by hashed weights against the same draws in numpy."""
 
 import hashlib
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +96,25 @@ def test_interval(spark):
     df = spark.createDataFrame([("a", float(i)) for i in range(101)] + [("a", float("nan")), ("a", None)], "g string, stat double")
     r = bs.percentile_ci(df, ["g"]).first()
     assert (r.ci_low, r.ci_high) == (2.5, 97.5)
+
+
+def test_a_block_is_ranked_in_bounded_memory():
+    rng = np.random.default_rng(8)
+    n, draws = 150_000, 300  # a copy a cell and draw as doubles would be 360 MB
+    w1 = rng.integers(0, 2**32, n // 3).repeat(3)
+    cx = np.where(rng.random(n) < 0.4, 7, rng.integers(0, bs.CLASSES, n)).astype(np.int32)
+    cy = ((cx + rng.integers(0, 60, n)) % bs.CLASSES).astype(np.int32)
+    table = pa.table({"_w1": w1, "_w2": w1[::-1].copy(), "_cx": cx, "_cy": cy}).slice(0)
+    tracemalloc.start()
+    pieces = bs._pieces(table)
+    sums = [bs._class_sums(pieces, min(bs._STRETCH, draws - s), 5, s) for s in range(0, draws, bs._STRETCH)]
+    cross = np.concatenate([bs._cross_products(pieces, 5, s * bs._STRETCH, part) for s, part in enumerate(sums)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6
+    w = bs.draw_counts(np.stack([w1, w1[::-1]], axis=1).astype(np.uint32), draws, 5)[:, [0, 249, 250, 299]].astype(float)
+    for i, d in enumerate((0, 249, 250, 299)):
+        a, b = (np.bincount(c, w[:, i], bs.CLASSES) for c in (cx, cy))
+        rx, ry = (np.cumsum(s) - (s - 1) / 2 - (s.sum() + 1) / 2 for s in (a, b))
+        assert (np.concatenate(sums, axis=2)[:, :, d] == np.stack([a, b])).all()
+        assert np.isclose(cross[d], (w[:, i] * rx[cx] * ry[cy]).sum())
